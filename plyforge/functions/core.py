@@ -21,7 +21,11 @@ def literal_pattern(text: str) -> str:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    """``body(value)`` with ``value`` evaluated once, however often the body names it.
+
+    A lambda's body is run for every element, and so is each outer expression it names; an array
+    that a lambda looks into is therefore bound with this first.
+    """
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -48,11 +52,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams of a token array, repeats kept."""
     if n == 1:
         return tokens
-    last = F.size(tokens) - n
-    joined = F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")
-    )
-    return F.when(last >= 0, joined).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def sentences(c: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plyforge.functions.core import words
+from plyforge.functions.core import let, words
 
 
 def set_prf(pred: Column, ref: Column) -> Column:
@@ -23,10 +23,11 @@ def set_prf(pred: Column, ref: Column) -> Column:
 
 def _numbered(grams: Column) -> Column:
     """Each element with its running number among equal elements, so repeats become distinct."""
-    s = F.sort_array(grams)
-    return F.transform(
-        s, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(s, g)).cast("int").alias("k"))
-    )
+
+    def number(s: Column) -> Column:
+        return F.transform(s, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(s, g)).alias("k")))
+
+    return let(F.sort_array(grams), number)
 
 
 def clipped_overlap(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plyforge import constants as K
-from plyforge.functions.core import none_if_empty, strip
+from plyforge.functions.core import let, none_if_empty, strip
 
 HEADER_LINE = r'(?m)^\[[^\S\n]*(\w+)[^\S\n]*"(.*)"[^\S\n]*\]'
 COMMENT = r"\{[^}]*\}"
@@ -14,28 +14,34 @@ COMMENT = r"\{[^}]*\}"
 
 def parse_headers(text: Column) -> Column:
     """Map of ``[Key "Value"]`` lines; a repeated key keeps its last value."""
-    keys = F.regexp_extract_all(text, F.lit(HEADER_LINE), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(HEADER_LINE), F.lit(2))
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))),
-        lambda p: ~F.array_contains(F.slice(keys, p["i"] + 2, F.size(keys)), p["k"]),
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(HEADER_LINE), F.lit(1)).alias("k"),
+        F.regexp_extract_all(text, F.lit(HEADER_LINE), F.lit(2)).alias("v"),
     )
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+
+    def last_wins(f: Column) -> Column:
+        keys = f["k"]
+        pairs = F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.get(f["v"], i).alias("v")))
+        kept = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
+        return F.map_from_entries(kept)
+
+    return let(found, last_wins)
 
 
 def parse_eval(text: Column) -> Column:
     """Pawns to centipawns; ``#n`` to mate scores; anything else to NULL."""
-    t = strip(text)
-    mate = F.regexp_extract(t, r"^#([+-]?\d+)$", 1).try_cast("int")
-    pawns = F.ltrim(t, F.lit("+"))
     top = F.lit(float(K.MATE_SCORE))
-    return (
-        F.when(t == "#0", top)
-        .when(mate == 0, -top)
-        .when(mate.isNotNull(), (top - F.abs(mate)) * F.signum(mate.cast("double")))
-        .when(pawns.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), pawns.try_cast("double") * 100)
-    )
+
+    def mate_score(t: Column) -> Column:
+        n = F.substring(t, 2, 20).try_cast("int")
+        signed = (top - F.abs(n)) * F.signum(n.cast("double"))
+        return F.when(t == "#0", top).when(n == 0, -top).otherwise(signed)
+
+    def score(t: Column) -> Column:
+        pawns = F.regexp_extract(t, r"^\+*(-?(?:\d+\.?\d*|\.\d+))$", 1)
+        return F.when(t.rlike(r"^#[+-]?\d+$"), mate_score(t)).otherwise(pawns.try_cast("double") * 100)
+
+    return let(strip(text), score)
 
 
 def parse_annotations(text: Column) -> Column:
@@ -109,31 +115,34 @@ def movetext_plies(movetext: Column, fen: Column | None = None) -> Column:
     The side alternates from the side to move in ``fen``; a number in the text wins over counting.
     """
     start = F.lit(K.START_FEN) if fen is None else F.coalesce(fen, F.lit(K.START_FEN))
-    black_first = (side_to_move(start) == "b").cast("int")
-    first_number = F.coalesce(F.get(F.split(start, " "), F.lit(5)).try_cast("int"), F.lit(1))
+    opening = F.struct(
+        (side_to_move(start) == "b").cast("int").alias("black"),
+        F.coalesce(F.get(F.split(start, " "), F.lit(5)).try_cast("int"), F.lit(1)).alias("number"),
+    )
     found = F.filter(
         F.regexp_extract_all(strip_movetext(movetext), F.lit(_SCAN), F.lit(0)),
         lambda t: ~t.startswith("{"),
     )
 
-    def part(token: Column, group: int) -> Column:
-        return F.regexp_extract(token, f"^{_MOVE}", group)
+    def parts(token: Column) -> Column:
+        names = ["number", "core", "mark", "nag", "late_mark", "note"]
+        return F.struct(*[F.regexp_extract(token, f"^{_MOVE}", i + 1).alias(n) for i, n in enumerate(names)])
 
-    def ply(token: Column, i: Column) -> Column:
-        written = part(token, 1).try_cast("int")
+    def ply(first: Column, p: Column, i: Column) -> Column:
+        written = p["number"].try_cast("int")
         return F.struct(
             i.alias("ply"),
             F.coalesce(
-                F.when(written > 0, written), first_number + F.floor((i + black_first) / 2).cast("int")
+                F.when(written > 0, written), first["number"] + F.floor((i + first["black"]) / 2).cast("int")
             ).alias("move_number"),
-            F.when((i + black_first) % 2 == 0, "w").otherwise("b").alias("side"),
-            F.concat(part(token, 2), part(token, 3), part(token, 4), part(token, 5)).alias("san"),
-            none_if_empty(part(token, 4)).alias("nag"),
-            none_if_empty(F.concat(part(token, 3), part(token, 5))).alias("suffix"),
-            strip(part(token, 6)).alias("annotation"),
+            F.when((i + first["black"]) % 2 == 0, "w").otherwise("b").alias("side"),
+            F.concat(p["core"], p["mark"], p["nag"], p["late_mark"]).alias("san"),
+            none_if_empty(p["nag"]).alias("nag"),
+            none_if_empty(F.concat(p["mark"], p["late_mark"])).alias("suffix"),
+            strip(p["note"]).alias("annotation"),
         )
 
-    return F.transform(found, ply)
+    return let(opening, lambda first: F.transform(F.transform(found, parts), lambda p, i: ply(first, p, i)))
 
 
 def unread_movetext(movetext: Column) -> Column:

@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 from plyforge import constants as K
 from plyforge.functions import notation as N
-from plyforge.functions.core import none_if_empty
+from plyforge.functions.core import let, none_if_empty
 
 
 def with_headers(df: DataFrame, text: str = "header_text") -> DataFrame:
     return df.withColumn("headers", N.parse_headers(F.col(text)))
 
 
-def _tag(headers: str, name: str) -> Column:
-    return F.try_element_at(F.col(headers), F.lit(name))
-
-
 def passes_filter(
     result: Column, variant: Column, white_elo: Column, black_elo: Column, *, skip_unfinished: bool = False,
     only_standard: bool = False, only_complete: bool = False, min_elo: int | None = None,
@@ -41,25 +37,37 @@ def passes_filter(
 
 
 def filter_games(df: DataFrame, headers: str = "headers", **switches) -> DataFrame:
-    tags = [_tag(headers, t) for t in ("Result", "Variant", "WhiteElo", "BlackElo")]
-    return df.where(passes_filter(*tags, **switches))
+    """Keep games whose tags pass. The tag map is bound once, since a filter that moves below the
+    projection that makes the map would otherwise parse the header for every tag."""
+
+    def test(tags: Column) -> Column:
+        return passes_filter(*[F.try_element_at(tags, F.lit(t)) for t in ("Result", "Variant", "WhiteElo", "BlackElo")],
+                             **switches)
+
+    return df.where(let(F.col(headers), test))
 
 
 def game_record(df: DataFrame, headers: str = "headers") -> DataFrame:
     """Add the game's fields: a missing rating is 0, a bad one NULL."""
 
-    def elo(name: str) -> Column:
-        return F.coalesce(_tag(headers, name), F.lit("0")).try_cast("int")
-
-    return df.withColumns({
-        "fen": F.coalesce(_tag(headers, "FEN"), F.lit(K.START_FEN)),
-        "result": _tag(headers, "Result"),
-        "white_elo": elo("WhiteElo"),
-        "black_elo": elo("BlackElo"),
-        "eco": _tag(headers, "ECO"),
-        "variant": F.coalesce(_tag(headers, "Variant"), F.lit("Standard")),
-        "game_url": F.coalesce(none_if_empty(_tag(headers, "GameURL")), _tag(headers, "Site")),
-    })
+    def fields(tags: Column) -> Column:
+        def tag(name: str) -> Column:
+            return F.try_element_at(tags, F.lit(name))
+
+        def elo(name: str) -> Column:
+            return F.coalesce(tag(name), F.lit("0")).try_cast("int")
+
+        return F.struct(
+            F.coalesce(tag("FEN"), F.lit(K.START_FEN)).alias("fen"),
+            tag("Result").alias("result"),
+            elo("WhiteElo").alias("white_elo"),
+            elo("BlackElo").alias("black_elo"),
+            tag("ECO").alias("eco"),
+            F.coalesce(tag("Variant"), F.lit("Standard")).alias("variant"),
+            F.coalesce(none_if_empty(tag("GameURL")), tag("Site")).alias("game_url"),
+        )
+
+    return df.withColumn("_game", let(F.col(headers), fields)).select("*", "_game.*").drop("_game")
 
 
 def with_plies(df: DataFrame, text: str = "movetext", fen: str | None = None) -> DataFrame:

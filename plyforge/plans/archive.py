@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge import constants as K
 from plyforge.functions import notation as N
+from plyforge.functions.core import let
 from plyforge.operators import games as G
 from plyforge.sources.archive import read_games
 
@@ -38,24 +39,27 @@ def nested_games(games: DataFrame) -> DataFrame:
     A pair opens at a white move, or at a black one that follows no white move. Plies alternate, so
     a ply's pair is found by its position and the pairs are built inside the row.
     """
-    plies = F.col("plies")
-    skip = F.when(F.get(plies, F.lit(0))["side"] == "b", 1).otherwise(0)
-    pairs = F.floor((F.size(plies) + skip + 1) / 2).cast("int")
-
-    def at(i: Column) -> Column:
-        ply = F.get(plies, i)
-        return F.when(ply.isNotNull(), _move(ply))
-
-    def pair(p: Column) -> Column:
-        white, black = p * 2 - skip, p * 2 + 1 - skip
-        number = F.coalesce(F.get(plies, white)["move_number"], F.get(plies, black)["move_number"])
-        return F.struct(
-            number.alias("move_number"),
-            F.when(white >= 0, at(white)).alias("white_move"),
-            at(black).alias("black_move"),
-        )
-
-    pgn = F.when(F.size(plies) > 0, F.transform(F.sequence(F.lit(0), pairs - 1), pair))
+
+    def pgn_of(plies: Column) -> Column:
+        skip = F.when(F.get(plies, F.lit(0))["side"] == "b", 1).otherwise(0)
+        pairs = F.floor((F.size(plies) + skip + 1) / 2).cast("int")
+
+        def at(i: Column) -> Column:
+            ply = F.get(plies, i)
+            return F.when(ply.isNotNull(), _move(ply))
+
+        def pair(p: Column) -> Column:
+            white, black = p * 2 - skip, p * 2 + 1 - skip
+            number = F.coalesce(F.get(plies, white)["move_number"], F.get(plies, black)["move_number"])
+            return F.struct(
+                number.alias("move_number"),
+                F.when(white >= 0, at(white)).alias("white_move"),
+                at(black).alias("black_move"),
+            )
+
+        return F.when(F.size(plies) > 0, F.transform(F.sequence(F.lit(0), pairs - 1), pair))
+
+    pgn = let(F.col("plies"), pgn_of)
     none = F.array().cast("array<string>")
     return games.select(
         F.struct("fen", "result", "white_elo", "black_elo", "eco", "variant", "game_url", pgn.alias("pgn")).alias("game_metadata"),
@@ -70,18 +74,20 @@ def plies_with_history(
 
     The texts are cut from the game's own array before it is exploded, so nothing is shuffled.
     """
-    array = F.col(plies)
 
     def token(p: Column) -> Column:
         return G.history_token(p["move_number"], p["side"] == "w", p["san"], style, p["ply"] == 0)
 
-    tokens = games.withColumn("_tokens", F.transform(array, token))
+    def with_text(game: Column) -> Column:
+        def before(p: Column, i: Column) -> Column:
+            first = F.greatest(i - n, F.lit(0))
+            text = F.array_join(F.slice(game["tokens"], first + 1, i - first), " ")
+            return F.struct(p.alias("ply"), text.alias("history"))
 
-    def before(p: Column, i: Column) -> Column:
-        first = F.greatest(i - n, F.lit(0))
-        return F.struct(p.alias("ply"), F.array_join(F.slice("_tokens", first + 1, i - first), " ").alias("history"))
+        return F.transform(game["plies"], before)
 
-    rows = tokens.select(*keep, F.explode(F.transform(array, before)).alias("_r"))
+    game = let(F.col(plies), lambda a: F.struct(a.alias("plies"), F.transform(a, token).alias("tokens")))
+    rows = games.select(*keep, F.explode(let(game, with_text)).alias("_r"))
     return rows.select(*keep, "_r.ply.*", "_r.history")
 
 
