@@ -54,9 +54,12 @@ def ngrams(tokens: Column, n: int) -> Column:
         return tokens
 
     def grams(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
-        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+        joined = t
+        for i in range(1, n):
+            # The longer list is padded with NULL, which makes the last joins NULL and drops them.
+            joined = F.zip_with(joined, F.slice(t, i + 1, F.greatest(F.size(t) - i, F.lit(0))),
+                                lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_compact(joined)
 
     return let(tokens, grams)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plyforge.functions.core import let, words
 
@@ -22,10 +23,15 @@ def set_prf(pred: Column, ref: Column) -> Column:
 
 
 def _numbered(grams: Column) -> Column:
-    """Each element with its running number among equal elements, so repeats become distinct."""
+    """Each string with its running number among equal ones, so that repeats become distinct. The
+    results are strings again, since only arrays of plain values are intersected by hash."""
 
     def number(s: Column) -> Column:
-        return F.transform(s, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(s, g)).alias("k")))
+        def one(g: Column, i: Column) -> Column:
+            k = i + 1 - F.array_position(s, g)
+            return F.when(k > 0, F.concat(g, F.lit("\u0000"), k.cast("string"))).otherwise(g)
+
+        return F.transform(s, one)
 
     return let(F.sort_array(grams), number)
 
@@ -40,22 +46,28 @@ def f_measure(hits: Column, n_pred: Column, n_ref: Column) -> Column:
     return F.when(hits > 0, 2.0 * hits / (n_pred + n_ref)).otherwise(0.0)
 
 
-@F.pandas_udf("int")
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of two token arrays, with one bit per token of ``a``."""
+def lcs_length(a: Column | str, b: Column | str) -> Column:
+    """Longest common subsequence of two token arrays, with one bit per token of ``a``.
+
+    The function is made here, not at import, so that it travels to the tasks by value.
+    """
+
+    @F.pandas_udf(T.IntegerType())
+    def lengths(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x, y) -> int:
+            spots: dict = {}
+            for i, token in enumerate(x):
+                spots[token] = spots.get(token, 0) | (1 << i)
+            full = (1 << len(x)) - 1
+            row = full
+            for token in y:
+                hit = row & spots.get(token, 0)
+                row = ((row + hit) | (row - hit)) & full
+            return len(x) - row.bit_count()
 
-    def one(x, y) -> int:
-        spots: dict = {}
-        for i, token in enumerate(x):
-            spots[token] = spots.get(token, 0) | (1 << i)
-        full = (1 << len(x)) - 1
-        row = full
-        for token in y:
-            hit = row & spots.get(token, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return len(x) - row.bit_count()
+        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="int32")
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+    return lengths(a, b)
 
 
 def norm_edit_distance(pred: Column, ref: Column) -> Column:

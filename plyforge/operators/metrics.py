@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plyforge.functions.core import alnum_tokens, ngrams, words
 from plyforge.functions.metrics import clipped_overlap, f_measure, lcs_length
 from plyforge.operators.ordering import global_index
+from plyforge.session import stored
 
 
 def task_counts(df: DataFrame, by: str = "task") -> DataFrame:
@@ -43,6 +44,15 @@ def with_overall(df: DataFrame, by: str, sums: dict[str, Column], finish: dict[s
     return totals.select(by, *[c.alias(n) for n, c in finish.items()])
 
 
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys meet; the right side's copies of the keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    test = F.lit(True)
+    for k in keys:
+        test = test & left[k].eqNullSafe(renamed[f"_j_{k}"])
+    return left.join(renamed, test).drop(*[f"_j_{k}" for k in keys])
+
+
 def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median", width: float = 100.0) -> DataFrame:
     """Exact median per group. Values are counted first; cells of ``width`` show where the middle
     lies, and only the values in the one or two middle cells are put in order."""
@@ -61,7 +71,7 @@ def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median
     )
     inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     keys = [*by, "_cell"]
-    placed = counted.join(middle.select(*keys, "_start", "_low", "_high"), keys).withColumn(
+    placed = _join_on(counted, middle.select(*keys, "_start", "_low", "_high"), keys).withColumn(
         "_to", F.col("_start") + F.sum("_c").over(inside)
     )
     first = F.col("_to") - F.col("_c")
@@ -83,7 +93,7 @@ def spread_stats(df: DataFrame, by: list[str], value: str, width: float = 100.0)
         F.bround(F.max(v), 2).alias("max"),
     )
     median = grouped_median(df, by, value, "median", width)
-    return stats.join(median.withColumn("median", F.bround("median", 2)), by)
+    return _join_on(stats, median.withColumn("median", F.bround("median", 2)), by)
 
 
 def delta_stats(df: DataFrame, side: Column, candidate: Column, truth: Column, width: float = 100.0) -> DataFrame:
@@ -246,7 +256,8 @@ def stream_bigrams(df: DataFrame, id: str, tokens: str, cross: bool = False) ->
         ends = df.where(F.size(arr) > 0).select(
             id, F.get(arr, F.lit(0)).alias("first"), F.try_element_at(arr, F.lit(-1)).alias("last")
         )
-        placed = global_index(ends, id, "i")
+        # One small row per sample; stored, as its place in the order takes several passes.
+        placed = global_index(stored(ends, "ends"), id, "i")
         here = placed.select((F.col("i") + 1).alias("i"), "last")
         seam = here.join(placed.select("i", "first"), "i").select(F.concat_ws(" ", "last", "first").alias("bigram"))
         pairs = pairs.unionByName(seam)

@@ -24,26 +24,23 @@ def scored_answers(samples: DataFrame, simple_moves: bool = False) -> DataFrame:
     return typed.withColumn("answer", normalize_answer("task_type", F.col("raw"), explained, simple_moves))
 
 
-def text_report(df: DataFrame, by: str, pred: str, ref: str) -> DataFrame:
-    """Per group and overall: rows, mean word-set F1, mean ROUGE-1, -2 and -L and mean edit distance.
+def text_report(df: DataFrame, by: str, pred: str, ref: str, lcs: bool = True) -> DataFrame:
+    """Per group and overall: rows, mean word-set F1, mean ROUGE-1, -2 and (with ``lcs``) -L and mean
+    edit distance.
 
     One shuffle: rows become sums per group, and the overall line adds those up.
     """
-    rows = A.rouge_l(A.rouge_n(A.rouge_n(df, pred, ref, 1), pred, ref, 2), pred, ref)
-    rows = rows.withColumn("_f1", M.set_prf(words(F.col(pred)), words(F.col(ref)))["f1"])
-    rows = rows.withColumn("_dist", M.norm_edit_distance(F.col(pred), F.col(ref)))
-    sums = {
-        "n": F.lit(1), "_f1": F.col("_f1"), "_r1": F.col("rouge_1"), "_r2": F.col("rouge_2"),
-        "_rl": F.col("rouge_l"), "_d": F.col("_dist"),
-    }
-    finish = {
-        "n": F.col("n"),
-        "set_f1": F.bround(F.col("_f1") / F.col("n"), 4),
-        "rouge_1": F.bround(F.col("_r1") / F.col("n"), 4),
-        "rouge_2": F.bround(F.col("_r2") / F.col("n"), 4),
-        "rouge_l": F.bround(F.col("_rl") / F.col("n"), 4),
-        "edit_distance": F.bround(F.col("_d") / F.col("n"), 4),
-    }
+    rows = A.rouge_n(A.rouge_n(df, pred, ref, 1), pred, ref, 2)
+    rows = rows.withColumns({
+        "set_f1": M.set_prf(words(F.col(pred)), words(F.col(ref)))["f1"],
+        "edit_distance": M.norm_edit_distance(F.col(pred), F.col(ref)),
+    })
+    names = ["set_f1", "rouge_1", "rouge_2", "edit_distance"]
+    if lcs:
+        rows = A.rouge_l(rows, pred, ref)
+        names.append("rouge_l")
+    sums = {"n": F.lit(1), **{x: F.col(x) for x in names}}
+    finish = {"n": F.col("n"), **{x: F.bround(F.col(x) / F.col("n"), 4) for x in names}}
     return A.with_overall(rows, by, sums, finish)
 
 

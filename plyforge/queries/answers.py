@@ -9,7 +9,7 @@ from plyforge.functions import responses as R
 from plyforge.functions.core import sanitize_name, split_last, words
 from plyforge.operators import matching as J
 from plyforge.operators.shaping import conform_schema
-from plyforge.queries.registry import query, table
+from plyforge.queries.registry import documents, query, table
 from plyforge.queries.standins import k_of
 
 # White space at both ends, as Java's \s has it, and sentence starts marked by a control character.
@@ -86,7 +86,7 @@ SELECT doc_id, CASE WHEN contains(x, 'excellent') THEN 'excellent' WHEN contains
 """)
 def verdict_keywords(spark, sf_dir):
     text = F.replace(F.replace("text", F.lit(" in "), F.lit(" EXCELLENT ")), F.lit(" on "), F.lit(" blunder "))
-    return table(spark, sf_dir, "documents").select("doc_id", R.parse_verdict(text).alias("verdict"))
+    return documents(spark, sf_dir).select("doc_id", R.parse_verdict(text).alias("verdict"))
 
 
 @query(f"""
@@ -129,7 +129,7 @@ def cleaned_explanations(spark, sf_dir):
         .otherwise(F.concat(F.lit(" opening ideas).  "), text))
     )
     instruction = F.lit("Explain the TEXT.\nIn short.")
-    return table(spark, sf_dir, "documents").select("doc_id", R.clean_explanation(raw, instruction).alias("output"))
+    return documents(spark, sf_dir).select("doc_id", R.clean_explanation(raw, instruction).alias("output"))
 
 
 _NOT_WORD = "[^\\p{L}\\p{M}\\p{N}_]"
@@ -151,7 +151,7 @@ FROM a JOIN x USING (doc_id)
 """)
 def normalized_answers(spark, sf_dir):
     """Scorer-side answers by task: yes or no, move lists, explanations and plain text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     lang = F.col("lang")
     task = F.when(lang == "en", "is_square_attacked").when(lang == "de", "list_legal_moves").otherwise("identify_outcome")
     clean = F.concat(F.lit("explanation: "), F.when(lang == "en", F.regexp_replace("text", r"(?i)\byes\b", "yes ")).otherwise(F.col("text")))
@@ -249,7 +249,7 @@ SELECT doc_id, CAST(len(w) - 1 AS BIGINT) AS n_prefix, w[1] AS first_word, w[len
 """)
 def last_words(spark, sf_dir):
     cut = split_last(words(F.col("text")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", cut.alias("c")).where("c IS NOT NULL")
+    rows = documents(spark, sf_dir).select("doc_id", cut.alias("c")).where("c IS NOT NULL")
     first = F.coalesce(F.try_element_at("c.prefix", F.lit(1)), "c.last")
     return rows.select("doc_id", F.size("c.prefix").cast("long").alias("n_prefix"), first.alias("first_word"), F.col("c.last").alias("last_word"))
 

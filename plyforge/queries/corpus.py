@@ -8,7 +8,7 @@ from plyforge.functions import notation as N
 from plyforge.operators import games as G
 from plyforge.operators.shaping import explode_board
 from plyforge.plans.archive import archive_games
-from plyforge.queries.registry import query, table
+from plyforge.queries.registry import documents, query, table
 from plyforge.queries.standins import SQL_MOVES, event_games, event_moves, k_of
 from plyforge.session import scratch_path
 from plyforge.sources import archive as A
@@ -159,7 +159,7 @@ SELECT doc_id, comment FROM c WHERE comment <> '' AND NOT starts_with(comment, '
 def document_comments(spark, sf_dir):
     """Every comment in whole documents with braces spliced in, repeats kept."""
     text = F.replace(F.replace("text", F.lit(". "), F.lit(".} {")), F.lit(", "), F.lit(",}{[%clk 0:01:00] x}{"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("{"), text, F.lit("}")).alias("value"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("{"), text, F.lit("}")).alias("value"))
     return A.extract_comments(docs)
 
 

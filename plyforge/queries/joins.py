@@ -9,7 +9,7 @@ from plyforge.functions.notation import scores_agree
 from plyforge.operators import games as G
 from plyforge.operators import matching as J
 from plyforge.operators import shaping as S
-from plyforge.queries.registry import query, table
+from plyforge.queries.registry import documents, query, table
 from plyforge.queries.standins import SQL_PAIRS, k_of, turn_pairs
 
 EVENTS_K = "(SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
@@ -251,7 +251,7 @@ def shared_words(spark, sf_dir):
 SELECT doc_id, array_to_string(list_sort(list_distinct({WORDS.format('text')})), ' ') AS tokens FROM documents
 """)
 def sorted_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(sorted_distinct(words(F.col("text"))), " ").alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(sorted_distinct(words(F.col("text"))), " ").alias("tokens"))
 
 
 @query("""SELECT DISTINCT source FROM documents UNION ALL SELECT DISTINCT 'user ' || user_id FROM events""")

@@ -8,8 +8,8 @@ from plyforge.functions.core import pick, words
 from plyforge.functions.prompts import with_choices
 from plyforge.operators import games as G
 from plyforge.operators import ordering as O
-from plyforge.queries.registry import query, table
-from plyforge.queries.standins import k_of
+from plyforge.queries.registry import documents, query, table
+from plyforge.queries.standins import SQL_MOVES, event_games, k_of
 
 
 def sql_hash01(seed: str, rule: str, key: str) -> str:
@@ -59,7 +59,7 @@ SELECT doc_id, w[1 + CAST(floor({sql_hash01('42', 'pick', 'doc_id')} * len(w)) A
 """)
 def picked_words(spark, sf_dir):
     """One word of each whole document, chosen by hash."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    docs = documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("w"))
     return docs.select("doc_id", pick(F.col("w"), 42, F.col("doc_id")).alias("word"))
 
 
@@ -111,23 +111,17 @@ def recent_history(spark, sf_dir):
     return rows.select("event_id", "history")
 
 
-@query("""
-WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN (turn // 2 + 1) || '. ' || role ELSE role END AS token FROM conversations)
-SELECT conv_id, turn, coalesce(string_agg(token, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM t
+@query(f"""
+WITH {SQL_MOVES}, t AS (SELECT game_id, ply, CASE WHEN ply % 2 = 0 THEN (ply // 2 + 1) || '. ' || san ELSE san END AS token FROM moves)
+SELECT game_id, CAST(ply AS BIGINT) AS ply,
+       coalesce(string_agg(token, ' ') OVER (PARTITION BY game_id ORDER BY ply ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), '') AS history FROM t
 """)
-def turn_history(spark, sf_dir):
-    """History text cut from each conversation's own list of turns, without a window."""
+def game_history(spark, sf_dir):
+    """History text cut from each game's own move list, without a window."""
     from plyforge.plans.archive import plies_with_history
 
-    conv = table(spark, sf_dir, "conversations")
-    turn = F.col("turn").cast("int")
-    ply = F.struct(
-        turn.alias("ply"), F.floor(turn / 2 + 1).cast("int").alias("move_number"),
-        F.when(turn % 2 == 0, "w").otherwise("b").alias("side"), F.col("role").alias("san"),
-    )
-    games = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(ply)).alias("plies"))
-    rows = plies_with_history(games, ["conv_id"], n=3)
-    return rows.select("conv_id", F.col("ply").cast("long").alias("turn"), "history")
+    rows = plies_with_history(G.with_plies(event_games(spark, sf_dir)), ["game_id"])
+    return rows.select("game_id", F.col("ply").cast("long").alias("ply"), "history")
 
 
 @query("""

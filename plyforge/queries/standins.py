@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.queries.registry import table
+from plyforge.session import spread
 
 GAME_LENGTH = 40  # events per derived game
 
@@ -72,7 +73,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     user = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref"))
     reply = conv.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
-    return user.join(reply, ["conv_id", "turn"])
+    return spread(user.join(reply, ["conv_id", "turn"]), "conv_id", "turn", like=conv)
 
 
 SQL_PAIRS = """

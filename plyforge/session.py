@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
 
@@ -41,3 +41,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             _local_scratch = tempfile.mkdtemp(prefix="plyforge-")
         base = _local_scratch
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """Share the rows of a scan that has fewer pieces than there are cores, by the hash of ``keys``.
+
+    A table of many files is left as it is. ``like`` is the scan to look at where ``df`` itself has
+    been joined already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if (df if like is None else like).rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared scratch folder and read back: computed once, and safe when
+    executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
