@@ -31,12 +31,15 @@ def _bucket(key: Column, cuts: list[Any]) -> Column:
     return search(0, len(cuts))
 
 
-def global_index(df: DataFrame, order: str, name: str = "idx", buckets: int = 128) -> DataFrame:
+def global_index(df: DataFrame, order: str, name: str = "idx", buckets: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in the order of the unique, non-null key ``order``.
 
     Rows are ranked inside key ranges of about equal size; the ranges' start positions come from
-    one small table of counts (``buckets`` rows, so it is broadcast).
+    one small table of counts (at most ``buckets`` rows, so it is broadcast). By default there are
+    two ranges per core, but at least 16 and at most 1024.
     """
+    if buckets is None:
+        buckets = min(max(16, 2 * df.sparkSession.sparkContext.defaultParallelism), 1024)
     cuts = _boundaries(df, order, buckets - 1)
     ranged = df.withColumn("_range", _bucket(F.col(order), cuts))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))

@@ -62,8 +62,7 @@ def conform_schema(df: DataFrame, required: list[str], fallback: dict[str, str])
 class Rule:
     """One task: when it fires, at which rate, what it asks and what the answer is.
 
-    ``sample_as`` names the draw, so that rules with the same name fire together. ``suffix`` is
-    added to the task's name.
+    ``suffix`` is added to the task's name.
     """
 
     name: str
@@ -71,7 +70,6 @@ class Rule:
     instruction: Column
     label: Column
     rate: float = 1.0
-    sample_as: str | None = None
     suffix: Column | None = None
     extra: dict[str, Column] = field(default_factory=dict)
 
@@ -88,7 +86,7 @@ def generate_tasks(
     for r in rules:
         fires = F.coalesce(r.when, F.lit(False))
         if r.rate < 1.0:
-            fires = fires & (hash01(seed, r.sample_as or r.name, *[F.col(k) for k in keys]) < r.rate)
+            fires = fires & (hash01(seed, r.name, *[F.col(k) for k in keys]) < r.rate)
         name = F.lit(r.name) if r.suffix is None else F.concat(F.lit(r.name), r.suffix)
         fields = [
             F.concat_ws("_", task_id, name).alias("task_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plyforge import constants as K
 from plyforge.functions import notation as N
 from plyforge.functions import prompts as P
-from plyforge.functions.core import pick
+from plyforge.functions.core import hash01, let, pick
 from plyforge.operators.shaping import Rule, generate_tasks
 
 SQUARES = [f"{f}{r}" for r in range(1, 9) for f in "abcdefgh"]
@@ -43,43 +43,54 @@ def note_rules(seed: int, keys: list[str]) -> list[Rule]:
     ]
 
 
-def board_rules(seed: int, keys: list[str], rate: float = K.BASIC_RATE) -> list[Rule]:
-    """Rules on the board, drawn together. Labels come from ``legal_moves`` and ``attacked`` facts."""
-    c = F.col
-    at = [c(k) for k in keys]
-    occupied = F.filter(N.board_squares(c("fen_before")), lambda s: s["piece"].isNotNull())
-    seen = pick(occupied, seed, *at, rule="occupied")
-    mover = pick(occupied, seed, *at, rule="mover")
+def with_draws(plies: DataFrame, seed: int, keys: list[str], rate: float = K.BASIC_RATE) -> DataFrame:
+    """Add ``draw``: the squares and the attacking side asked about, for the hashed share ``rate`` of
+    plies; NULL for all others, whose board is then never read."""
+    at = [F.col(k) for k in keys]
     squares = F.array(*[F.lit(s) for s in SQUARES])
-    target, goal = pick(squares, seed, *at, rule="target"), pick(squares, seed, *at, rule="goal")
-    attacker = pick(F.array(F.lit("White"), F.lit("Black")), seed, *at, rule="attacker")
+    occupied = F.filter(N.board_squares(F.col("fen_before")), lambda s: s["piece"].isNotNull())
+
+    def draws(occ: Column) -> Column:
+        return F.struct(
+            pick(occ, seed, *at, rule="occupied").alias("seen"),
+            pick(occ, seed, *at, rule="mover").alias("mover"),
+            pick(squares, seed, *at, rule="target").alias("target"),
+            pick(squares, seed, *at, rule="goal").alias("goal"),
+            pick(F.array(F.lit("White"), F.lit("Black")), seed, *at, rule="attacker").alias("attacker"),
+        )
+
+    return plies.withColumn("draw", F.when(hash01(seed, "basic", *at) < rate, let(occupied, draws)))
+
+
+def board_rules(seed: int, keys: list[str]) -> list[Rule]:
+    """Rules on the board, for plies with a ``draw``. Labels come from the facts ``legal_moves`` and
+    ``attacked``."""
+    c = F.col
+    drawn, seen, mover = c("draw").isNotNull(), c("draw.seen"), c("draw.mover")
+    target, goal, attacker = c("draw.target"), c("draw.goal"), c("draw.attacker")
     attacked = F.when(attacker == "White", c("attacked.white")).otherwise(c("attacked.black"))
     symbol = F.when(mover["color"] == "White", mover["piece"]).otherwise(F.lower(mover["piece"]))
     promotes = (mover["piece"] == "P") & F.substring(goal, 2, 1).isin("1", "8")
     move = F.concat(mover["square"], goal, F.when(promotes, "q").otherwise(""))
-    filled = F.size(occupied) > 0
 
     def yes(test: Column) -> Column:
         return F.when(test, "Yes").otherwise("No")
 
     def choice(rule: str, question: Column) -> Column:
-        return P.with_choices(question, K.CHOICES[rule], seed, rule, *at)
+        return P.with_choices(question, K.CHOICES[rule], seed, rule, *[c(k) for k in keys])
 
-    common = {"rate": rate, "sample_as": "basic"}
     return [
-        Rule("list_legal_moves", F.size("legal_moves") > 0, F.lit("List all legal moves from the current position."),
-             F.array_join(F.sort_array("legal_moves"), " "), **common),
-        Rule("identify_piece", filled,
-             choice("identify_piece", _text("What piece is on square {q}?", q=seen["square"])), seen["piece"], **common),
-        Rule("identify_color", filled,
-             choice("identify_color", _text("What is the color of the piece on square {q}?", q=seen["square"])),
-             seen["color"], **common),
-        Rule("is_square_attacked", F.lit(True),
-             _text("Is square {q} attacked by {a}? Answer Yes or No.", q=target, a=attacker),
-             yes(F.array_contains(attacked, target)), **common),
-        Rule("can_piece_move", filled,
+        Rule("list_legal_moves", drawn & (F.size("legal_moves") > 0), F.lit("List all legal moves from the current position."),
+             F.array_join(F.sort_array("legal_moves"), " ")),
+        Rule("identify_piece", seen.isNotNull(),
+             choice("identify_piece", _text("What piece is on square {q}?", q=seen["square"])), seen["piece"]),
+        Rule("identify_color", seen.isNotNull(),
+             choice("identify_color", _text("What is the color of the piece on square {q}?", q=seen["square"])), seen["color"]),
+        Rule("is_square_attacked", drawn, _text("Is square {q} attacked by {a}? Answer Yes or No.", q=target, a=attacker),
+             yes(F.array_contains(attacked, target))),
+        Rule("can_piece_move", mover.isNotNull(),
              _text("Can the {p} on {f} legally move to {t}? Answer Yes or No.", p=symbol, f=mover["square"], t=goal),
-             yes(F.array_contains("legal_moves", move)), **common),
+             yes(F.array_contains("legal_moves", move))),
     ]
 
 
@@ -87,6 +98,7 @@ def p1_tasks(plies: DataFrame, keys: list[str], seed: int = 42, facts: bool = Fa
     """DataFrame[task_id, task, input, output]. ``plies`` holds keys, side, san, uci, the notes,
     ``fen_before`` and ``history``; with ``facts`` also legal_moves and attacked."""
     rules = note_rules(seed, keys) + (board_rules(seed, keys) if facts else [])
+    plies = with_draws(plies, seed, keys) if facts else plies
     task_id = F.concat_ws("_", *[F.col(k).cast("string") for k in keys], F.col("side"))
     return generate_tasks(
         plies.where(F.length("uci") > 0), rules, seed, keys, task_id,

@@ -98,7 +98,7 @@ def summary_header_entries(df: DataFrame, key: str, text: str) -> DataFrame:
     The header ends at the first blank line, or at a line of dashes after the first.
     ``n/a`` is NULL; ``number`` holds values that read as numbers.
     """
-    lines = F.transform(F.split(F.col(text), "\n"), F.trim)
+    lines = F.transform(F.split(F.col(text), "\n"), lambda line: F.trim(line))
     stops = F.transform(
         lines,
         lambda line, i: (line == "")
