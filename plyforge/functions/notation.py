@@ -167,18 +167,18 @@ def side_to_move(fen: Column) -> Column:
     return F.get(F.split(fen, " "), F.lit(1))
 
 
+SQUARES = [f"{f}{r}" for r in range(8, 0, -1) for f in "abcdefgh"]  # in the order of a board field
+
+
 def board_squares(fen: Column) -> Column:
     """array<struct<square, piece, color>> with one entry per square of the board field."""
     board = F.replace(F.get(F.split(fen, " "), F.lit(0)), F.lit("/"), F.lit(""))
     for n in range(1, 9):
         board = F.replace(board, F.lit(str(n)), F.lit("." * n))
-    return F.transform(
-        F.split(board, ""),
-        lambda p, i: F.struct(
-            F.concat(
-                F.substring(F.lit("abcdefgh"), i % 8 + 1, F.lit(1)),
-                (8 - F.floor(i / 8)).cast("string"),
-            ).alias("square"),
+    return F.zip_with(
+        F.split(board, ""), F.array(*[F.lit(s) for s in SQUARES]),
+        lambda p, square: F.struct(
+            square.alias("square"),
             F.when(p != ".", F.upper(p)).alias("piece"),
             F.when(p == ".", F.lit(None)).when(p == F.upper(p), "White").otherwise("Black").alias("color"),
         ),

@@ -28,8 +28,15 @@ def _json(text: Column) -> Column:
     return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), wrapped)
 
 
-def _json_field(text: Column, name: str) -> Column:
-    return F.try_variant_get(_json(text), f"$[0].{name}", "string")
+def _read(response: Column) -> Column:
+    """struct<text, json, open>: the answer, its JSON if it has any, and whether it opens like an
+    object. JSON is only read where it can be there, and once."""
+    opens = _is_object(response)
+    return F.struct(response.alias("text"), F.when(opens, _json(response)).alias("json"), opens.alias("open"))
+
+
+def _field(r: Column, name: str) -> Column:
+    return F.try_variant_get(r["json"], f"$[0].{name}", "string")
 
 
 def parse_move_response(response: Column, allowed: Column) -> Column:
@@ -37,33 +44,44 @@ def parse_move_response(response: Column, allowed: Column) -> Column:
 
     An answer that opens like JSON but does not parse gives NULL.
     """
-    named = strip(F.lower(_json_field(response, "move")))
-    found = F.regexp_extract_all(F.lower(response), F.lit(rf"\b{K.UCI_PLAIN}\b"), F.lit(0))
-    first = F.try_element_at(F.filter(found, lambda m: F.array_contains(allowed, m)), F.lit(1))
-    named_ok = (F.length(named) == 4) & F.array_contains(allowed, named)
-    return F.when(
-        ~(_is_object(response) & _json(response).isNull()),
-        F.when(_is_object(response) & F.coalesce(named_ok, F.lit(False)), named).otherwise(first),
-    )
+
+    def first_allowed(r: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(r["text"]), F.lit(rf"\b{K.UCI_PLAIN}\b"), F.lit(0))
+        return F.try_element_at(F.array_intersect(found, allowed), F.lit(1))
+
+    def move(r: Column) -> Column:
+        named = strip(F.lower(_field(r, "move")))
+        usable = (F.length(named) == 4) & F.array_contains(allowed, named)
+        return F.when(r["open"] & r["json"].isNull(), F.lit(None).cast("string")).otherwise(
+            F.coalesce(F.when(usable, named), first_allowed(r))
+        )
+
+    return let(_read(response), move)
 
 
 def parse_explanation_response(response: Column) -> Column:
     """The ``explanation`` of a JSON answer, else what follows the first colon of the line that
     holds ``explanation:``."""
-    line = F.regexp_extract(response, r"(?im)^(.*explanation:.*)$", 1)
-    return F.when(_is_object(response), _json_field(response, "explanation")).otherwise(
-        F.when(line != "", strip(F.regexp_extract(line, r"^[^:]*:(.*)$", 1)))
-    )
+
+    def explanation(r: Column) -> Column:
+        told = F.regexp_extract(r["text"], r"(?im)^(?=.*explanation:)[^:]*:(.*)$", 1)
+        has_line = F.contains(F.lower(r["text"]), F.lit("explanation:"))
+        return F.when(r["open"], _field(r, "explanation")).otherwise(F.when(has_line, strip(told)))
+
+    return let(_read(response), explanation)
 
 
 def parse_verdict(response: Column) -> Column:
     """The ``verdict`` of a JSON answer, else the first of four keywords by rank."""
-    text = F.lower(response)
-    by_keyword = F.coalesce(*[F.when(text.contains(v), v) for v in K.VERDICTS], F.lit("parse_error"))
-    is_json = _is_object(response) & _json(response).isNotNull()
-    return F.when(is_json, F.lower(F.coalesce(_json_field(response, "verdict"), F.lit("unknown")))).otherwise(
-        by_keyword
-    )
+
+    def by_keyword(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.contains(v), v) for v in K.VERDICTS], F.lit("parse_error"))
+
+    def verdict(r: Column) -> Column:
+        named = F.lower(F.coalesce(_field(r, "verdict"), F.lit("unknown")))
+        return F.when(r["json"].isNotNull(), named).otherwise(by_keyword(F.lower(r["text"])))
+
+    return let(_read(response), verdict)
 
 
 def parse_labelled_lines(response: Column, labels: tuple[str, str] = ("move: ", "explanation: ")) -> Column:

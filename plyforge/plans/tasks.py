@@ -11,8 +11,6 @@ from plyforge.functions import prompts as P
 from plyforge.functions.core import hash01, let, pick
 from plyforge.operators.shaping import Rule, generate_tasks
 
-SQUARES = [f"{f}{r}" for r in range(1, 9) for f in "abcdefgh"]
-
 
 def _text(template: str, **values: Column) -> Column:
     return P._fill(template, **values)
@@ -47,7 +45,7 @@ def with_draws(plies: DataFrame, seed: int, keys: list[str], rate: float = K.BAS
     """Add ``draw``: the squares and the attacking side asked about, for the hashed share ``rate`` of
     plies; NULL for all others, whose board is then never read."""
     at = [F.col(k) for k in keys]
-    squares = F.array(*[F.lit(s) for s in SQUARES])
+    squares = F.array(*[F.lit(s) for s in sorted(N.SQUARES, key=lambda s: (s[1], s[0]))])
     occupied = F.filter(N.board_squares(F.col("fen_before")), lambda s: s["piece"].isNotNull())
 
     def draws(occ: Column) -> Column:

@@ -9,7 +9,7 @@ from plyforge.functions import responses as R
 from plyforge.functions.core import sanitize_name, split_last, words
 from plyforge.operators import matching as J
 from plyforge.operators.shaping import conform_schema
-from plyforge.queries.registry import documents, query, table
+from plyforge.queries.registry import documents, events, query, table
 from plyforge.queries.standins import k_of
 
 # White space at both ends, as Java's \s has it, and sentence starts marked by a control character.
@@ -61,7 +61,7 @@ FROM d
 """)
 def model_responses(spark, sf_dir):
     """Moves, explanations and verdicts read from JSON, broken JSON and prose answers."""
-    ev = table(spark, sf_dir, "events").withColumn("k", k_of())
+    ev = events(spark, sf_dir).withColumn("k", k_of())
     u, k, kind = _uci(F.col("k")), F.col("k").cast("string"), F.col("event_type")
     text = (
         F.when(kind == "signup", F.concat(F.lit('{"move": " '), F.upper(u), F.lit(' ", "explanation": "plan '), k, F.lit('", "verdict": "Good"}')))
@@ -169,7 +169,7 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM even
 """)
 def normalized_moves(spark, sf_dir):
     """Moves, pieces and colours picked out of prose."""
-    ev = table(spark, sf_dir, "events").withColumn("k", k_of())
+    ev = events(spark, sf_dir).withColumn("k", k_of())
     kind = F.col("event_type")
 
     def say(signup, error, click, view, other):

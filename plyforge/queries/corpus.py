@@ -8,7 +8,7 @@ from plyforge.functions import notation as N
 from plyforge.operators import games as G
 from plyforge.operators.shaping import explode_board
 from plyforge.plans.archive import archive_games
-from plyforge.queries.registry import documents, query, table
+from plyforge.queries.registry import documents, events, query, table
 from plyforge.queries.standins import SQL_MOVES, event_games, event_moves, k_of
 from plyforge.session import scratch_path
 from plyforge.sources import archive as A
@@ -101,7 +101,7 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM even
 """)
 def move_annotations(spark, sf_dir):
     """Score, clock and joined comments of annotation text."""
-    ev = table(spark, sf_dir, "events").withColumn("k", k_of())
+    ev = events(spark, sf_dir).withColumn("k", k_of())
     text = F.concat(
         F.lit("{ [%eval "), F.col("value").cast("string"), F.lit("] "), "event_type", F.lit(" } { } {[%clk 1:"),
         F.lpad((F.col("k") % 60).cast("string"), 2, "0"), F.lit(":07]"), F.when(F.col("k") % 2 == 0, "\neven ").otherwise(""), F.lit("}"),
@@ -214,7 +214,7 @@ def board_occupancy(spark, sf_dir):
     """How often each piece stands on each square, over a board string per event."""
     ranks = F.array(*[F.lit(r) for r in _RANKS])
     row = [F.element_at(ranks, ((F.col("k") + i) % 8 + 1).cast("int")) for i in range(8)]
-    fens = table(spark, sf_dir, "events").select(k_of().alias("k")).select(F.concat(F.concat_ws("/", *row), F.lit(" w - - 0 1")).alias("fen"))
+    fens = events(spark, sf_dir).select(k_of().alias("k")).select(F.concat(F.concat_ws("/", *row), F.lit(" w - - 0 1")).alias("fen"))
     placed = explode_board(fens).where("piece IS NOT NULL")
     return placed.groupBy("square", "piece", "color").agg(F.count("*").alias("n"))
 

@@ -11,7 +11,7 @@ from plyforge.operators import metrics as A
 from plyforge.plans import report as R
 from plyforge.queries.answers import sql_end_mark, sql_one_line, sql_sentences, sql_strip
 from plyforge.queries.joins import EVENTS_K, WORDS
-from plyforge.queries.registry import documents, query, table
+from plyforge.queries.registry import documents, events, query, table
 from plyforge.queries.standins import SQL_PAIRS, k_of, turn_pairs
 
 ALNUM = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -194,7 +194,7 @@ GROUP BY event_type
 """)
 def rule_task_report(spark, sf_dir):
     """Raw answers normalised by task and scored, move lists as sets."""
-    ev = table(spark, sf_dir, "events").withColumn("k", k_of())
+    ev = events(spark, sf_dir).withColumn("k", k_of())
     k, kind = F.col("k"), F.col("event_type")
     task = (F.when(kind == "signup", "is_square_attacked").when(kind == "error", "list_legal_moves")
             .when(kind == "click", "identify_color").when(kind == "view", "identify_piece").otherwise("identify_outcome"))
@@ -228,7 +228,7 @@ def _predictions(spark, sf_dir):
     from pyspark.sql import Window
 
     cp = F.round(F.col("value") * 100).cast("long")
-    ev = table(spark, sf_dir, "events").select(
+    ev = events(spark, sf_dir).select(
         "event_id", F.col("user_id").alias("pos_id"), F.col("event_type").alias("move"), k_of().alias("k"), cp.alias("cp"))
     best = ev.groupBy("pos_id", "move").agg(F.max("cp").alias("score"))
     rank = F.row_number().over(Window.partitionBy("pos_id").orderBy(F.desc("score"), "move"))

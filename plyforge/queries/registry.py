@@ -33,3 +33,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, shared by all cores where the table is one small file: their texts are
     expensive to work on."""
     return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, shared in the same way, for work that is heavy per event."""
+    return spread(table(spark, sf_dir, "events"), "event_id")

@@ -120,5 +120,5 @@ def summary_header_entries(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def read_summary_headers(spark: SparkSession, base: str) -> DataFrame:
     """Header entries of every ``base/<folder>/summary.txt``; one small file is one row."""
-    files = spark.read.option("wholetext", True).text(f"{base}/*/summary.txt")
+    files = spark.read.text(f"{base}/*/summary.txt", wholetext=True)
     return summary_header_entries(files.select(_folder("summary.txt").alias("folder"), "value"), "folder", "value")
