@@ -184,6 +184,18 @@ def fill_scores(
     return joined.withColumn("eval_cp", chosen).drop("_supplied")
 
 
+def score_counters(filled: DataFrame, by: str | list[str], had_score: Column) -> DataFrame:
+    """How many scores were there, checked, found wrong and filled, from rows of `fill_scores`."""
+    status = F.col("score_status")
+    return ingest_counters(filled, by, {
+        "moves_total": F.lit(1),
+        "moves_with_pgn_eval": had_score,
+        "moves_validated": status.isin("validated", "mismatch"),
+        "moves_mismatch": status == "mismatch",
+        "moves_missing_eval": status == "filled",
+    })
+
+
 def new_scores(scores: DataFrame, computed: DataFrame, key: str) -> DataFrame:
     """Computed scores that the score table does not hold yet, one per key."""
     once = computed.where(F.col("value").isNotNull()).groupBy(key).agg(F.min("value").alias("value"))
@@ -202,8 +214,9 @@ def attach_positions(plies: DataFrame, positions: DataFrame, on: list[str], on_b
 
 
 def ingest_counters(df: DataFrame, by: str | list[str], counters: dict[str, Column]) -> DataFrame:
-    """Sums of conditions per file, then over all files (file NULL). The second step adds up the
-    per-file counts instead of reading the rows twice."""
+    """Sums of numbers or conditions per file, then over all files (file NULL). The second step adds
+    up the per-file sums instead of reading the rows twice."""
     keys = [by] if isinstance(by, str) else by
-    per_file = df.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counters.items()])
+    sums = [F.sum(F.coalesce(c.cast("long"), F.lit(0))).alias(n) for n, c in counters.items()]
+    per_file = df.groupBy(*keys).agg(*sums)
     return per_file.rollup(*keys).agg(*[F.sum(n).alias(n) for n in counters])

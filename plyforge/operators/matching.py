@@ -15,7 +15,8 @@ def probe_cache(prompts: DataFrame, cache: DataFrame, prompt: str = "input") ->
     """(rows with their cached ``response``, distinct prompts that still need one)."""
     keyed = prompts.withColumn("prompt_hash", prompt_key(F.col(prompt)))
     hits = keyed.join(cache.select("prompt_hash", "response"), "prompt_hash")
-    misses = keyed.join(cache, "prompt_hash", "left_anti").select("prompt_hash", prompt).distinct()
+    # Copies of a prompt are merged before the join, so a prompt with very many is joined once.
+    misses = keyed.select("prompt_hash", prompt).distinct().join(cache, "prompt_hash", "left_anti")
     return hits, misses
 
 

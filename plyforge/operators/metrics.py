@@ -173,12 +173,12 @@ def method_means(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
 
 
 def latest_metric(df: DataFrame, key: str, step: str, value: str, fallback: DataFrame | None = None) -> DataFrame:
-    """Value of the highest step per key, taken from ``fallback`` where the log has none."""
-    seen = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, step).alias(value))
-    if fallback is None:
-        return seen
-    other = fallback.select(key, F.col(value).alias("_f"))
-    return seen.join(other, key, "full_outer").select(key, F.coalesce(F.col(value), F.col("_f")).alias(value))
+    """Value of the highest step per key, taken from ``fallback`` (key, value) where the log has none."""
+    seen = df.select(key, F.struct(F.lit(1).alias("from_log"), F.col(step).cast("long").alias("step")).alias("_at"), value)
+    if fallback is not None:
+        first = F.struct(F.lit(0).alias("from_log"), F.lit(0).cast("long").alias("step"))
+        seen = seen.unionByName(fallback.select(key, first.alias("_at"), value))
+    return seen.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, "_at").alias(value))
 
 
 def throughput(df: DataFrame, tokens: Column, secs: Column, by: str) -> DataFrame:

@@ -140,7 +140,8 @@ def comparison_table(
     """One row per ``rows`` value and one text column per listed ``columns`` value. Swapping the two
     names transposes the table."""
     table = metrics.groupBy(rows).pivot(columns, values).agg(F.first(cell, ignorenulls=True))
-    return table.na.fill(missing, values)
+    # Titles and folder names may hold dots, so they are quoted.
+    return table.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(missing)).alias(v) for v in values])
 
 
 def format_by_spec(value: Column, spec: Column, specs: list[str], default: str = "N/A") -> Column:

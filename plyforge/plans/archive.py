@@ -23,6 +23,30 @@ def archive_games(spark: SparkSession, path: str | list[str], on_bad: str = "dro
     return G.with_plies(G.game_record(games), fen="fen").drop("header_text", "movetext")
 
 
+def archive_counters(spark: SparkSession, path: str | list[str], **switches) -> DataFrame:
+    """Games found, filtered out, unreadable and kept, and moves and scored moves, per file and in all.
+
+    Rejected games count nothing further; their moves are not read.
+    """
+    games = G.with_headers(read_games(spark, path))
+    tags = F.col("headers")
+    passed = let(tags, lambda t: G.passes_filter(
+        *[F.try_element_at(t, F.lit(n)) for n in ("Result", "Variant", "WhiteElo", "BlackElo")], **switches))
+    judged = games.select("file", "movetext", passed.alias("passed"))
+    read = F.col("passed") & N.unread_movetext(F.col("movetext")).isNull()
+    plies = F.when(F.col("read"), N.movetext_plies(F.col("movetext")))
+    moves = judged.withColumn("read", read).withColumn("notes", F.transform(plies, lambda p: p["annotation"]))
+    scored = F.filter("notes", lambda a: N.parse_annotations(a)["eval_cp"].isNotNull())
+    return G.ingest_counters(moves, "file", {
+        "games_found": F.lit(1),
+        "games_filtered_out": ~F.col("passed"),
+        "games_skipped_parsing_error": F.col("passed") & ~F.col("read"),
+        "games_processed": F.col("read"),
+        "moves_total": F.size("notes"),
+        "moves_with_pgn_eval": F.size(scored),
+    })
+
+
 def _move(ply: Column) -> Column:
     note, kind = N.parse_annotations(ply["annotation"]), N.classify_move(ply["san"])
     return F.struct(
@@ -67,16 +91,12 @@ def nested_games(games: DataFrame) -> DataFrame:
     )
 
 
-def plies_with_history(
-    games: DataFrame, keep: list[str], n: int = K.HISTORY_LEN, style: str = "plain", plies: str = "plies"
-) -> DataFrame:
-    """One row per half-move with the ``history`` text of the ``n`` before it.
-
-    The texts are cut from the game's own array before it is exploded, so nothing is shuffled.
-    """
+def _with_history(plies: Column, n: int, style: str, number: str = "ply") -> Column:
+    """array<struct<ply, history>>: each half-move with the text of the ``n`` before it, cut from the
+    game's own array."""
 
     def token(p: Column) -> Column:
-        return G.history_token(p["move_number"], p["side"] == "w", p["san"], style, p["ply"] == 0)
+        return G.history_token(p["move_number"], p["side"] == "w", p["san"], style, p[number] == 0)
 
     def with_text(game: Column) -> Column:
         def before(p: Column, i: Column) -> Column:
@@ -86,13 +106,25 @@ def plies_with_history(
 
         return F.transform(game["plies"], before)
 
-    game = let(F.col(plies), lambda a: F.struct(a.alias("plies"), F.transform(a, token).alias("tokens")))
-    rows = games.select(*keep, F.explode(let(game, with_text)).alias("_r"))
+    game = let(plies, lambda a: F.struct(a.alias("plies"), F.transform(a, token).alias("tokens")))
+    return let(game, with_text)
+
+
+def plies_with_history(
+    games: DataFrame, keep: list[str], n: int = K.HISTORY_LEN, style: str = "plain", plies: str = "plies"
+) -> DataFrame:
+    """One row per half-move with the ``history`` text of the ``n`` before it. Nothing is shuffled."""
+    rows = games.select(*keep, F.explode(_with_history(F.col(plies), n, style)).alias("_r"))
     return rows.select(*keep, "_r.ply.*", "_r.history")
 
 
-def flat_plies(nested: DataFrame, id: str = "game_id") -> DataFrame:
-    """One row per half-move of nested games, in order, with its fields and half-move index."""
+def with_game_key(nested: DataFrame, name: str = "game_id") -> DataFrame:
+    """Add a key made from the start position and the moves; copies of a game share it."""
+    return nested.withColumn(name, F.md5(F.to_json(F.struct("game_metadata.fen", "game_metadata.pgn"))))
+
+
+def usable_moves(nested: DataFrame) -> Column:
+    """array<struct<half_move, move_number, side, ...>> of the moves that have a coordinate form."""
     fields = ["san", "uci", "outcome", "special_move", "quality", "eval_cp", "clock", "comment"]
 
     def rows(pair: Column) -> Column:
@@ -103,9 +135,25 @@ def flat_plies(nested: DataFrame, id: str = "game_id") -> DataFrame:
 
         return F.array(one("white_move", "w"), one("black_move", "b"))
 
+    flat = F.array_compact(F.flatten(F.transform("game_metadata.pgn", rows)))
+    moves = F.filter(flat, lambda m: F.length(m["uci"]) > 0)
+    names = ["move_number", "side", *fields]
+    return F.transform(moves, lambda m, i: F.struct(i.alias("half_move"), *[m[f].alias(f) for f in names]))
+
+
+def flat_plies(nested: DataFrame, id: str = "game_id", n: int = K.HISTORY_LEN, style: str = "plain") -> DataFrame:
+    """One row per usable half-move of nested games, with its fields, half-move index and history.
+    Games without a start position or moves give none."""
     games = nested.where(F.col("game_metadata.fen").isNotNull() & (F.size("game_metadata.pgn") > 0))
-    moves = F.filter(F.array_compact(F.flatten(F.transform("game_metadata.pgn", rows))), lambda m: F.length(m["uci"]) > 0)
     if id not in games.columns:
-        games = games.withColumn(id, F.monotonically_increasing_id())
-    placed = games.select(id, F.posexplode(moves).alias("half_move", "_m"))
-    return placed.select(id, "half_move", "_m.*")
+        games = with_game_key(games, id)
+    rows = games.select(id, F.explode(_with_history(usable_moves(games), n, style, "half_move")).alias("_r"))
+    return rows.select(id, "_r.ply.*", "_r.history")
+
+
+def position_requests(nested: DataFrame, id: str = "game_id") -> DataFrame:
+    """DataFrame[id, fen, moves]: what a rules engine outside needs to supply board facts, one row per
+    different game."""
+    games = nested if id in nested.columns else with_game_key(nested, id)
+    moves = F.transform(usable_moves(games), lambda m: m["uci"])
+    return games.select(id, F.col("game_metadata.fen").alias("fen"), moves.alias("moves")).dropDuplicates([id])

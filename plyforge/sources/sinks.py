@@ -54,10 +54,13 @@ def materialize(spark: SparkSession, compute: Callable[[], DataFrame], path: str
 
 def write_results(spark: SparkSession, metrics: DataFrame, samples: DataFrame, args: dict, path: str,
                   counts: DataFrame | None = None) -> None:
-    """``path/samples`` as JSON lines, ``path/result.json`` and ``path/summary.txt`` as folders with
-    one small part each. Metrics are one row per name, so they fit one file; samples are not gathered.
+    """``path/samples`` as JSON lines, ``path/metrics`` as a table, and ``path/result.json`` and
+    ``path/summary.txt`` as folders with one small part each. Metrics are one row per name, so they
+    fit one file; samples are not gathered.
     """
     samples.write.mode("overwrite").json(f"{path}/samples")
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    metrics = spark.read.parquet(f"{path}/metrics")
     by_name = F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value"))))
     result = metrics.agg(by_name.alias("aggregated_metrics")).withColumn(
         "args", F.from_json(F.lit(json.dumps({k: str(v) for k, v in args.items()})), "map<string,string>")

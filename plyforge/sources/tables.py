@@ -26,10 +26,14 @@ def _with_corrupt(schema: str | T.StructType) -> T.StructType:
     return T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
 
 
+def _head(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The first two lines that are not blank."""
+    return [r[0].lstrip("﻿").rstrip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+
+
 def is_json_array(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether the first line that is not blank opens an array."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(head) and head[0][0].lstrip("﻿ \t").startswith("[")
+    return any(line.lstrip().startswith("[") for line in _head(spark, path)[:1])
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
@@ -44,10 +48,22 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
 
 
 def read_json_auto(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
-    """JSON array or JSON lines, told apart by the first character that is not blank."""
-    if is_json_array(spark, path):
-        return spark.read.schema(schema).option("multiLine", True).json(path)
-    return read_jsonl(spark, path, schema)
+    """JSON array or JSON lines, told apart by the first character that is not blank.
+
+    An array laid out with two spaces of indent is cut where its elements start, so one large file
+    is read by many tasks; an array in any other layout is read file by file.
+    """
+    head = _head(spark, path)
+    if not head or not head[0].lstrip().startswith("["):
+        return read_jsonl(spark, path, schema)
+    if head[0] == "[" and len(head) > 1 and head[1].startswith("  {"):
+        # No string in JSON holds a raw line break, and inner objects are indented further.
+        pieces = spark.read.option("lineSep", "\n  {").text(path)
+        body = F.regexp_replace("value", r"[,\]]\s*$", "")
+        elements = pieces.where(~F.col("value").rlike(r"^\s*\[\s*$")).select(F.concat(F.lit("{"), body).alias("value"))
+        full = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        return elements.select(F.from_json("value", full).alias("r")).select("r.*")
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def read_puzzles(spark: SparkSession, path: str | list[str]) -> DataFrame:
