@@ -224,16 +224,22 @@ n AS (SELECT user_id, max(rank) AS n, max(CASE WHEN rank = 1 THEN score END) AS
              string_agg(CASE WHEN rank <= 3 THEN move END, ',' ORDER BY rank) AS top FROM lines GROUP BY user_id)"""
 
 
-def _predictions(spark, sf_dir):
+def _engine_lines(ev):
+    """Event types of each user as engine moves, ranked by their best score."""
     from pyspark.sql import Window
 
     cp = F.round(F.col("value") * 100).cast("long")
-    ev = events(spark, sf_dir).select(
-        "event_id", F.col("user_id").alias("pos_id"), F.col("event_type").alias("move"), k_of().alias("k"), cp.alias("cp"))
-    best = ev.groupBy("pos_id", "move").agg(F.max("cp").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("pos_id").orderBy(F.desc("score"), "move"))
-    engine = best.withColumn("rank", rank)
-    return J.attach_engine(ev, engine, [1, 3])
+    best = ev.groupBy(F.col("user_id").alias("pos_id"), F.col("event_type").alias("move")).agg(F.max(cp).alias("score"))
+    # At most one row per event type and user is left to rank.
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("pos_id").orderBy(F.desc("score"), "move")))
+
+
+def _predictions(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    preds = ev.select(
+        "event_id", F.col("user_id").alias("pos_id"), F.col("event_type").alias("move"), k_of().alias("k"),
+        F.round(F.col("value") * 100).cast("long").alias("cp"))
+    return J.attach_engine(preds, _engine_lines(ev), [1, 3])
 
 
 @query(f"""
@@ -386,3 +392,50 @@ def grouped_medians(spark, sf_dir):
     both = means.join(each.unionByName(overall).withColumnRenamed("event_type", "t"), F.col("event_type").eqNullSafe(F.col("t")), "left")
     shown = format_metric(F.when(F.coalesce(F.col("event_type") != "view", F.lit(True)), F.col("median").cast("double")), "%.1f")
     return both.select("event_type", F.col("n").cast("long").alias("n"), F.col("median").cast("double").alias("median"), "mean", shown.alias("shown"))
+
+
+def _sql_stats(tail: str, value: str, source: str, stats=("avg", "median", "stddev")) -> list[str]:
+    calc = {"avg": "round_even(avg({v}), 2)", "median": "round_even(median({v}), 2)", "stddev": "round_even(stddev_pop({v}), 2)",
+            "min": "min({v})", "max": "max({v})"}
+    return [f"SELECT '{s}_{tail}' AS metric, CAST({calc[s].format(v=value)} AS DOUBLE) AS value FROM {source}" for s in stats]
+
+
+_METRIC_ROWS = [
+    "SELECT 'predict_move_em_accuracy' AS metric, round_even(count(*) FILTER (move = reference) / count(*), 4) AS value FROM b",
+    *[f"SELECT '{name}' AS metric, round_even(count(*) FILTER (list_contains(top[1:{k}], move)) / count(*), 4) AS value FROM b"
+      for k in (1, 3) for name in (f"top_{k}_agreement_rate", f"predict_move_sf_in_top{k}_accuracy")],
+    *[f"SELECT 'average_ssd_cp_vs_sf_top{k}' AS metric, round_even(avg(CASE WHEN side = 'w' THEN base{k} - pred ELSE pred - base{k} END), 2) AS value FROM b" for k in (1, 3)],
+    *[row for k in (1, 3) for row in _sql_stats(f"delta_llm_vs_sf_wpov_vs_top{k}", f"pred - base{k}", "b")],
+    *[row for k in (1, 3) for row in _sql_stats(f"delta_sf_vs_gt_wpov_vs_top{k}", f"base{k} - ref", "b")],
+    """SELECT 'llm_better_than_gt_rate' AS metric, round_even(count(*) FILTER (CASE WHEN side = 'w' THEN pred > ref ELSE pred < ref END) / count(*), 4) AS value
+       FROM b WHERE pred IS NOT NULL AND ref IS NOT NULL""",
+    *_sql_stats("delta_llm_vs_gt_cp", "pred - ref", "b", ("avg", "median", "stddev", "min", "max")),
+]
+
+
+@query(f"""
+WITH {SQL_LINES}, e AS (SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN 'w' ELSE 'b' END AS side,
+    CASE WHEN event_type = 'purchase' THEN '' ELSE event_type END AS move, CASE WHEN k % 2 = 0 THEN event_type ELSE 'click' END AS reference FROM cp),
+b AS (SELECT e.*, string_split(n.top, ',') AS top, n.s1 AS base1, CASE WHEN n.n >= 3 THEN n.s3 ELSE n.s1 END AS base3, p.score AS pred, r.score AS ref
+  FROM e JOIN n USING (user_id) LEFT JOIN lines p ON p.user_id = e.user_id AND p.move = e.move LEFT JOIN lines r ON r.user_id = e.user_id AND r.move = e.reference)
+{' UNION ALL '.join(_METRIC_ROWS)}
+""")
+def evaluation_metrics(spark, sf_dir):
+    """The whole evaluation of move answers: raw text to named metrics. A word that is too long to be
+    a move is read as no answer."""
+    from plyforge.functions.prompts import p1_prompt
+    from plyforge.plans.evaluate import evaluate
+
+    ev = events(spark, sf_dir).withColumn("k", k_of())
+    side = F.when(F.col("user_id") % 2 == 0, "w").otherwise("b")
+    pos = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(" "), side)
+    lines = _engine_lines(ev).withColumn("side", F.when(F.col("pos_id") % 2 == 0, "w").otherwise("b"))
+    engine = lines.withColumn("pos_id", F.concat(F.lit("u"), F.col("pos_id").cast("string"), F.lit(" "), "side"))
+    samples = ev.select(
+        F.col("event_id").alias("sample_id"), F.lit("P1").alias("data_source"), F.lit("predict_move").alias("task"),
+        F.lit(None).cast("string").alias("task_id"), p1_prompt(F.lit("Predict the next move."), pos, F.lit("")).alias("input"),
+        F.concat(F.lit("Explanation: [ASSISTANT] "), "event_type").alias("raw"),
+        F.when(F.col("k") % 2 == 0, F.col("event_type")).otherwise("click").alias("reference"),
+    )
+    metrics, _, _ = evaluate(samples, engine, engine.select("pos_id", "move", "score"), ks_ref=(1, 3), ks_agree=(1, 3))
+    return metrics
