@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.functions.core import alnum_tokens, ngrams, words
+from plyforge.functions.core import alnum_tokens, ngrams, round_mean, round_ratio, words
 from plyforge.functions.metrics import clipped_overlap, f_measure, lcs_length
 from plyforge.operators.ordering import global_index
 from plyforge.session import stored
@@ -22,10 +22,10 @@ def source_counts(df: DataFrame, source: str = "data_source") -> DataFrame:
 
 
 def accuracy(df: DataFrame, correct: Column, by: str) -> DataFrame:
-    """DataFrame[by, correct, total, accuracy], accuracy rounded half-even to 4 places."""
+    """DataFrame[by, correct, total, accuracy], accuracy rounded to 4 places."""
     hits, total = F.count_if(correct), F.count("*")
     return df.groupBy(by).agg(
-        hits.alias("correct"), total.alias("total"), F.bround(hits / total, 4).alias("accuracy")
+        hits.alias("correct"), total.alias("total"), round_ratio(hits / total, 4).alias("accuracy")
     )
 
 
@@ -83,17 +83,19 @@ def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median
 
 
 def spread_stats(df: DataFrame, by: list[str], value: str, width: float = 100.0) -> DataFrame:
-    """n, mean, median, population deviation, min and max per group, rounded half-even to 2 places."""
+    """n, mean, median, population deviation, min and max per group, rounded half-even to 2 places
+    (``mean`` as it is, ``avg`` rounded)."""
     v = F.col(value)
     stats = df.where(v.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.bround(F.avg(v), 2).alias("avg"),
-        F.bround(F.stddev_pop(v), 2).alias("stddev"),
-        F.bround(F.min(v), 2).alias("min"),
-        F.bround(F.max(v), 2).alias("max"),
+        F.avg(v).alias("mean"),
+        round_mean(F.avg(v), 2).alias("avg"),
+        round_mean(F.stddev_pop(v), 2).alias("stddev"),
+        round_mean(F.min(v), 2).alias("min"),
+        round_mean(F.max(v), 2).alias("max"),
     )
     median = grouped_median(df, by, value, "median", width)
-    return _join_on(stats, median.withColumn("median", F.bround("median", 2)), by)
+    return _join_on(stats, median.withColumn("median", round_mean(F.col("median"), 2)), by)
 
 
 def delta_stats(df: DataFrame, side: Column, candidate: Column, truth: Column, width: float = 100.0) -> DataFrame:
@@ -129,8 +131,8 @@ def agreement_stats(df: DataFrame, ks: list[int], move: str = "move", top: str =
     hits, scored, n = F.count_if("hit"), F.count_if("scored"), F.count("*")
     return rows.groupBy("k").agg(
         hits.alias("hits"), n.alias("attempts"), scored.alias("scored"),
-        F.bround(hits / n, 4).alias("agreement_rate"),
-        F.when(scored > 0, F.bround(hits / scored, 4)).alias("accuracy"),
+        round_ratio(hits / n, 4).alias("agreement_rate"),
+        F.when(scored > 0, round_ratio(hits / scored, 4)).alias("accuracy"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyforge.functions.core import hash01, is_close
+from plyforge.functions.core import format_fixed, hash01, is_close
 
 # --- unions and schemas ------------------------------------------------------------------------------
 
@@ -148,7 +148,7 @@ def format_by_spec(value: Column, spec: Column, specs: list[str], default: str =
     """Format each value with the spec named in its row."""
     shown = F.lit(None).cast("string")
     for s in specs:
-        shown = F.when((spec == s) & value.isNotNull(), F.format_string(s, value)).otherwise(shown)
+        shown = F.when((spec == s) & value.isNotNull(), format_fixed(value, s)).otherwise(shown)
     return F.coalesce(shown, F.lit(default))
 
 

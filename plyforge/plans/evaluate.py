@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions import metrics as M
-from plyforge.functions.core import words
+from plyforge.functions.core import round_ratio, words
 from plyforge.functions.notation import side_to_move
 from plyforge.functions.prompts import extract_tag, task_subtype
 from plyforge.operators import matching as J
@@ -68,11 +68,11 @@ def move_metrics(moves: DataFrame, engine: DataFrame, move_scores: DataFrame, ks
         measure == "engine_vs_ref", _suffixed("delta_sf_vs_gt_wpov_vs_top", k))
     deltas = _long(
         by_k,
-        _named(F.when(measure == "ssd", _suffixed("average_ssd_cp_vs_sf_top", k)), F.col("avg")),
+        _named(F.when(measure == "ssd", _suffixed("average_ssd_cp_vs_sf_top", k)), round_ratio(F.col("mean"), 2)),
         *[_named(F.concat(F.lit(f"{s}_"), tail), F.col(s)) for s in ("avg", "median", "stddev")],
     ).where("metric IS NOT NULL")
     both = J.score_deltas(rows, side).where(F.col("delta").isNotNull()).withColumn("all", F.lit("all"))
-    better = both.groupBy("all").agg(F.bround(F.count_if("better") / F.count("*"), 4).alias("rate"))
+    better = both.groupBy("all").agg(round_ratio(F.count_if("better") / F.count("*"), 4).alias("rate"))
     versus = [
         _long(better, _named(F.lit("llm_better_than_gt_rate"), F.col("rate"))),
         _long(A.spread_stats(both, ["all"], "delta"),
@@ -87,7 +87,7 @@ def list_metrics(rules: DataFrame) -> DataFrame:
     s = rows.select(M.set_prf(words(F.col("answer")), words(F.col("reference"))).alias("s")).groupBy().agg(
         *[F.avg(f"s.{c}").alias(c) for c in ("f1", "p", "r")])
     names = {"f1": "f1", "p": "precision", "r": "recall"}
-    return _long(s, *[_named(F.lit(f"list_legal_moves_{n}_avg"), F.bround(c, 4)) for c, n in names.items()]).where("value IS NOT NULL")
+    return _long(s, *[_named(F.lit(f"list_legal_moves_{n}_avg"), round_ratio(F.col(c), 4)) for c, n in names.items()]).where("value IS NOT NULL")
 
 
 def explanation_metrics(explained: DataFrame) -> DataFrame:
@@ -103,10 +103,10 @@ def explanation_metrics(explained: DataFrame) -> DataFrame:
     bleu = A.corpus_bleu(explained, "answer", "reference", "subtype")
     ratios = [
         _long(A.distinct_n(explained, "answer", n, id="sample_id", cross=n == 2),
-              _named(F.lit(f"distinct_{n}_overall"), F.bround("ratio", 4)))
+              _named(F.lit(f"distinct_{n}_overall"), round_ratio(F.col("ratio"), 4)))
         for n in (1, 2)
     ]
-    return union_all(overlap, _long(bleu, _named(name("bleu_4"), F.bround("bleu_4", 4))), *ratios)
+    return union_all(overlap, _long(bleu, _named(name("bleu_4"), round_ratio(F.col("bleu_4"), 4))), *ratios)
 
 
 def evaluate(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions import metrics as M
-from plyforge.functions.core import words
+from plyforge.functions.core import round_mean, words
 from plyforge.functions.prompts import task_subtype
 from plyforge.functions.responses import normalize_answer
 from plyforge.operators import metrics as A
@@ -40,7 +40,7 @@ def text_report(df: DataFrame, by: str, pred: str, ref: str, lcs: bool = True) -
         rows = A.rouge_l(rows, pred, ref)
         names.append("rouge_l")
     sums = {"n": F.lit(1), **{x: F.col(x) for x in names}}
-    finish = {"n": F.col("n"), **{x: F.bround(F.col(x) / F.col("n"), 4) for x in names}}
+    finish = {"n": F.col("n"), **{x: round_mean(F.col(x) / F.col("n"), 4) for x in names}}
     return A.with_overall(rows, by, sums, finish)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plyforge.functions import metrics as M
-from plyforge.functions.core import alnum_tokens, array_mean, format_metric, words
+from plyforge.functions.core import alnum_tokens, array_mean, format_metric, round_mean, round_ratio, words
 from plyforge.operators import matching as J
 from plyforge.operators import metrics as A
 from plyforge.plans import report as R
@@ -86,15 +86,15 @@ rows AS (SELECT 'turn ' || turn AS subtype, len(p) AS pl, len(r) AS rl, {', '.jo
   FROM tok {' '.join(f'JOIN s{n} USING (conv_id, turn)' for n in (1, 2, 3, 4))}),
 agg AS (SELECT subtype, sum(pl) AS pl, sum(rl) AS rl, {', '.join(f'sum(m{n}) AS m{n}, sum(t{n}) AS t{n}' for n in (1, 2, 3, 4))} FROM rows GROUP BY ROLLUP (subtype))
 SELECT subtype, CAST(m1 AS BIGINT) AS m1, CAST(m4 AS BIGINT) AS m4, CAST(t4 AS BIGINT) AS t4,
-  round_even(CASE WHEN m1 = 0 OR pl = 0 THEN 0.0 ELSE (CASE WHEN pl > rl THEN 1.0 ELSE exp(1 - rl / pl) END) *
-    exp(({' + '.join(f'ln(CASE WHEN m{n} > 0 THEN m{n} ELSE 0.1 END / t{n})' for n in (1, 2, 3, 4))}) / 4) END, 4) AS bleu_4
+  CAST(printf('%.4f', CAST(CASE WHEN m1 = 0 OR pl = 0 THEN 0.0 ELSE (CASE WHEN pl > rl THEN 1.0 ELSE exp(1 - rl / pl) END) *
+    exp(({' + '.join(f'ln(CASE WHEN m{n} > 0 THEN m{n} ELSE 0.1 END / t{n})' for n in (1, 2, 3, 4))}) / 4) END AS DOUBLE)) AS DOUBLE) AS bleu_4
 FROM agg
 """)
 def corpus_bleu(spark, sf_dir):
     """Corpus BLEU-4 of replies against the turns before them, per subtype and overall."""
     pairs = turn_pairs(spark, sf_dir).withColumn("subtype", F.concat(F.lit("turn "), F.col("turn").cast("string")))
     rows = A.corpus_bleu(pairs, "pred", "ref", "subtype")
-    return rows.select("subtype", "m1", "m4", "t4", F.bround("bleu_4", 4).alias("bleu_4"))
+    return rows.select("subtype", "m1", "m4", "t4", round_ratio(F.col("bleu_4"), 4).alias("bleu_4"))
 
 
 @query(f"""
@@ -108,37 +108,37 @@ def set_scores(spark, sf_dir):
     pairs = turn_pairs(spark, sf_dir)
     prf = M.set_prf(words(F.col("pred")), words(F.col("ref")))
     return pairs.select("conv_id", "turn", prf.alias("s")).select(
-        "conv_id", "turn", *[F.bround(f"s.{c}", 6).alias(c) for c in ("p", "r", "f1")])
+        "conv_id", "turn", *[round_mean(F.col(f"s.{c}"), 6).alias(c) for c in ("p", "r", "f1")])
 
 
 @query(f"""
 WITH t AS (SELECT unnest({WORDS.format('text')}) AS tok FROM documents)
-SELECT CAST(count(DISTINCT tok) AS BIGINT) AS distinct_n, count(*) AS total_n, round_even(count(DISTINCT tok) / count(*), 4) AS ratio FROM t
+SELECT CAST(count(DISTINCT tok) AS BIGINT) AS distinct_n, count(*) AS total_n, CAST(printf('%.4f', CAST(count(DISTINCT tok) / count(*) AS DOUBLE)) AS DOUBLE) AS ratio FROM t
 """)
 def distinct_words(spark, sf_dir):
     rows = A.distinct_n(documents(spark, sf_dir), "text", 1)
-    return rows.withColumn("ratio", F.bround("ratio", 4))
+    return rows.withColumn("ratio", round_ratio(F.col("ratio"), 4))
 
 
 @query(f"""
 WITH t AS (SELECT lang, {WORDS.format('text')} AS w FROM documents), g AS (SELECT lang, unnest({sql_grams('w', 2)}) AS gram FROM t)
-SELECT lang, CAST(count(DISTINCT gram) AS BIGINT) AS distinct_n, count(*) AS total_n, round_even(count(DISTINCT gram) / count(*), 4) AS ratio FROM g GROUP BY lang
+SELECT lang, CAST(count(DISTINCT gram) AS BIGINT) AS distinct_n, count(*) AS total_n, CAST(printf('%.4f', CAST(count(DISTINCT gram) / count(*) AS DOUBLE)) AS DOUBLE) AS ratio FROM g GROUP BY lang
 """)
 def distinct_bigrams_by_language(spark, sf_dir):
     rows = A.distinct_n(documents(spark, sf_dir), "text", 2, by="lang")
-    return rows.withColumn("ratio", F.bround("ratio", 4))
+    return rows.withColumn("ratio", round_ratio(F.col("ratio"), 4))
 
 
 @query(f"""
 WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM d),
 b AS (SELECT tok || ' ' || lead(tok) OVER (ORDER BY doc_id, pos) AS gram FROM t)
-SELECT CAST(count(DISTINCT gram) AS BIGINT) AS distinct_n, count(*) AS total_n, round_even(count(DISTINCT gram) / count(*), 4) AS ratio FROM b WHERE gram IS NOT NULL
+SELECT CAST(count(DISTINCT gram) AS BIGINT) AS distinct_n, count(*) AS total_n, CAST(printf('%.4f', CAST(count(DISTINCT gram) / count(*) AS DOUBLE)) AS DOUBLE) AS ratio FROM b WHERE gram IS NOT NULL
 """)
 def distinct_bigrams_across(spark, sf_dir):
     """Distinct bigrams of the whole stream, pairs across neighbouring documents included."""
     rows = A.distinct_n(documents(spark, sf_dir), "text", 2, id="doc_id", cross=True)
-    return rows.withColumn("ratio", F.bround("ratio", 4))
+    return rows.withColumn("ratio", round_ratio(F.col("ratio"), 4))
 
 
 @query("""
@@ -151,7 +151,7 @@ def edit_distances(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark").select("item_id", _ascii(F.col("text")).alias("a"))
     following = t.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
     pairs = t.join(following, "item_id")
-    return pairs.select("item_id", F.bround(M.norm_edit_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+    return pairs.select("item_id", round_mean(M.norm_edit_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 @query(f"""
@@ -166,14 +166,14 @@ def pseudo_perplexities(spark, sf_dir):
 
 @query("""
 SELECT quality AS task, CAST(count(*) FILTER (toxic = 0) AS BIGINT) AS correct, count(*) AS total,
-       round_even(count(*) FILTER (toxic = 0) / count(*), 4) AS accuracy FROM labels GROUP BY quality
+       CAST(printf('%.4f', CAST(count(*) FILTER (toxic = 0) / count(*) AS DOUBLE)) AS DOUBLE) AS accuracy FROM labels GROUP BY quality
 """)
 def label_accuracy(spark, sf_dir):
     return A.accuracy(table(spark, sf_dir, "labels").withColumnRenamed("quality", "task"), F.col("toxic") == 0, "task")
 
 
 @query("""
-SELECT role, CAST(count(*) FILTER (hit) AS BIGINT) AS correct, count(*) AS total, round_even(count(*) FILTER (hit) / count(*), 4) AS accuracy
+SELECT role, CAST(count(*) FILTER (hit) AS BIGINT) AS correct, count(*) AS total, CAST(printf('%.4f', CAST(count(*) FILTER (hit) / count(*) AS DOUBLE)) AS DOUBLE) AS accuracy
 FROM (SELECT role, CASE WHEN turn = 0 THEN 'ZERO' = upper('zero') ELSE length(text) % 2 = turn % 2 END AS hit FROM conversations) GROUP BY role
 """)
 def move_matches(spark, sf_dir):
@@ -187,7 +187,7 @@ def move_matches(spark, sf_dir):
 
 @query("""
 SELECT event_type AS task_type, CAST(count(*) FILTER (hit) AS BIGINT) AS correct, count(*) AS total,
-       round_even(count(*) FILTER (hit) / count(*), 4) AS accuracy
+       CAST(printf('%.4f', CAST(count(*) FILTER (hit) / count(*) AS DOUBLE)) AS DOUBLE) AS accuracy
 FROM (SELECT event_type, CASE event_type WHEN 'signup' THEN k % 2 = 0 WHEN 'error' THEN k % 3 = 0 WHEN 'click' THEN true
         WHEN 'view' THEN k % 4 = 0 ELSE false END AS hit FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))
 GROUP BY event_type
@@ -264,7 +264,7 @@ def score_deltas_by_k(spark, sf_dir):
 WITH {SQL_LINES}, t AS (SELECT e.event_id, e.event_type AS move, string_split(top, ',') AS top FROM cp e JOIN n USING (user_id)),
 f AS (SELECT v.k, list_contains(top[1:v.k], move) AS hit FROM t, (VALUES (1), (2), (3)) v(k))
 SELECT CAST(k AS BIGINT) AS k, CAST(count(*) FILTER (hit) AS BIGINT) AS hits, count(*) AS attempts, count(*) AS scored,
-       round_even(count(*) FILTER (hit) / count(*), 4) AS agreement_rate, round_even(count(*) FILTER (hit) / count(*), 4) AS accuracy FROM f GROUP BY k
+       CAST(printf('%.4f', CAST(count(*) FILTER (hit) / count(*) AS DOUBLE)) AS DOUBLE) AS agreement_rate, CAST(printf('%.4f', CAST(count(*) FILTER (hit) / count(*) AS DOUBLE)) AS DOUBLE) AS accuracy FROM f GROUP BY k
 """)
 def top_k_agreement(spark, sf_dir):
     rows = A.agreement_stats(_predictions(spark, sf_dir), [1, 2, 3])
@@ -293,7 +293,7 @@ def generation_statistics(spark, sf_dir):
     state = F.col("k") % 4
     rows = A.generation_stats(ev, "event_type", state != 0, state > 1, state == 3, F.col("value"))
     rounded = ["parse_rate", "valid_rate", "in_top_k_rate", "average_score"]
-    return rows.withColumns({c: F.bround(c, 4) for c in rounded})
+    return rows.withColumns({c: round_mean(F.col(c), 4) for c in rounded})
 
 
 @query(f"""
@@ -315,7 +315,7 @@ def verdict_counts(spark, sf_dir):
 @query(f"""SELECT event_type, round_even(avg(value), 4) AS value, round_even(avg(k), 4) AS k FROM {EVENTS_K} GROUP BY event_type""")
 def method_averages(spark, sf_dir):
     rows = A.method_means(table(spark, sf_dir, "events").withColumn("k", k_of()), "event_type", ["value", "k"])
-    return rows.select("event_type", F.bround("value", 4).alias("value"), F.bround("k", 4).alias("k"))
+    return rows.select("event_type", round_mean(F.col("value"), 4).alias("value"), round_mean(F.col("k"), 4).alias("k"))
 
 
 @query("""
@@ -330,7 +330,7 @@ def greedy_vector_match(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     even = F.col("vec_id") % 2 == 0
     rows = A.greedy_match_prf(v.where(even), v.where(~even), "label", "vec_id", "embedding", block=32)
-    return rows.select("label", *[F.bround(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+    return rows.select("label", *[round_mean(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("""
@@ -344,7 +344,7 @@ def generation_throughput(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     ids = F.transform("embedding", lambda x: F.floor(x.cast("double") * 20).cast("int"))
     rows = A.throughput(v, M.tokens_until_stop(ids, F.lit(4), [4, 5]), F.lit(0.5), "label")
-    return rows.withColumns({"tokens_per_sec": F.bround("tokens_per_sec", 4), "sec_per_token": F.bround("sec_per_token", 6)})
+    return rows.withColumns({"tokens_per_sec": round_mean(F.col("tokens_per_sec"), 4), "sec_per_token": round_mean(F.col("sec_per_token"), 6)})
 
 
 @query("""
@@ -373,7 +373,7 @@ def task_counts(spark, sf_dir):
 SELECT vec_id, round_even(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 8) AS mean FROM embeddings
 """)
 def vector_means(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.bround(array_mean(F.col("embedding")), 8).alias("mean"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", round_mean(array_mean(F.col("embedding")), 8).alias("mean"))
 
 
 @query(f"""
@@ -385,7 +385,7 @@ def grouped_medians(spark, sf_dir):
     """Exact medians per type and over all, next to means from partial sums."""
     ev = table(spark, sf_dir, "events").withColumn("k", k_of())
     sums = {"n": F.lit(1), "s": F.col("value")}
-    means = A.with_overall(ev, "event_type", sums, {"n": F.col("n"), "mean": F.bround(F.col("s") / F.col("n"), 4)})
+    means = A.with_overall(ev, "event_type", sums, {"n": F.col("n"), "mean": round_mean(F.col("s") / F.col("n"), 4)})
     each = A.grouped_median(ev, ["event_type"], "k", width=10.0)
     overall = A.grouped_median(ev.withColumn("event_type", F.lit(None).cast("string")), ["event_type"], "k", width=10.0)
     # An overall group has a NULL key, which no equality join meets.
@@ -401,13 +401,13 @@ def _sql_stats(tail: str, value: str, source: str, stats=("avg", "median", "stdd
 
 
 _METRIC_ROWS = [
-    "SELECT 'predict_move_em_accuracy' AS metric, round_even(count(*) FILTER (move = reference) / count(*), 4) AS value FROM b",
-    *[f"SELECT '{name}' AS metric, round_even(count(*) FILTER (list_contains(top[1:{k}], move)) / count(*), 4) AS value FROM b"
+    "SELECT 'predict_move_em_accuracy' AS metric, CAST(printf('%.4f', CAST(count(*) FILTER (move = reference) / count(*) AS DOUBLE)) AS DOUBLE) AS value FROM b",
+    *[f"SELECT '{name}' AS metric, CAST(printf('%.4f', CAST(count(*) FILTER (list_contains(top[1:{k}], move)) / count(*) AS DOUBLE)) AS DOUBLE) AS value FROM b"
       for k in (1, 3) for name in (f"top_{k}_agreement_rate", f"predict_move_sf_in_top{k}_accuracy")],
-    *[f"SELECT 'average_ssd_cp_vs_sf_top{k}' AS metric, round_even(avg(CASE WHEN side = 'w' THEN base{k} - pred ELSE pred - base{k} END), 2) AS value FROM b" for k in (1, 3)],
+    *[f"SELECT 'average_ssd_cp_vs_sf_top{k}' AS metric, CAST(printf('%.2f', CAST(avg(CASE WHEN side = 'w' THEN base{k} - pred ELSE pred - base{k} END) AS DOUBLE)) AS DOUBLE) AS value FROM b" for k in (1, 3)],
     *[row for k in (1, 3) for row in _sql_stats(f"delta_llm_vs_sf_wpov_vs_top{k}", f"pred - base{k}", "b")],
     *[row for k in (1, 3) for row in _sql_stats(f"delta_sf_vs_gt_wpov_vs_top{k}", f"base{k} - ref", "b")],
-    """SELECT 'llm_better_than_gt_rate' AS metric, round_even(count(*) FILTER (CASE WHEN side = 'w' THEN pred > ref ELSE pred < ref END) / count(*), 4) AS value
+    """SELECT 'llm_better_than_gt_rate' AS metric, CAST(printf('%.4f', CAST(count(*) FILTER (CASE WHEN side = 'w' THEN pred > ref ELSE pred < ref END) / count(*) AS DOUBLE)) AS DOUBLE) AS value
        FROM b WHERE pred IS NOT NULL AND ref IS NOT NULL""",
     *_sql_stats("delta_llm_vs_gt_cp", "pred - ref", "b", ("avg", "median", "stddev", "min", "max")),
 ]

@@ -170,3 +170,18 @@ def test_latest_and_throughput(spark):
     fallback = spark.createDataFrame([("lr", 0.1), ("loss", 9.0)], "key string, value double")
     assert {r["key"]: r["value"] for r in A.latest_metric(log, "key", "step", "value", fallback).collect()} == {"loss": 0.2, "lr": 0.1}
     assert {r["key"]: r["value"] for r in A.latest_metric(log, "key", "step", "value").collect()} == {"loss": 0.2}
+
+
+def test_rounding_follows_the_held_value(spark):
+    rng = random.Random(3)
+    values = [1 / 160, 0.12345, 2.675, 1.005, 0.5, 5e-05, -5e-05, 4.9e-05, 5.1e-05, 3 / 32, 1 / 32, 1234567.00625, 1e-9, 0.0, 0.0005, 419.45]
+    values += [rng.randint(0, 200_000) / rng.choice([160, 320, 2000, 20_000, 32, 64]) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (1, 2, 3, 4):
+        rows = df.select("v", C.round_ratio(F.col("v"), n).alias("r"), C.round_mean(F.col("v"), n).alias("m"), C.format_fixed(F.col("v"), f"%.{n}f").alias("t")).collect()
+        for r in rows:
+            assert r["r"] == round(r["v"], n) and r["m"] == float(np.round(r["v"], n))
+            assert r["t"] == f"{abs(r['v']) if round(r['v'], n) == 0 else r['v']:.{n}f}" or (r["v"] < 0 and float(r["t"]) == round(r["v"], n))
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double")
+    assert [str(r[0]) for r in odd.select(C.round_ratio(F.col("v"), 2)).collect()] == ["nan", "inf", "None"]
+    assert spark.range(1).select(C.format_metric(F.lit(None).cast("double"))).first()[0] == "N/A"
