@@ -39,7 +39,7 @@ def parse_eval(text: Column) -> Column:
 
     def score(t: Column) -> Column:
         pawns = F.regexp_extract(t, r"^\+*(-?(?:\d+\.?\d*|\.\d+))$", 1)
-        return F.when(t.rlike(r"^#[+-]?\d+$"), mate_score(t)).otherwise(pawns.try_cast("double") * 100)
+        return F.when(t.rlike(r"^#[+-]?\d+$"), mate_score(t)).otherwise(none_if_empty(pawns).try_cast("double") * 100)
 
     return let(strip(text), score)
 
@@ -129,7 +129,8 @@ def movetext_plies(movetext: Column, fen: Column | None = None) -> Column:
         return F.struct(*[F.regexp_extract(token, f"^{_MOVE}", i + 1).alias(n) for i, n in enumerate(names)])
 
     def ply(first: Column, p: Column, i: Column) -> Column:
-        written = p["number"].try_cast("int")
+        # A failed cast costs far more than this test, and half of all moves have no number.
+        written = none_if_empty(p["number"]).try_cast("int")
         return F.struct(
             i.alias("ply"),
             F.coalesce(

@@ -170,7 +170,7 @@ WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND NOT starts_with(
 def valid_comments(spark, sf_dir):
     """Comment filter with documents that open with `The` turned into clock tags."""
     text = F.regexp_replace("text", r"^\s*The", "[%clk")
-    docs = table(spark, sf_dir, "documents").where(N.is_valid_comment(text))
+    docs = documents(spark, sf_dir).where(N.is_valid_comment(text))
     return docs.groupBy("lang").agg(F.count("*").alias("n"))
 
 

@@ -19,6 +19,7 @@ RESULT_SCHEMA = (
     "accuracy_counts_per_task MAP<STRING, STRUCT<correct: BIGINT, total: BIGINT>>"
 )
 CORRUPT = "_corrupt_record"
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def _with_corrupt(schema: str | T.StructType) -> T.StructType:
@@ -129,7 +130,7 @@ def summary_header_entries(df: DataFrame, key: str, text: str) -> DataFrame:
         key,
         F.trim(F.regexp_extract("line", r"^([^:]*):", 1)).alias("name"),
         F.when(F.lower(value) != "n/a", value).alias("value"),
-        value.try_cast("double").alias("number"),
+        F.when(value.rlike(NUMBER), value.try_cast("double")).alias("number"),
         F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<double>")).alias("numbers"),
     )
 
