@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +84,3 @@ def write_results(spark: SparkSession, metrics: DataFrame, samples: DataFrame, a
         )
     ordered = lines.coalesce(1).sortWithinPartitions("section", "place", "line")
     ordered.select("line").write.mode("overwrite").text(f"{path}/summary.txt")
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^\w-]", "_", text)

@@ -32,11 +32,6 @@ def _head(spark: SparkSession, path: str | list[str]) -> list[str]:
     return [r[0].lstrip("﻿").rstrip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
 
 
-def is_json_array(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether the first line that is not blank opens an array."""
-    return any(line.lstrip().startswith("[") for line in _head(spark, path)[:1])
-
-
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
     """JSON lines from one path, many paths or a glob. ``bad='keep'`` leaves malformed lines in
     ``_corrupt_record``; ``bad='drop'`` skips them."""

@@ -41,8 +41,9 @@ def merge_stream(
 
     def append(batch: DataFrame, _: int) -> None:
         once = clean_answers(batch).dropDuplicates(["task_id"])
-        if _exists(spark, f"{out_dir}/_SUCCESS"):
-            once = pending(once, spark.read.parquet(out_dir))
+        if _exists(spark, out_dir):
+            # The schema is given, as a first write that failed leaves a folder without files.
+            once = pending(once, spark.read.schema("task_id STRING").parquet(out_dir))
         once.write.mode("append").parquet(out_dir)
 
     stream = read_answer_stream(spark, in_dir, files_per_batch)

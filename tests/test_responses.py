@@ -9,9 +9,6 @@ def one(spark, col):
     return spark.range(1).select(col.alias("x")).first()["x"]
 
 
-ALLOWED = F.array
-
-
 @pytest.mark.parametrize("text, want", [
     ('{"move": " E2E4 "}', "e2e4"), ('{"move": "a1a1"} ', None), ('{"move": "a1a1", "x": "d2d4"}', "d2d4"), ('{"move": "e2e4"} tail', None),
     ("{broken e2e4", None), ("I like A7A8, then D2D4 or e2e4", "d2d4"), ("xe2e4", None), ("", None), ('{"x": 1}', None)])
