@@ -95,7 +95,10 @@ def spread_stats(df: DataFrame, by: list[str], value: str, width: float = 100.0)
         round_mean(F.max(v), 2).alias("max"),
     )
     median = grouped_median(df, by, value, "median", width)
-    return _join_on(stats, median.withColumn("median", round_mean(F.col("median"), 2)), by)
+    rounded = median.withColumn("median", round_mean(F.col("median"), 2))
+    # One row per group on either side, put together without a join.
+    both = stats.unionByName(rounded, allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in both.columns if c not in by])
 
 
 def delta_stats(df: DataFrame, side: Column, candidate: Column, truth: Column, width: float = 100.0) -> DataFrame:
