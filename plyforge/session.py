@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: str | None = None
-
 
 def build_session(app: str = "plyforge", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution, skew-join splitting and UTC timestamps switched on."""
@@ -28,21 +25,18 @@ def build_session(app: str = "plyforge", master: str | None = None, **conf: str)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (a test on one machine) is a local folder made.
-    """
-    global _local_scratch
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not base:
-        if _local_scratch is None:
-            _local_scratch = tempfile.mkdtemp(prefix="plyforge-")
-        base = _local_scratch
+    """A fresh path in storage that the session names and all executors share: ``spark.checkpoint.dir``,
+    else the warehouse. The code never picks a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_stored(spark: SparkSession, path: str) -> bool:
+    """Delete a stored table that is no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """Share the rows of a scan that has fewer pieces than there are cores, by the hash of ``keys``.
 
