@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import normal
+from plyforge.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
