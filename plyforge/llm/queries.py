@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.llm import simhash
+from plyforge.llm import langid, secret_scan, simhash
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +24,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.find(docs, secret_scan.train(docs))
