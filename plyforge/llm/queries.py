@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.llm import langid, secret_scan, simhash
+from plyforge.llm import langid, mixing, secret_scan, simhash
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = table(spark, sf_dir, "documents")
     return secret_scan.find(docs, secret_scan.train(docs))
+
+
+@query
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of sources takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_source_mix"] = mixing.MIX_SQL
