@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.llm import langid, mixing, secret_scan, simhash
+from plyforge.llm import langid, mixing, packing, secret_scan, simhash
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_source_mix"] = mixing.MIX_SQL
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
