@@ -21,7 +21,8 @@ SENTENCE = 4  # cost of a cut between sentences of a document, in tokens of padd
 INSIDE = 48  # cost of a cut inside a sentence
 STEP = 64  # places inside a sentence at which it may be cut
 BLOCK = 1 << 19  # tokens for which cuts are chosen at a time
-WORDS_KEPT = 500_000  # chunks whose ids a worker remembers
+WORDS_KEPT = 250_000  # chunks of either generation whose ids a worker remembers
+MARKS = ".,!?;:|$%*#&"
 TOKENIZER = "word_bpe_49k.json"
 
 PIECE = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -30,9 +31,10 @@ PIECE = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 class Encoder:
     """A tokenizer file with a memory for the ids of chunks between blanks.
 
-    This tokenizer drops white space and never joins what stands on either side of it, so that the ids
-    of a text are those of its chunks in a row. Texts that hold one of its special strings are encoded
-    whole.
+    This tokenizer lower-cases, drops white space and never joins what stands on either side of it, so
+    that the ids of a text are those of its chunks in a row. It never joins a letter and the marks
+    after it either, so that a chunk is looked up without its last marks. Texts that hold one of its
+    special strings are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,8 +42,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in special.values()]
+        self.split_id, self.split = next(iter((n, t.content) for n, t in special.items()))
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, number in vocabulary.items():
@@ -49,24 +54,57 @@ class Encoder:
             self.ends[number] = bool(bare) and not bare.strip(".!?")
         self.end_mark = np.uint32(END).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks: they are encoded together, with a special string between them."""
+        if len(self.young) + len(chunks) > WORDS_KEPT:
+            self.old, self.young = self.young, {"": b""}
+        ids = self._ids(self.split.join(chunks))
+        splits = np.flatnonzero(ids == self.split_id).tolist()
+        data = ids.tobytes()
+        for chunk, a, b in zip(chunks, [-1, *splits], [*splits, len(ids)]):
+            self.young[chunk] = data[4 * a + 4:4 * b]
+
+    def _find(self, chunks: set[str]) -> None:
+        """Bring chunks into the memory."""
+        young, old, new, marked = self.young, self.old, set(), []
+        for c in chunks:
+            if c in old:
+                young[c] = old[c]
+                continue
+            core = c.rstrip(MARKS)
+            if core and len(core) < len(c) and core[-1].isalpha():
+                marked.append((c, core))
+                new.update(p for p in (core, c[len(core):]) if p not in young)
+            else:
+                new.add(c)
+        if new:
+            self._learn(list(new))
+        for c, core in marked:
+            # What went to the old generation just now is still there.
+            self.young[c] = self._of(core) + self._of(c[len(core):])
+
+    def _of(self, chunk: str) -> bytes:
+        found = self.young.get(chunk)
+        return self.old[chunk] if found is None else found
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text, its end mark included."""
         text = text or ""
         if any(s in text for s in self.special):
-            return self._ids([text])[0] + self.end_mark
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(set(chunks))
-            known.update(zip(new, self._ids(new)))
-        return b"".join(map(known.__getitem__, chunks)) + self.end_mark
+            return self._ids(text).tobytes() + self.end_mark
+        # Lower-casing the ASCII letters first changes no id, and fewer chunks differ.
+        chunks = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+        missing = set(chunks).difference(self.young)
+        if missing:
+            self._find(missing)
+        try:
+            ids = b"".join(map(self.young.__getitem__, chunks))
+        except KeyError:  # some went to the old generation meanwhile
+            ids = b"".join(map(self._of, chunks))
+        return ids + self.end_mark
 
 
 _ENCODERS: dict[str, Encoder] = {}
