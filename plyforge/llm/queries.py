@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.llm import langid, mixing, packing, secret_scan, simhash
+from plyforge.llm import extraction, langid, mixing, packing, secret_scan, simhash
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,9 @@ ORACLES["op5_source_mix"] = mixing.MIX_SQL
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
