@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.llm import extraction, langid, mixing, packing, secret_scan, simhash
+from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, simhash
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
