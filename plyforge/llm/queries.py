@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, simhash
+from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, simhash, sketches
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,9 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, likeness to its edited text and to the next document."""
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
