@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, simhash, sketches
+from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, simhash, sketches, substring_dedup
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +71,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, likeness to its edited text and to the next document."""
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are left of every document without its repeated passages."""
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
