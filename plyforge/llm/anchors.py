@@ -84,26 +84,45 @@ class Runs(NamedTuple):
     whole: np.ndarray
 
 
-def _runs(values: np.ndarray, window: int, k: int) -> Runs:
+def _runs(values: np.ndarray, window: int, k: int, sizes: np.ndarray) -> Runs:
     rolling = Rolling(values)
     pieces = rolling.every(k)
     mask = U((1 << INDEX_BITS) - 1)
     # The place in the low bits makes the first of equals the least.
     m = least((pieces & ~mask) | np.arange(len(pieces), dtype=U), window - k + 1)
-    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+    ends = np.cumsum(sizes)
+    valid = np.zeros(len(m) + 1, np.int8)
+    whole = sizes >= window
+    np.add.at(valid, (ends - sizes)[whole], 1)
+    np.add.at(valid, (ends - window + 1)[whole], -1)
+    valid = np.cumsum(valid[:-1], dtype=np.int8).astype(bool)
+    edge = np.concatenate(([True], m[1:] != m[:-1]))
+    edge[1:] |= valid[1:] != valid[:-1]
+    edge[(ends - sizes)[whole]] = True
+    first = np.flatnonzero(edge)
     windows = np.diff(np.append(first, len(m)))
+    first, windows = first[valid[first]], windows[valid[first]]
     place = (m[first] & mask).astype(np.int64)
-    whole = rolling.of(first, first + windows + window - 1)
-    return Runs(first, windows, place, pieces[place], mix(whole + windows.astype(U)))
-
-
-def runs(values: np.ndarray, window: int, k: int) -> Runs:
-    """The runs of an array of token hashes; none where it is shorter than a window. A very long array
-    is cut into blocks that overlap by a window less one token; a run ends with its block."""
+    tokens = rolling.of(first, first + windows + window - 1)
+    return Runs(first, windows, place, pieces[place], mix(tokens + windows.astype(U)))
+
+
+def runs(values: np.ndarray, window: int, k: int, sizes: np.ndarray | None = None) -> Runs:
+    """The runs of an array of token hashes; none where it is shorter than a window. ``sizes`` divides the
+    array into texts whose windows do not reach into the next. A very long text is cut into blocks that
+    overlap by a window less one token; a run ends with its block."""
+    if sizes is not None and len(sizes) != 1:
+        sizes = np.asarray(sizes, np.int64)
+        if len(values) < window or not (sizes >= window).any():
+            return runs(values[:0], window, k)
+        if len(values) > BLOCK + window:
+            raise ValueError("several texts of more than a block together")
+        return _runs(values, window, k, sizes)
     total = len(values) - window + 1
     parts = []
     for at in range(0, max(total, 0), BLOCK):
-        r = _runs(values[at:at + BLOCK + window - 1], window, k)
+        piece = values[at:at + BLOCK + window - 1]
+        r = _runs(piece, window, k, np.array([len(piece)]))
         parts.append(r._replace(first=r.first + at, place=r.place + at))
     if not parts:
         none = np.empty(0, np.int64)
