@@ -154,7 +154,6 @@ class _Batch:
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]))) if len(anchor) else np.empty(0, bool)
         self.number = np.cumsum(new) - 1  # of each run in order among the different ones
         self.anchor, self.whole, self.doc = anchor[new], whole[new], doc[new]
-        self.one = self.order[new]  # the run of each that stands for it: of the smallest id
         # The first bits of the anchor are the bucket, the next 32 the key within it.
         self.bucket = (self.anchor >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.anchor), np.int64)
         self.key = ((self.anchor << U(bits)) >> U(32)).astype(np.uint32)
@@ -229,7 +228,8 @@ class _Windows:
     in the order in which they are compared."""
 
     def __init__(self, b: _Batch, marks: np.ndarray, length: int, bits: int) -> None:
-        chosen = b.one[marks == 2]
+        # All places of such a run that belong to its smallest id; the others go as a whole.
+        chosen = b.order[(marks[b.number] == 2) & (b.of[b.order] == b.doc[b.number])] if len(b.order) else b.order
         n = b.runs.windows[chosen]
         self.at = np.repeat(b.runs.first[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         rolling = Rolling(b.hashes) if len(self.at) else None
