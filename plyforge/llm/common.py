@@ -37,6 +37,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rename_clashes(df: DataFrame, own: set[str]) -> DataFrame:
-    """The rows with columns outside ``own`` dropped, so that names added later cannot clash."""
-    return df.select(*[c for c in df.columns if c in own])
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column has."""
+    taken, number, out = {c.lower() for c in df.columns}, 0, name
+    while out.lower() in taken:
+        number += 1
+        out = f"{name}_{number}"
+    return out

@@ -44,12 +44,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) per document: its SimHash as a long."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "fp": [fingerprint(t, shingle) for t in batch["text"]]})
+            yield pd.Series([fingerprint(t, shingle) for t in batch], dtype="int64")
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(hashed, "doc_id long, fp long")
+    return docs.select("doc_id", hashed(text).alias("fp"))
 
 
 def fingerprint_text(fp: Column) -> Column:
@@ -152,4 +152,4 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     # Repeated ids are few as a rule; only their rows are gathered to take one of each.
     return (docs.join(single, "doc_id", "left_semi")
             .unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-            .unionByName(docs.where("doc_id is null")))
+            .unionByName(docs.where("doc_id is null")).select(*docs.columns))
