@@ -149,9 +149,10 @@ def recent_history(
     """Add the last ``n`` tokens before each row, joined by spaces.
 
     ``order`` counts 0, 1, 2, ... inside the group (see `half_move_index`). Rows are worked on in
-    chunks of it; a chunk's last ``n`` rows are copied to the next chunk, where they are only read.
+    chunks of it, of ``n`` rows at least; a chunk's last ``n`` rows are copied to the next chunk, where
+    they are only read.
     """
-    at = F.col(order)
+    at, chunk = F.col(order), max(chunk, n, 1)
     home = F.floor(at / chunk)
     homes = F.when(at % chunk >= chunk - n, F.array(home, home + 1)).otherwise(F.array(home))
     spread = df.withColumn("_chunk", F.explode(homes))

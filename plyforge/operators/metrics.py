@@ -262,7 +262,7 @@ def stream_bigrams(df: DataFrame, id: str, tokens: str, cross: bool = False) ->
             id, F.get(arr, F.lit(0)).alias("first"), F.try_element_at(arr, F.lit(-1)).alias("last")
         )
         # One small row per sample; stored, as its place in the order takes several passes.
-        placed = global_index(stored(ends, "ends"), id, "i")
+        placed = stored(global_index(ends, id, "i"), "ends")
         here = placed.select((F.col("i") + 1).alias("i"), "last")
         seam = here.join(placed.select("i", "first"), "i").select(F.concat_ws(" ", "last", "first").alias("bigram"))
         pairs = pairs.unionByName(seam)

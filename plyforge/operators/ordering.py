@@ -2,66 +2,48 @@
 
 from __future__ import annotations
 
-from typing import Any
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.core import hash01
+from plyforge.session import stored
 
-TOP_ROWS = 100_000  # largest slice end that is taken with a plain ordered limit
-
-
-def _boundaries(df: DataFrame, order: str, n: int) -> list[Any]:
-    """At most ``n`` evenly drawn key values: those with the smallest hashes."""
-    keys = df.select(order).where(F.col(order).isNotNull())
-    spread = F.md5(F.col(order).cast("string"))
-    return sorted({r[0] for r in keys.orderBy(spread).limit(n).collect()})
-
+RANGE_ROWS = 1_000_000  # keys that one task puts in order, about
 
-def _bucket(key: Column, cuts: list[Any]) -> Column:
-    """Number of cut values that are not above the key, found by halving."""
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(cuts[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+def global_index(df: DataFrame, order: str, name: str = "idx", ranges: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row in the order of the unique key ``order``; a NULL key comes
+    first.
 
-    return search(0, len(cuts))
-
-
-def global_index(df: DataFrame, order: str, name: str = "idx", buckets: int | None = None) -> DataFrame:
-    """Add the 0-based position of each row in the order of the unique, non-null key ``order``.
-
-    Rows are ranked inside key ranges of about equal size; the ranges' start positions come from
-    one small table of counts (at most ``buckets`` rows, so it is broadcast). By default there are
-    two ranges per core, but at least 16 and at most 1024.
+    Only the keys are ranked: they are shuffled to as many ranges as their number asks for, put in order
+    within each, and stored with their place there, since a range's bounds are drawn from a sample and
+    must not be drawn twice. The ranges' start positions are sums over one row per range. The positions
+    are then joined back.
     """
-    if buckets is None:
-        buckets = min(max(16, 2 * df.sparkSession.sparkContext.defaultParallelism), 1024)
-    cuts = _boundaries(df, order, buckets - 1)
-    ranged = df.withColumn("_range", _bucket(F.col(order), cuts))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    spark = df.sparkSession
+    keys = df.select(order)
+    if ranges is None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(least, -(-keys.count() // RANGE_ROWS))
+    ranked = keys.repartitionByRange(ranges, order).sortWithinPartitions(order)
+    # The id counts rows within a partition in its low 33 bits; the partition's number stands above.
+    placed = stored(ranked.select(F.col(order).alias("_key"), F.monotonically_increasing_id().alias("_at")), "places")
+    parts = placed.withColumn("_range", F.shiftright("_at", 33))
+    counts = parts.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(order)
-    return (
-        ranged.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts), "_range")
-        .withColumn(name, F.col("_start") + F.col("_place"))
-        .drop("_range", "_place", "_start")
-    )
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    indexed = parts.join(starts, "_range").select("_key", place.alias(name))
+    return df.join(indexed, F.col(order).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def slice_rows(df: DataFrame, order: str, start: int = 0, n: int | None = None) -> DataFrame:
-    """Rows ``start`` to ``start + n`` in the order of a unique key."""
+    """Rows ``start`` to ``start + n`` in the order of a unique key, in this order; a NULL key comes
+    first."""
     start = max(start, 0)
-    if n is not None and start + n <= TOP_ROWS:
-        return df.orderBy(order).offset(start).limit(n)
     idx = F.col("_idx")
     keep = idx >= start if n is None else (idx >= start) & (idx < start + n)
-    return global_index(df, order, "_idx").where(keep).drop("_idx")
+    return global_index(df, order, "_idx").where(keep).orderBy("_idx").drop("_idx")
 
 
 def first_per_source(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
@@ -90,47 +72,20 @@ def shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows, the first of the shuffled order."""
-    if n <= TOP_ROWS:
-        return shuffle(df, key, seed).limit(n)
+    """Exactly ``n`` rows, the first of the shuffled order, in this order."""
     hashed = df.withColumn("_h", F.concat_ws("|", _shuffle_key(seed, key), F.col(key).cast("string")))
     return slice_rows(hashed, "_h", 0, n).drop("_h")
 
 
-def split_exact(
-    df: DataFrame, key: str, ratios: tuple[float, float] = (0.8, 0.1), seed: int = 42, hex_digits: int = 3
-) -> DataFrame:
+def split_exact(df: DataFrame, key: str, ratios: tuple[float, float] = (0.8, 0.1), seed: int = 42) -> DataFrame:
     """Add ``split`` (train, val, test) with exact sizes: int(r*n) each and the rest for test.
 
-    Rows are ordered by hash. Counts per hash prefix (at most 16^hex_digits numbers) show which
-    prefixes hold a cut; only rows with those prefixes are ranked, all others need no shuffle.
+    Rows are ordered by the hash of their unique key; only keys are put in order.
     """
-    hashed = df.withColumn("_h", _shuffle_key(seed, key)).withColumn("_p", F.substring("_h", 1, hex_digits))
-    counts = sorted((r[0], r[1]) for r in hashed.groupBy("_p").count().collect())
-    total = sum(c for _, c in counts)
+    total = df.count()
     train_end = int(ratios[0] * total)
     val_end = train_end + int(ratios[1] * total)
-    starts: dict[str, int] = {}
-    seen = 0
-    for prefix, count in counts:
-        starts[prefix] = seen
-        seen += count
-    cut_prefixes = sorted({p for p, c in counts for end in (train_end, val_end) if starts[p] < end < starts[p] + c})
-
-    def prefix_at(end: int) -> str:
-        """First prefix whose rows all stand at or after ``end``."""
-        return next((p for p, _ in counts if starts[p] >= end), "g")
-
-    def by_position(train: Column, val: Column) -> Column:
-        return F.when(train, "train").when(val, "val").otherwise("test")
-
-    prefix = F.col("_p")
-    whole = hashed.where(~prefix.isin(cut_prefixes)) if cut_prefixes else hashed
-    whole = whole.withColumn("split", by_position(prefix < prefix_at(train_end), prefix < prefix_at(val_end)))
-    if not cut_prefixes:
-        return whole.drop("_h", "_p")
-    base = F.create_map(*[F.lit(x) for p in cut_prefixes for x in (p, starts[p])])
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1 + F.element_at(base, prefix)
-    cut = hashed.where(prefix.isin(cut_prefixes)).withColumn("_i", place)
-    cut = cut.withColumn("split", by_position(F.col("_i") < train_end, F.col("_i") < val_end)).drop("_i")
-    return whole.unionByName(cut).drop("_h", "_p")
+    hashed = df.withColumn("_h", F.concat_ws("|", _shuffle_key(seed, key), F.col(key).cast("string")))
+    at = F.col("_i")
+    split = F.when(at < train_end, "train").when(at < val_end, "val").otherwise("test")
+    return global_index(hashed, "_h", "_i").withColumn("split", split).drop("_h", "_i")

@@ -2,8 +2,6 @@ import collections
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plyforge.functions.core import hash01
@@ -17,7 +15,7 @@ def test_global_index(spark, buckets, text):
     keys = random.Random(buckets).sample(range(10_000), 500)
     keys = [f"k{k}" for k in keys] if text else keys
     df = spark.createDataFrame([(k,) for k in keys], ["key"]).repartition(5)
-    got = {r["key"]: r["idx"] for r in O.global_index(df, "key", buckets=buckets).collect()}
+    got = {r["key"]: r["idx"] for r in O.global_index(df, "key", ranges=buckets).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
@@ -26,35 +24,42 @@ def test_global_index_of_few_rows(spark):
     assert O.global_index(spark.range(1), "id").first()["idx"] == 0
 
 
-def test_slices(spark, monkeypatch):
+def test_slices(spark):
     df = spark.range(100).repartition(3)
-    for top in (100_000, 0):
-        monkeypatch.setattr(O, "TOP_ROWS", top)
-        assert sorted(r[0] for r in O.slice_rows(df, "id", 90, 30).collect()) == list(range(90, 100))
-        assert sorted(r[0] for r in O.slice_rows(df, "id", -5, 3).collect()) == [0, 1, 2]
-        assert O.slice_rows(df, "id", 40).count() == 60
-        assert O.slice_rows(df, "id", 200, 5).count() == 0
+    assert [r[0] for r in O.slice_rows(df, "id", 90, 30).collect()] == list(range(90, 100))
+    assert [r[0] for r in O.slice_rows(df, "id", -5, 3).collect()] == [0, 1, 2]
+    assert O.slice_rows(df, "id", 40).count() == 60
+    assert O.slice_rows(df, "id", 200, 5).count() == 0
 
 
-def test_sample_n_both_ways(spark, monkeypatch):
-    df = spark.range(200)
-    want = sorted(r[0] for r in O.sample_n(df, "id", 20, 7).collect())
-    monkeypatch.setattr(O, "TOP_ROWS", 0)
-    assert sorted(r[0] for r in O.sample_n(df, "id", 20, 7).collect()) == want and len(want) == 20
+@pytest.mark.parametrize("n", [2, None])
+def test_a_null_key_comes_first(spark, n):
+    df = spark.createDataFrame([(2, "b"), (None, "x"), (1, "a"), (3, "c")], "id int, v string")
+    assert [r["v"] for r in O.slice_rows(df, "id", 0, n).collect()] == ["x", "a", "b", "c"][:n]
 
 
-@settings(max_examples=12, deadline=None)
-@given(n=st.integers(0, 400), seed=st.integers(0, 5), digits=st.integers(1, 3))
-def test_split_sizes(spark, n, seed, digits):
-    got = O.split_exact(spark.range(n), "id", seed=seed, hex_digits=digits)
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE_ROWS", 3)
+    got = {r["id"]: r["idx"] for r in O.global_index(spark.range(5000).repartition(7), "id").collect()}
+    assert got == {i: i for i in range(5000)}
+
+
+def test_sample_n(spark):
+    want = [r[0] for r in O.shuffle(spark.range(200), "id", 7).collect()][:20]
+    assert [r[0] for r in O.sample_n(spark.range(200).repartition(3), "id", 20, 7).collect()] == want
+
+
+@pytest.mark.parametrize("n, seed", [(0, 1), (1, 2), (9, 0), (10, 3), (399, 5)])
+def test_split_sizes(spark, n, seed):
+    got = O.split_exact(spark.range(n), "id", seed=seed)
     sizes = collections.Counter(r["split"] for r in got.collect())
     assert sizes["train"] == int(0.8 * n) and sizes["val"] == int(0.1 * n) and sum(sizes.values()) == n
 
 
-def test_split_does_not_depend_on_prefix_length_or_partitions(spark):
+def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(300)
-    a = {r["id"]: r["split"] for r in O.split_exact(df, "id", hex_digits=1).collect()}
-    b = {r["id"]: r["split"] for r in O.split_exact(df.repartition(7), "id", hex_digits=3).collect()}
+    a = {r["id"]: r["split"] for r in O.split_exact(df, "id").collect()}
+    b = {r["id"]: r["split"] for r in O.split_exact(df.repartition(7), "id").collect()}
     assert a == b
 
 
@@ -88,7 +93,7 @@ def test_half_move_index_with_a_hot_group(spark, chunk):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize("chunk, n", [(10, 10), (16, 4), (4096, 10), (1, 1)])
+@pytest.mark.parametrize("chunk, n", [(10, 10), (16, 4), (4096, 10), (1, 1), (4, 12)])
 def test_history_with_a_hot_group(spark, chunk, n):
     rows = [(g, o, f"{g}{o}") for g, o, _ in hot_rows(200)]
     df = spark.createDataFrame(rows, "g string, o int, t string")
