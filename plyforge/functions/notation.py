@@ -93,12 +93,30 @@ def classify_move(san: Column) -> Column:
     )
 
 
+def without_variations(text: Column) -> Column:
+    """The text without what stands in parentheses outside comments, however deep. Parentheses that do
+    not match leave the text as it is."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"{COMMENT}|[()]|[^(){{}}]+|[{{}}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("bad"), F.array().cast("array<string>").alias("kept"))
+
+    def step(seen: Column, piece: Column) -> Column:
+        turn = F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+        outside = (seen["depth"] == 0) & (turn == 0)
+        return F.struct(
+            (seen["depth"] + turn).alias("depth"), (seen["bad"] | (seen["depth"] + turn < 0)).alias("bad"),
+            F.when(outside, F.concat(seen["kept"], F.array(piece))).otherwise(seen["kept"]).alias("kept"),
+        )
+
+    def joined(seen: Column) -> Column:
+        return F.when((seen["depth"] != 0) | seen["bad"], text).otherwise(F.array_join(seen["kept"], ""))
+
+    return F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit(")")), let(F.aggregate(pieces, start, step), joined)).otherwise(text)
+
+
 def strip_movetext(text: Column) -> Column:
-    """Drop the result mark and the variations (up to four deep) that stand outside comments."""
+    """Drop the result mark and the variations that stand outside comments."""
     t = F.regexp_replace(text, r"\s*(?:1-0|0-1|1/2-1/2|\*)\s*$", "")
-    for _ in range(4):
-        t = F.regexp_replace(t, rf"({COMMENT})|\([^(){{}}]*(?:{COMMENT}[^(){{}}]*)*\)", "$1")
-    return strip(F.regexp_replace(t, r"\s+", " "))
+    return strip(F.regexp_replace(let(t, without_variations), r"\s+", " "))
 
 
 # Comments come first so that a move named inside one is never taken for a ply.

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from plyforge import constants as K
 from plyforge.functions.core import is_close, prompt_key
 
-MAX_MODELS = 1000
-
 
 def probe_cache(prompts: DataFrame, cache: DataFrame, prompt: str = "input") -> tuple[DataFrame, DataFrame]:
     """(rows with their cached ``response``, distinct prompts that still need one)."""
@@ -41,14 +39,15 @@ def drop_failed(df: DataFrame, raw: str, clean: str) -> DataFrame:
 
 
 def cross_inputs(df: DataFrame, models: list[str] | DataFrame, name: str = "model") -> DataFrame:
-    """Every input once per model. Model names become a constant array, so nothing is joined."""
-    if isinstance(models, DataFrame):
-        names = [r[0] for r in models.limit(MAX_MODELS + 1).collect()]
-    else:
-        names = list(models)
-    if len(names) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models")
-    return df.withColumn(name, F.explode(F.array(*[F.lit(m) for m in names])))
+    """Every input once per model. A list of names becomes a constant array. Of a table of models (its
+    first column) the names are gathered into one row that is joined on a constant; none reaches the
+    driver."""
+    if not isinstance(models, DataFrame):
+        return df.withColumn(name, F.explode(F.array(*[F.lit(m) for m in models])))
+    listed = models.select(F.col(models.columns[0]).alias("_m")).agg(F.collect_list("_m").alias("_models"))
+    listed = listed.withColumn("_one", F.lit(1))
+    joined = df.withColumn("_one", F.lit(1)).join(listed, "_one").drop("_one")
+    return joined.withColumn(name, F.explode("_models")).drop("_models")
 
 
 def match_criteria(

@@ -5,10 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plyforge.functions.core import format_fixed, hash01, is_close
 
@@ -139,7 +137,7 @@ def comparison_table(
 ) -> DataFrame:
     """One row per ``rows`` value and one text column per listed ``columns`` value. Swapping the two
     names transposes the table."""
-    table = metrics.groupBy(rows).pivot(columns, values).agg(F.first(cell, ignorenulls=True))
+    table = metrics.groupBy(rows).pivot(columns, values).agg(F.max(cell))
     # Titles and folder names may hold dots, so they are quoted.
     return table.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(missing)).alias(v) for v in values])
 
@@ -154,7 +152,6 @@ def format_by_spec(value: Column, spec: Column, specs: list[str], default: str =
 
 # --- encoding --------------------------------------------------------------------------------------
 
-MAX_VOCAB = 300_000
 SPECIAL = {"<pad>": 0, "<unk>": 1, "<eos>": 2}
 
 
@@ -167,47 +164,45 @@ def build_vocab(df: DataFrame, tokens: Column, size: int) -> DataFrame:
     return top.withColumn("id", (rank - 1 + len(SPECIAL)).cast("int"))
 
 
-def _ids_by_broadcast(df: DataFrame, vocab: DataFrame, tokens: list[str]) -> DataFrame:
-    table = {r[0]: r[1] for r in vocab.select("token", "id").collect()}
-    shared = df.sparkSession.sparkContext.broadcast(table)
-    unk = SPECIAL["<unk>"]
+def _ids(df: DataFrame, vocab: DataFrame, parts: list[str]) -> DataFrame:
+    """Token lists of ``parts`` as lists of ids. Equal rows are looked up once: they are told apart by a
+    hash of all their tokens, both parts are exploded together, joined with the vocabulary (sent to all
+    tasks where Spark finds it small enough) and put together again."""
+    key = F.sha2(F.to_json(F.struct(*parts)), 256)
+    keyed = df.withColumn("_key", key)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(lists: pd.Series) -> pd.Series:
-        get = shared.value.get
-        return lists.map(lambda words: [get(w, unk) for w in words])
+    def marked(n: int, part: str) -> Column:
+        return F.transform(part, lambda t, i: F.struct(F.lit(n).alias("part"), i.alias("pos"), t.alias("token")))
 
-    return df.withColumns({t: lookup(t) for t in tokens})
+    every = F.concat(*[marked(n, p) for n, p in enumerate(parts)])
+    once = keyed.dropDuplicates(["_key"]).select("_key", F.explode(every).alias("_e")).select("_key", "_e.*")
+    found = once.join(vocab.select("token", F.col("id").alias("_tid")), "token", "left")
+    entry = F.struct("part", "pos", F.coalesce(F.col("_tid"), F.lit(SPECIAL["<unk>"])).alias("t"))
+    lists = found.groupBy("_key").agg(F.sort_array(F.collect_list(entry)).alias("_l"))
+    none = F.array().cast("array<int>")
 
+    def ids(n: int) -> Column:
+        mine = F.filter("_l", lambda e: e["part"] == n)
+        return F.coalesce(F.transform(mine, lambda e: e["t"].cast("int")), none)
 
-def _ids_by_join(df: DataFrame, vocab: DataFrame, tokens: list[str], id: str) -> DataFrame:
-    out = df
-    for t in tokens:
-        flat = df.select(id, F.posexplode(t).alias("_pos", "token"))
-        found = flat.join(vocab.select("token", "id").withColumnRenamed("id", "_tid"), "token", "left")
-        entry = F.struct("_pos", F.coalesce(F.col("_tid"), F.lit(SPECIAL["<unk>"])).alias("t"))
-        lists = found.groupBy(id).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
-        ids = F.coalesce(F.transform("_l", lambda e: e["t"]), F.array().cast("array<int>"))
-        out = out.join(lists, id, "left").withColumn(t, ids).drop("_l")
-    return out
+    return keyed.join(lists, "_key", "left").withColumns({p: ids(n) for n, p in enumerate(parts)}).drop("_key", "_l")
 
 
 def encode(
     df: DataFrame, id: str, prompt: Column, output: Column, vocab: DataFrame, max_len: int,
-    mask_pads: bool = True, reserve_eos: bool = False, max_broadcast: int = MAX_VOCAB,
+    mask_pads: bool = True, reserve_eos: bool = False,
 ) -> DataFrame:
     """DataFrame[id, input_ids, attention_mask, labels] of prompt + output + end mark.
 
     The end mark is added before the cut to ``max_len``, so a long row loses it unless
-    ``reserve_eos`` is set. Labels ignore the prompt, and the padding when ``mask_pads``.
-    A vocabulary of at most ``max_broadcast`` tokens is looked up in place; a larger one is joined.
+    ``reserve_eos`` is set. Labels ignore the prompt, and the padding when ``mask_pads``. The id need not
+    be unique.
     """
     from plyforge.functions.metrics import mask_labels
 
     # Only the first max_len tokens of either part can reach the result.
     cut = df.select(id, F.slice(prompt, 1, max_len).alias("_p"), F.slice(output, 1, max_len).alias("_o"))
-    small = vocab.limit(max_broadcast + 1).count() <= max_broadcast
-    ids = _ids_by_broadcast(cut, vocab, ["_p", "_o"]) if small else _ids_by_join(cut, vocab, ["_p", "_o"], id)
+    ids = _ids(cut, vocab, ["_p", "_o"])
     eos = F.array(F.lit(SPECIAL["<eos>"]))
     body = F.concat("_p", "_o")
     full = F.concat(F.slice(body, 1, max_len - 1), eos) if reserve_eos else F.slice(F.concat(body, eos), 1, max_len)

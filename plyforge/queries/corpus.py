@@ -305,3 +305,19 @@ def puzzle_csv(spark, sf_dir):
     sinks.write_csv(part.select(F.col("p_name").alias("FEN"), move.alias("Moves"), F.col("p_type").alias("Themes"), F.col("p_size").alias("Rating")), path)
     rows = tables.puzzle_rows(tables.read_puzzles(spark, path))
     return rows.withColumn("completion", F.replace("completion", F.lit("_"), F.lit(" ")))
+
+
+@query("""
+SELECT conv_id, turn, role, len(text) AS n FROM conversations
+""")
+def json_layouts(spark, sf_dir):
+    """Turns written to one folder, half of them as JSON lines and half as indented arrays of 64
+    conversations each, and read back."""
+    conv = table(spark, sf_dir, "conversations")
+    path, schema = scratch_path(spark, "layouts"), "conv_id long, turn long, role string, text string"
+    conv.where("conv_id % 2 = 0").write.json(path)
+    entry = F.concat(F.lit("   {"), F.substring(F.to_json(F.struct("conv_id", "turn", "role", "text")), 2, 1_000_000_000))
+    arrays = conv.where("conv_id % 2 = 1").groupBy(F.floor(F.col("conv_id") / 128)).agg(F.array_join(F.collect_list(entry), ",\n").alias("body"))
+    arrays.select(F.concat(F.lit("[\n"), "body", F.lit("\n]"))).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    rows = tables.read_json_auto(spark, path, schema)
+    return rows.select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n"))

@@ -40,11 +40,12 @@ SELECT id, array_to_string(list_concat(ids, list_transform(range(0, {LENGTH} - l
 """
 
 
-def _encoded(spark, sf_dir, max_broadcast):
+def _encoded(spark, sf_dir, hint=None):
     # The vocabulary is small and looked at twice, so it is stored once.
     vocab = stored(S.build_vocab(documents(spark, sf_dir), alnum_tokens(F.col("text")), SIZE), "vocab")
+    vocab = vocab.hint(hint) if hint else vocab
     pairs = turn_pairs(spark, sf_dir).withColumn("id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    rows = S.encode(pairs, "id", alnum_tokens(F.col("ref")), alnum_tokens(F.col("pred")), vocab, LENGTH, max_broadcast=max_broadcast)
+    rows = S.encode(pairs, "id", alnum_tokens(F.col("ref")), alnum_tokens(F.col("pred")), vocab, LENGTH)
     return rows.select(
         "id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"),
@@ -53,14 +54,14 @@ def _encoded(spark, sf_dir, max_broadcast):
 
 @query(SQL_ENCODED)
 def encoded_rows(spark, sf_dir):
-    """Prompt and output as padded ids with masked labels, vocabulary looked up in place."""
-    return _encoded(spark, sf_dir, S.MAX_VOCAB)
+    """Prompt and output as padded ids with masked labels; Spark sends a small vocabulary to all tasks."""
+    return _encoded(spark, sf_dir)
 
 
 @query(SQL_ENCODED)
 def encoded_rows_by_join(spark, sf_dir):
-    """The same rows by the way taken when the vocabulary is too large to be sent to every task."""
-    return _encoded(spark, sf_dir, 0)
+    """The same rows with a vocabulary that is shuffled, as one too large to be sent would be."""
+    return _encoded(spark, sf_dir, "merge")
 
 
 @query(f"""SELECT doc_id, CAST(len({WORDS.format('text')}) AS BIGINT) AS n_words FROM documents""")

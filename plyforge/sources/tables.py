@@ -27,11 +27,6 @@ def _with_corrupt(schema: str | T.StructType) -> T.StructType:
     return T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def _head(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The first two lines that are not blank."""
-    return [r[0].lstrip("﻿").rstrip() for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
-
-
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
     """JSON lines from one path, many paths or a glob. ``bad='keep'`` leaves malformed lines in
     ``_corrupt_record``; ``bad='drop'`` skips them."""
@@ -43,23 +38,39 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if bad == "drop" else rows
 
 
-def read_json_auto(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
-    """JSON array or JSON lines, told apart by the first character that is not blank.
+def json_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """DataFrame[file, is_array]: whether the first character of a file that is not blank opens an array.
+    Files without one are left out."""
+    lines = spark.read.text(path).withColumn("first", F.substring(F.ltrim(F.regexp_replace("value", "^\ufeff", "")), 1, 1))
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    told = lines.where("first != ''").select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "first")
+    return told.groupBy("file").agg((F.min_by("first", "at") == "[").alias("is_array"))
+
 
-    An array laid out with two spaces of indent is cut where its elements start, so one large file
-    is read by many tasks; an array in any other layout is read file by file.
+def read_json_auto(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
+    """JSON arrays and JSON lines, told apart for each file by its first character that is not blank.
+
+    Lines of one large file are read by many tasks; an array, in whatever layout, is read by one, as its
+    elements can only be told apart from its beginning. ``bad`` is as in `read_jsonl`; a file that is no
+    JSON array after all is one malformed record.
     """
-    head = _head(spark, path)
-    if not head or not head[0].lstrip().startswith("["):
-        return read_jsonl(spark, path, schema)
-    if head[0] == "[" and len(head) > 1 and head[1].startswith("  {"):
-        # No string in JSON holds a raw line break, and inner objects are indented further.
-        pieces = spark.read.option("lineSep", "\n  {").text(path)
-        body = F.regexp_replace("value", r"[,\]]\s*$", "")
-        elements = pieces.where(~F.col("value").rlike(r"^\s*\[\s*$")).select(F.concat(F.lit("{"), body).alias("value"))
-        full = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        return elements.select(F.from_json("value", full).alias("r")).select("r.*")
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    found = json_layouts(spark, path).collect()  # the driver lists these files anyhow
+    arrays = sorted(r["file"] for r in found if r["is_array"])
+    lines = sorted(r["file"] for r in found if not r["is_array"])
+    elements = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    parts = []
+    if lines or not arrays:
+        parts.append(read_jsonl(spark, lines or path, schema, "keep"))
+    if arrays:
+        whole = spark.read.text(arrays, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        parsed = whole.select("value", F.from_json("value", T.ArrayType(elements)).alias("r"))
+        none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in elements.fields])
+        entries = F.transform("r", lambda e: F.struct(e.alias("e"), F.lit(None).cast("string").alias(CORRUPT)))
+        broken = F.array(F.struct(none.alias("e"), F.col("value").alias(CORRUPT)))
+        found = parsed.select(F.inline(F.coalesce(entries, broken)))
+        parts.append(found.select("e.*", CORRUPT))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if bad == "drop" else rows
 
 
 def read_puzzles(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -2,51 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plyforge.functions.prompts import task_subtype
 from plyforge.functions.responses import clean_explanation
-from plyforge.operators.matching import drop_failed, pending
+from plyforge.operators.matching import drop_failed
 from plyforge.sources.sinks import _exists
 
+BUCKETS = 64  # parts of the sink
 ANSWER_SCHEMA = "task_id STRING, input STRING, teacher_raw_output STRING, teacher_task_instruction STRING"
 
 
-def clean_answers(raw: DataFrame) -> DataFrame:
-    """DataFrame[task_id, input, teacher_raw_output, output] without failed or empty answers."""
+def clean_answers(raw: DataFrame, *keep: str) -> DataFrame:
+    """DataFrame[task_id, input, teacher_raw_output, output] without failed or empty answers, and the
+    columns ``keep``."""
     cleaned = raw.where(F.col("task_id").isNotNull()).select(
         "task_id", "input", "teacher_raw_output",
-        clean_explanation(F.col("teacher_raw_output"), F.col("teacher_task_instruction")).alias("output"),
+        clean_explanation(F.col("teacher_raw_output"), F.col("teacher_task_instruction")).alias("output"), *keep,
     )
     return drop_failed(cleaned, "teacher_raw_output", "output")
 
 
+def first_answers(cleaned: DataFrame, file: str = "file") -> DataFrame:
+    """One answer per task id: that of the first file by name, and of the answers in one file the first by
+    its text, so that which one stays does not depend on the order in which they are read."""
+    answer = F.struct(file, "teacher_raw_output", "input", "output")
+    first = cleaned.groupBy("task_id").agg(F.min(answer).alias("a"))
+    return first.select("task_id", "a.input", "a.teacher_raw_output", "a.output")
+
+
 def read_answer_stream(spark: SparkSession, in_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(ANSWER_SCHEMA)
+    """Answer files as a stream. Files count as new however old their times are: copies often keep them."""
+    reader = spark.readStream.schema(ANSWER_SCHEMA).option("maxFileAge", "36500d")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(in_dir)
 
 
+def _bucket(task_id: str = "task_id") -> Column:
+    """Part of the sink that an id belongs to."""
+    return F.pmod(F.xxhash64(task_id), F.lit(BUCKETS)).cast("int")
+
+
 def merge_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int | None = None
 ) -> StreamingQuery:
     """Merge all files that are there now and stop. Each task id is written once, over all runs.
 
     The sink itself tells which ids are done, so a batch that is repeated after a failure adds
-    nothing twice.
+    nothing twice. It is partitioned by a hash of the id, and a batch reads only the ids in the parts that
+    its own answers fall into.
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        once = clean_answers(batch).dropDuplicates(["task_id"])
+        once = first_answers(clean_answers(batch, "file")).withColumn("bucket", _bucket())
         if _exists(spark, out_dir):
             # The schema is given, as a first write that failed leaves a folder without files.
-            once = pending(once, spark.read.schema("task_id STRING").parquet(out_dir))
-        once.write.mode("append").parquet(out_dir)
+            done = spark.read.schema("task_id STRING, bucket INT").parquet(out_dir)
+            hit = [r[0] for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
+            done = done.where(F.col("bucket").isin(hit))
+            once = once.join(done, ["bucket", "task_id"], "left_anti")
+        once.write.mode("append").partitionBy("bucket").parquet(out_dir)
 
-    stream = read_answer_stream(spark, in_dir, files_per_batch)
+    stream = read_answer_stream(spark, in_dir, files_per_batch).withColumn("file", F.col("_metadata.file_path"))
     return (
         stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
@@ -58,9 +78,9 @@ def merge_stream(
 def merge_stream_bounded(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, delay: str = "1 hour"
 ) -> StreamingQuery:
-    """As `merge_stream`, but repeats are only looked for within ``delay`` of a file's arrival, so the
-    state does not grow with the sink."""
-    raw = read_answer_stream(spark, in_dir).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    """As `merge_stream`, but repeats are only looked for within ``delay`` of an answer's arrival in the
+    stream, so the state does not grow with the sink. No answer comes too late, whatever its file's time."""
+    raw = read_answer_stream(spark, in_dir).withColumn("arrived", F.current_timestamp())
     cleaned = drop_failed(
         raw.withColumn(
             "output", clean_explanation(F.col("teacher_raw_output"), F.col("teacher_task_instruction"))

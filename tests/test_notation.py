@@ -84,3 +84,13 @@ def test_scores_agree(spark, a, b, want):
 
 def test_clock_seconds(spark):
     assert one(spark, N.clock_seconds(F.lit("1:02:03"))) == 3723 and one(spark, N.clock_seconds(F.lit("02:03"))) == 123
+
+
+def test_variations_of_any_depth(spark):
+    deep = "1. e4 (1. d4 (1. c4 (1. b4 (1. a4 (1. f4 {in (} f5))))) e5 {a (b)} 2. Nf3"
+    texts = [deep, "1. e4 (1. d4 e5", "1. e4 e5) 2. d4", "1. e4 e5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["t"] for r in df.select("id", N.strip_movetext(F.col("text")).alias("t")).collect()}
+    assert got == {0: "1. e4 e5 {a (b)} 2. Nf3", 1: texts[1], 2: texts[2], 3: texts[3]}
+    left = {r["id"] for r in df.where(N.unread_movetext(F.col("text")).isNotNull()).collect()}
+    assert left == {1, 2}

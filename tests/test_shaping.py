@@ -13,15 +13,21 @@ from plyforge.plans import tasks as T
 def test_encode_cuts_pads_and_masks(spark):
     vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
     df = spark.createDataFrame([(1, "a b", "b"), (2, "a a a a", "b b"), (3, "", "zz"), (4, "a", "")], "id int, p string, o string")
-    for limit in (10, 0):
-        rows = {r["id"]: r for r in S.encode(df, "id", words(F.col("p")), words(F.col("o")), vocab, 5, max_broadcast=limit).collect()}
-        assert rows[1]["input_ids"] == [3, 4, 4, 2, 0] and rows[1]["attention_mask"] == [1, 1, 1, 1, 0] and rows[1]["labels"] == [-100, -100, 4, 2, -100]
-        assert rows[2]["input_ids"] == [3, 3, 3, 3, 4] and rows[2]["labels"] == [-100] * 4 + [4]
-        assert rows[3]["input_ids"] == [1, 2, 0, 0, 0] and rows[4]["input_ids"] == [3, 2, 0, 0, 0]
+    rows = {r["id"]: r for r in S.encode(df, "id", words(F.col("p")), words(F.col("o")), vocab, 5).collect()}
+    assert rows[1]["input_ids"] == [3, 4, 4, 2, 0] and rows[1]["attention_mask"] == [1, 1, 1, 1, 0] and rows[1]["labels"] == [-100, -100, 4, 2, -100]
+    assert rows[2]["input_ids"] == [3, 3, 3, 3, 4] and rows[2]["labels"] == [-100] * 4 + [4]
+    assert rows[3]["input_ids"] == [1, 2, 0, 0, 0] and rows[4]["input_ids"] == [3, 2, 0, 0, 0]
     kept = {r["id"]: r for r in S.encode(df, "id", words(F.col("p")), words(F.col("o")), vocab, 5, mask_pads=False, reserve_eos=True).collect()}
     assert kept[2]["input_ids"] == [3, 3, 3, 3, 2] and kept[1]["labels"] == [-100, -100, 4, 2, 0]
 
 
+def test_encode_keeps_rows_that_share_an_id(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
+    df = spark.createDataFrame([(1, "a", "b"), (1, "b b", "a"), (1, "a", "b"), (None, "", "")], "id int, p string, o string")
+    got = sorted(r["input_ids"] for r in S.encode(df, "id", words(F.col("p")), words(F.col("o")), vocab, 4).collect())
+    assert got == [[2, 0, 0, 0], [3, 4, 2, 0], [3, 4, 2, 0], [4, 4, 3, 2]]
+
+
 def test_vocabulary_ties_go_by_name(spark):
     df = spark.createDataFrame([("b a b c",), ("a d",)], ["t"])
     rows = S.build_vocab(df, words(F.col("t")), 3).collect()
@@ -159,6 +165,6 @@ def test_unions_and_models(spark):
     a, b = spark.createDataFrame([(1, "x")], "id int, t string"), spark.createDataFrame([(2, 5.0)], "id int, v double")
     assert {tuple(r) for r in S.union_tagged({"P1": a, "P2": b}).select("id", "t", "v", "data_source").collect()} == {(1, "x", None, "P1"), (2, None, 5.0, "P2")}
     assert J.cross_inputs(a, ["m", "n"]).count() == 2
-    with pytest.raises(ValueError):
-        J.cross_inputs(a, spark.range(J.MAX_MODELS + 1).select(F.col("id").cast("string")))
+    many = J.cross_inputs(a, spark.range(1001).select(F.col("id").cast("string").alias("name")))
+    assert many.count() == 1001 == many.select("model").distinct().count()
     assert S.difference(a.union(a), b, "id").collect()[0][0] == 1

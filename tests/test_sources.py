@@ -172,3 +172,17 @@ def test_results_can_be_read_as_an_experiment(spark, tmp_path):
     assert lines == ["Model: m", "", "--- Aggregated Metrics ---", "a_metric: N/A", "b_metric: 0.25", "",
                      "--- Rule-Based Task Counts (Correct/Total) ---", "t_counts: 1/2"]
     assert [r["name"] for r in tables.read_summary_headers(spark, str(tmp_path)).collect()] == ["Model"]
+
+
+def test_layouts_are_told_for_each_file(spark, tmp_path):
+    schema = "a int, b string"
+    (tmp_path / "x.json").write_text("\n".join(json.dumps({"a": i, "b": "l"}) for i in range(3)))
+    (tmp_path / "y.json").write_text(json.dumps([{"a": i, "b": "p"} for i in range(3, 6)], indent=2))
+    (tmp_path / "z.json").write_text("\ufeff\n\n [\n" + json.dumps({"a": 6, "b": "q"}) + "]")
+    (tmp_path / "bad.json").write_text('{"a": 7, "b": "r"}\n{"a": oops\n\n')
+    (tmp_path / "broken.json").write_text('[{"a": 8, "b": ')
+    (tmp_path / "empty.json").write_text("\n  \n")
+    rows = tables.read_json_auto(spark, str(tmp_path), schema).collect()
+    assert sorted(r["a"] for r in rows if r["a"] is not None) == [0, 1, 2, 3, 4, 5, 6, 7] and len(rows) == 8
+    kept = tables.read_json_auto(spark, str(tmp_path), schema, bad="keep").collect()
+    assert len(kept) == 10 and sorted(r["_corrupt_record"] for r in kept if r["_corrupt_record"]) == ['[{"a": 8, "b": ', '{"a": oops']

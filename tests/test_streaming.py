@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,3 +64,29 @@ def test_running_counts(spark, tmp_path):
     q.awaitTermination()
     assert {r["subtype"]: r["n"] for r in spark.table("counts").collect()} == {"P2.0_T": 2, "P2.1_T": 1}
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 3
+
+
+def test_old_files_that_come_late_are_merged(spark, tmp_path):
+    """Copies that keep their times arrive after the first run."""
+    for merge in (L.merge_stream, L.merge_stream_bounded):
+        base = tmp_path / merge.__name__
+        src, out, state = base / "in", str(base / "out"), str(base / "state")
+        src.mkdir(parents=True)
+        write(src / "a.json", [row(1)])
+        merge(spark, str(src), out, state).awaitTermination()
+        for n, days in ((2, 2), (3, 10), (4, 400)):
+            write(src / f"{n}.json", [row(n)])
+            past = time.time() - days * 86_400
+            os.utime(src / f"{n}.json", (past, past))
+        merge(spark, str(src), out, state).awaitTermination()
+        got = sorted(r["task_id"] for r in spark.read.parquet(out).collect())
+        assert got == sorted(row(n)["task_id"] for n in (1, 2, 3, 4)), merge.__name__
+
+
+def test_the_first_repeat_survives(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    write(src / "b.json", [row(1, "from b")])
+    write(src / "a.json", [row(1, "second"), row(1, "first")])
+    L.merge_stream(spark, str(src), out, str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(out).first()["output"] == "first."
