@@ -154,6 +154,8 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
                 inside.update(a)
                 beyond.update(b)
         names = list(inside | beyond)
+        if not names:
+            return
         yield pd.DataFrame({"feature": names, "inside": [inside[n] for n in names], "beyond": [beyond[n] for n in names]})
 
     rows = pages.join(ids, "page_id", "left_semi").where("html is not null").select("html").mapInPandas(
