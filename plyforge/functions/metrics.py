@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyforge.functions.core import let, words
+from plyforge.functions.core import words
+from plyforge.functions.stem import porter
 
 
 def set_prf(pred: Column, ref: Column) -> Column:
@@ -22,23 +26,56 @@ def set_prf(pred: Column, ref: Column) -> Column:
     return F.struct(p.alias("p"), r.alias("r"), f1.alias("f1"))
 
 
-def _numbered(grams: Column) -> Column:
-    """Each string with its running number among equal ones, so that repeats become distinct. The
-    results are strings again, since only arrays of plain values are intersected by hash."""
-
-    def number(s: Column) -> Column:
-        def one(g: Column, i: Column) -> Column:
-            k = i + 1 - F.array_position(s, g)
-            return F.when(k > 0, F.concat(g, F.lit("\u0000"), k.cast("string"))).otherwise(g)
-
-        return F.transform(s, one)
-
-    return let(F.sort_array(grams), number)
-
+def overlap_counts(a: Column | str, b: Column | str, orders: tuple[int, ...], stem: bool = False) -> Column:
+    """struct<m<n>, ..., lcs>: for each order the n-grams that two token arrays share, each as often as in
+    the one that has fewer; and the longest common subsequence where the orders hold 0.
 
-def clipped_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays, worked out inside the row."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    The cost is in proportion to the tokens: n-grams are counted in a table, as built-in functions on
+    arrays only compare each with each. With ``stem`` every word is first cut to its stem, a different one
+    once. The function is made here, not at import, so that it travels to the tasks by value.
+    """
+    fields = [T.StructField("lcs" if n == 0 else f"m{n}", T.LongType()) for n in orders]
+
+    @F.pandas_udf(T.StructType(fields))
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        stems: dict[str, str] = {}
+
+        def cut(words) -> list[str]:
+            for w in words:
+                if w not in stems:
+                    if len(stems) > 500_000:
+                        stems.clear()
+                    stems[w] = porter(w)
+            return [stems.get(w) or porter(w) for w in words]
+
+        for left, right in batches:
+            rows = []
+            for x, y in zip(left, right):
+                x, y = (None, None) if x is None or y is None else (cut(x), cut(y)) if stem else (list(x), list(y))
+                rows.append([None if x is None else _lcs(x, y) if n == 0 else _shared(x, y, n) for n in orders])
+            yield pd.DataFrame(rows, columns=[f.name for f in fields], dtype="Int64")
+
+    return count(a, b)
+
+
+def _shared(x: list[str], y: list[str], n: int) -> int:
+    one, other = (Counter(zip(*(t[i:] for i in range(n)))) for t in (x, y))
+    if len(other) < len(one):
+        one, other = other, one
+    return sum(min(k, other[g]) for g, k in one.items() if g in other)
+
+
+def _lcs(x: list[str], y: list[str]) -> int:
+    """Longest common subsequence with one bit per token of ``x``."""
+    spots: dict[str, int] = {}
+    for i, token in enumerate(x):
+        spots[token] = spots.get(token, 0) | (1 << i)
+    full = (1 << len(x)) - 1
+    row = full
+    for token in y:
+        hit = row & spots.get(token, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
 
 
 def f_measure(hits: Column, n_pred: Column, n_ref: Column) -> Column:
@@ -47,27 +84,8 @@ def f_measure(hits: Column, n_pred: Column, n_ref: Column) -> Column:
 
 
 def lcs_length(a: Column | str, b: Column | str) -> Column:
-    """Longest common subsequence of two token arrays, with one bit per token of ``a``.
-
-    The function is made here, not at import, so that it travels to the tasks by value.
-    """
-
-    @F.pandas_udf(T.IntegerType())
-    def lengths(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x, y) -> int:
-            spots: dict = {}
-            for i, token in enumerate(x):
-                spots[token] = spots.get(token, 0) | (1 << i)
-            full = (1 << len(x)) - 1
-            row = full
-            for token in y:
-                hit = row & spots.get(token, 0)
-                row = ((row + hit) | (row - hit)) & full
-            return len(x) - row.bit_count()
-
-        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="int32")
-
-    return lengths(a, b)
+    """Longest common subsequence of two token arrays."""
+    return overlap_counts(a, b, (0,))["lcs"].cast("int")
 
 
 def norm_edit_distance(pred: Column, ref: Column) -> Column:

@@ -215,9 +215,10 @@ def attach_positions(plies: DataFrame, positions: DataFrame, on: list[str], on_b
 
 
 def ingest_counters(df: DataFrame, by: str | list[str], counters: dict[str, Column]) -> DataFrame:
-    """Sums of numbers or conditions per file, then over all files (file NULL). The second step adds
-    up the per-file sums instead of reading the rows twice."""
+    """Sums of numbers or conditions per file, then over all files: there the file is NULL and ``level``
+    above 0 (with several keys it tells the subtotals apart, as ``grouping_id`` does). The second step
+    adds up the per-file sums instead of reading the rows twice."""
     keys = [by] if isinstance(by, str) else by
     sums = [F.sum(F.coalesce(c.cast("long"), F.lit(0))).alias(n) for n, c in counters.items()]
     per_file = df.groupBy(*keys).agg(*sums)
-    return per_file.rollup(*keys).agg(*[F.sum(n).alias(n) for n in counters])
+    return per_file.rollup(*keys).agg(F.grouping_id().cast("long").alias("level"), *[F.sum(n).alias(n) for n in counters])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.core import alnum_tokens, ngrams, round_mean, round_ratio, words
-from plyforge.functions.metrics import clipped_overlap, f_measure, lcs_length
+from plyforge.functions.metrics import f_measure, overlap_counts
 from plyforge.operators.ordering import global_index
 from plyforge.session import stored
 
@@ -37,11 +37,12 @@ def rule_correct(task: Column, answer: Column, reference: Column, strict: bool =
 
 
 def with_overall(df: DataFrame, by: str, sums: dict[str, Column], finish: dict[str, Column]) -> DataFrame:
-    """Scores per group and overall (group NULL). ``sums`` are added up per group and those totals
-    once more for the overall row; ``finish`` turns summed columns into scores."""
+    """Scores per group and overall. ``sums`` are added up per group and those totals once more for the
+    overall row, whose group is NULL and which ``overall`` tells from a group that is NULL itself;
+    ``finish`` turns summed columns into scores."""
     per_group = df.groupBy(by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    totals = per_group.rollup(by).agg(*[F.sum(n).alias(n) for n in sums])
-    return totals.select(by, *[c.alias(n) for n, c in finish.items()])
+    totals = per_group.rollup(by).agg((F.grouping_id() > 0).alias("overall"), *[F.sum(n).alias(n) for n in sums])
+    return totals.select(by, *[c.alias(n) for n, c in finish.items()], "overall")
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,35 +197,42 @@ def throughput(df: DataFrame, tokens: Column, secs: Column, by: str) -> DataFram
     )
 
 
-def move_match_rate(df: DataFrame, matched: Column, by: str) -> DataFrame:
-    return accuracy(df, matched, by)
+# --- text overlap ----------------------------------------------------------------------------------
 
 
-# --- text overlap ----------------------------------------------------------------------------------
+def rouge(df: DataFrame, pred: str, ref: str, orders: tuple[int, ...] = (1, 2), lcs: bool = True, stem: bool = False) -> DataFrame:
+    """Add ``rouge_<n>``, the n-gram F1 of each row (lower-case letters and digits), for each order, and
+    with ``lcs`` ``rouge_l``, that of the longest common subsequence. ``stem`` compares word stems."""
+    tokens = df.withColumns({"_p": alnum_tokens(F.col(pred)), "_r": alnum_tokens(F.col(ref))})
+    counted = tokens.withColumn("_m", overlap_counts("_p", "_r", (*orders, 0) if lcs else orders, stem))
 
+    def size(side: str, n: int) -> Column:
+        return F.greatest(F.size(side) - (max(n, 1) - 1), F.lit(0))
 
-def rouge_n(df: DataFrame, pred: str, ref: str, n: int, name: str | None = None) -> DataFrame:
-    """Add the n-gram F1 of each row (lower-case letters and digits, no stemming)."""
-    p, r = ngrams(alnum_tokens(F.col(pred)), n), ngrams(alnum_tokens(F.col(ref)), n)
-    counted = df.withColumns({"_p": p, "_r": r})
-    score = f_measure(clipped_overlap(F.col("_p"), F.col("_r")), F.size("_p"), F.size("_r"))
-    return counted.withColumn(name or f"rouge_{n}", score).drop("_p", "_r")
+    scores = {f"rouge_{n}": f_measure(F.col(f"_m.m{n}"), size("_p", n), size("_r", n)) for n in orders}
+    if lcs:
+        scores["rouge_l"] = f_measure(F.col("_m.lcs"), size("_p", 1), size("_r", 1))
+    return counted.withColumns(scores).drop("_p", "_r", "_m")
 
 
-def rouge_l(df: DataFrame, pred: str, ref: str, name: str = "rouge_l") -> DataFrame:
+def rouge_n(df: DataFrame, pred: str, ref: str, n: int, name: str | None = None, stem: bool = False) -> DataFrame:
+    """Add the n-gram F1 of each row."""
+    return rouge(df, pred, ref, (n,), False, stem).withColumnRenamed(f"rouge_{n}", name or f"rouge_{n}")
+
+
+def rouge_l(df: DataFrame, pred: str, ref: str, name: str = "rouge_l", stem: bool = False) -> DataFrame:
     """Add the F1 of the longest common subsequence of tokens."""
-    tokens = df.withColumns({"_p": alnum_tokens(F.col(pred)), "_r": alnum_tokens(F.col(ref))})
-    hits = tokens.withColumn("_lcs", lcs_length("_p", "_r"))
-    return hits.withColumn(name, f_measure(F.col("_lcs"), F.size("_p"), F.size("_r"))).drop("_p", "_r", "_lcs")
+    return rouge(df, pred, ref, (), True, stem).withColumnRenamed("rouge_l", name)
 
 
 def bleu_counts(df: DataFrame, pred: str, ref: str, keep: list[str], n: int = 4) -> DataFrame:
     """Clipped matches ``m1..mn``, totals ``t1..tn`` and the two lengths of each row. A row too short
     for an order still counts one slot."""
     tokens = df.withColumns({"_p": words(F.col(pred)), "_r": words(F.col(ref))})
+    tokens = tokens.withColumn("_m", overlap_counts("_p", "_r", tuple(range(1, n + 1))))
     cols = [F.size("_p").alias("pred_len"), F.size("_r").alias("ref_len")]
     for i in range(1, n + 1):
-        cols.append(clipped_overlap(ngrams(F.col("_p"), i), ngrams(F.col("_r"), i)).alias(f"m{i}"))
+        cols.append(F.col(f"_m.m{i}").alias(f"m{i}"))
         cols.append(F.greatest(F.size("_p") - (i - 1), F.lit(1)).alias(f"t{i}"))
     return tokens.select(*keep, *cols)
 
@@ -242,13 +250,13 @@ def bleu_from_counts(n: int = 4) -> Column:
 
 
 def corpus_bleu(df: DataFrame, pred: str, ref: str, by: str | None = None, n: int = 4) -> DataFrame:
-    """Corpus score per group and overall (group NULL), from summed counts."""
+    """Corpus score per group and overall (group NULL and ``overall`` true), from summed counts."""
     names = ["pred_len", "ref_len", *[f"{x}{i}" for i in range(1, n + 1) for x in "mt"]]
     keep = [by] if by else []
     counts = bleu_counts(df, pred, ref, keep, n)
     sums = counts.groupBy(*keep).agg(*[F.sum(c).alias(c) for c in names])
     if by:
-        sums = sums.rollup(by).agg(*[F.sum(c).alias(c) for c in names])
+        sums = sums.rollup(by).agg((F.grouping_id() > 0).alias("overall"), *[F.sum(c).alias(c) for c in names])
     return sums.withColumn(f"bleu_{n}", bleu_from_counts(n))
 
 
@@ -315,8 +323,9 @@ def greedy_match_prf(
             for name, c, r in zip(batch[sample], batch["c"], batch["r"]):
                 a = np.asarray([e["v"] for e in c], dtype=np.float64)
                 b = np.asarray([e["v"] for e in r], dtype=np.float64)
-                a /= np.linalg.norm(a, axis=1, keepdims=True)
-                b /= np.linalg.norm(b, axis=1, keepdims=True)
+                # A vector of length 0 has cosine 0 with all others.
+                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+                b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
                 cosine = a @ b.T
                 yield pd.DataFrame({
                     sample: name,

@@ -92,7 +92,7 @@ def list_metrics(rules: DataFrame) -> DataFrame:
 
 def explanation_metrics(explained: DataFrame) -> DataFrame:
     """Text overlap per subtype and overall, and the diversity of all answers together."""
-    tail = F.coalesce(F.concat(F.lit("avg_"), "subtype"), F.lit("overall"))
+    tail = F.when(F.col("overall"), "overall").otherwise(F.concat(F.lit("avg_"), F.coalesce("subtype", F.lit("unknown_subtype"))))
 
     def name(head: str) -> Column:
         return F.concat(F.lit(f"{head}_"), tail)

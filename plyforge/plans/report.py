@@ -24,20 +24,19 @@ def scored_answers(samples: DataFrame, simple_moves: bool = False) -> DataFrame:
     return typed.withColumn("answer", normalize_answer("task_type", F.col("raw"), explained, simple_moves))
 
 
-def text_report(df: DataFrame, by: str, pred: str, ref: str, lcs: bool = True) -> DataFrame:
+def text_report(df: DataFrame, by: str, pred: str, ref: str, lcs: bool = True, stem: bool = False) -> DataFrame:
     """Per group and overall: rows, mean word-set F1, mean ROUGE-1, -2 and (with ``lcs``) -L and mean
     edit distance.
 
-    One shuffle: rows become sums per group, and the overall line adds those up.
+    One shuffle: rows become sums per group, and the overall line adds those up. ``stem`` is for ROUGE.
     """
-    rows = A.rouge_n(A.rouge_n(df, pred, ref, 1), pred, ref, 2)
+    rows = A.rouge(df, pred, ref, (1, 2), lcs, stem)
     rows = rows.withColumns({
         "set_f1": M.set_prf(words(F.col(pred)), words(F.col(ref)))["f1"],
         "edit_distance": M.norm_edit_distance(F.col(pred), F.col(ref)),
     })
     names = ["set_f1", "rouge_1", "rouge_2", "edit_distance"]
     if lcs:
-        rows = A.rouge_l(rows, pred, ref)
         names.append("rouge_l")
     sums = {"n": F.lit(1), **{x: F.col(x) for x in names}}
     finish = {"n": F.col("n"), **{x: round_mean(F.col(x) / F.col("n"), 4) for x in names}}

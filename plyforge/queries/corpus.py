@@ -270,7 +270,7 @@ FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
 """)
 def ingest_counters(spark, sf_dir):
     counters = {"found": F.lit(True), "filtered": F.col("l_quantity") < 5, "validated": F.col("l_discount") > 0.05}
-    return G.ingest_counters(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], counters)
+    return G.ingest_counters(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], counters).drop("level")
 
 
 @query("""

@@ -70,13 +70,59 @@ FROM x GROUP BY ROLLUP (subtype)
 """)
 def explanation_report(spark, sf_dir):
     """Flagship: cleaned answers against references, per subtype and overall."""
-    return R.text_report(_clean_pairs(spark, sf_dir), "subtype", "pred", "ref", lcs=False).withColumn("n", F.col("n").cast("long"))
+    return R.text_report(_clean_pairs(spark, sf_dir), "subtype", "pred", "ref", lcs=False).withColumn("n", F.col("n").cast("long")).drop("overall")
+
+
+# One row of the subsequence table per token of the reply. A cell is the largest of the cell above and,
+# where the tokens are equal, one more than the cell above to the left, of all cells up to it.
+SQL_LCS = f"""
+WITH RECURSIVE {SQL_CLEAN_PAIRS}, tok AS (SELECT conv_id, turn, {ALNUM.format('pred')} AS p, {ALNUM.format('ref')} AS r FROM clean),
+step AS (
+  SELECT conv_id, turn, p, r, 0 AS i, list_transform(r, lambda x: 0) AS cells FROM tok
+  UNION ALL
+  SELECT conv_id, turn, p, r, i + 1,
+    list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+      lambda k: greatest(cells[k], CASE WHEN r[k] = p[i + 1] THEN coalesce(cells[k - 1], 0) + 1 ELSE 0 END))))
+  FROM step WHERE i < len(p) AND len(r) > 0),
+x AS (SELECT 'turn ' || turn AS subtype, CASE WHEN len(r) > 0 AND coalesce(list_max(cells), 0) > 0
+        THEN 2.0 * list_max(cells) / (len(p) + len(r)) ELSE 0.0 END AS l
+      FROM step WHERE i = len(p) OR len(r) = 0)
+SELECT subtype, count(*) AS n, round_even(avg(l), 4) AS rouge_l FROM x GROUP BY ROLLUP (subtype)"""
+
+
+@query(SQL_LCS)
+def rouge_l_report(spark, sf_dir):
+    """The longest common subsequence of whole cleaned answers and references, per subtype and overall."""
+    rows = R.text_report(_clean_pairs(spark, sf_dir), "subtype", "pred", "ref")
+    return rows.select("subtype", F.col("n").cast("long").alias("n"), "rouge_l")
 
 
-@query()
-def rouge_l_report(spark, sf_dir):
-    """The same report with the longest common subsequence of whole answers."""
-    return R.text_report(_clean_pairs(spark, sf_dir), "subtype", "pred", "ref")
+@query("""
+WITH d AS (SELECT doc_id, lang, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+h AS (SELECT doc_id, lang, w[1:len(w) // 2] AS p, w[len(w) // 2 + 1:len(w)] AS r FROM d),
+t AS (SELECT doc_id, unnest(p) AS g, 1 AS a, 0 AS b FROM h UNION ALL SELECT doc_id, unnest(r), 0, 1 FROM h),
+c AS (SELECT doc_id, g, sum(a) AS a, sum(b) AS b FROM t GROUP BY ALL),
+o AS (SELECT doc_id, sum(least(a, b)) AS m FROM c GROUP BY ALL)
+SELECT doc_id, CAST(coalesce(m, 0) AS BIGINT) AS shared FROM h LEFT JOIN o USING (doc_id)
+""")
+def half_overlaps(spark, sf_dir):
+    """Words that the first and the second half of each whole document share, repeats counted: texts of
+    up to 20,000 words."""
+    docs = documents(spark, sf_dir).select("doc_id", alnum_tokens(F.col("text")).alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    cut = docs.select("doc_id", F.slice("w", F.lit(1), half).alias("p"), F.slice("w", half + 1, F.size("w") - half).alias("r"))
+    return cut.select("doc_id", M.overlap_counts("p", "r", (1,))["m1"].alias("shared"))
+
+
+@query(f"""
+WITH {SQL_PAIRS}, x AS (SELECT CASE WHEN turn % 4 = 0 THEN NULL ELSE 'turn ' || turn END AS subtype, length(pred) AS n FROM pairs)
+SELECT subtype, grouping(subtype) = 1 AS overall, count(*) AS n, round_even(avg(n), 4) AS mean FROM x GROUP BY ROLLUP (subtype)
+""")
+def means_with_unnamed_group(spark, sf_dir):
+    """A group without a name beside the overall row."""
+    pairs = turn_pairs(spark, sf_dir).withColumn("subtype", F.when(F.col("turn") % 4 != 0, F.concat(F.lit("turn "), F.col("turn").cast("string"))))
+    sums = {"n": F.lit(1), "s": F.length("pred")}
+    return A.with_overall(pairs, "subtype", sums, {"n": F.col("n").cast("long"), "mean": round_mean(F.col("s") / F.col("n"), 4)})
 
 
 @query(f"""

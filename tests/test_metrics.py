@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import core as C
 from plyforge.functions import metrics as M
+from plyforge.functions.stem import porter
 from plyforge.operators import metrics as A
 from plyforge.plans import report as R
 
@@ -185,3 +187,52 @@ def test_rounding_follows_the_held_value(spark):
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double")
     assert [str(r[0]) for r in odd.select(C.round_ratio(F.col("v"), 2)).collect()] == ["nan", "inf", "None"]
     assert spark.range(1).select(C.format_metric(F.lit(None).cast("double"))).first()[0] == "N/A"
+
+
+def test_porter_stems():
+    """Examples given with the published algorithm."""
+    pairs = "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled " \
+        "motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss " \
+        "fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc " \
+        "digitizer digit radicalli radic vileli vile analogousli analog vietnamization vietnam predication predic operator oper " \
+        "feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit " \
+        "sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope " \
+        "goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust " \
+        "defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun " \
+        "activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate " \
+        "cease ceas controll control roll roll".split()
+    assert {w: porter(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2]))
+
+
+def test_rouge_with_stems(spark):
+    df = spark.createDataFrame([("The cats were running", "a cat runs"), (None, "x")], "p string, r string")
+    rows = A.rouge(df, "p", "r", (1, 2), stem=True).collect()
+    assert rows[0]["rouge_1"] == pytest.approx(4 / 7) and rows[0]["rouge_l"] == pytest.approx(4 / 7)
+    assert A.rouge(df, "p", "r").first()["rouge_1"] == 0.0
+
+
+def test_overlap_of_long_texts_is_linear():
+    rng = random.Random(3)
+    took = {}
+    for n in (2_000, 20_000):
+        x, y = ([f"w{rng.randrange(n)}" for _ in range(n)] for _ in range(2))
+        start = time.perf_counter()
+        for _ in range(3):
+            assert M._shared(x, y, 2) == sum((collections.Counter(grams(x, 2)) & collections.Counter(grams(y, 2))).values())
+        took[n] = (time.perf_counter() - start) / n
+    assert took[20_000] < 5 * took[2_000]
+
+
+def test_a_group_without_a_name_is_not_the_overall_row(spark):
+    rows = [(None, "a b", "a b"), (None, "a", "b"), ("x", "c d", "c")]
+    df = spark.createDataFrame(rows, "g string, p string, r string")
+    got = {(r["g"], r["overall"]): r["n"] for r in R.text_report(df, "g", "p", "r").collect()}
+    assert got == {(None, False): 2, ("x", False): 1, (None, True): 3}
+    assert sorted((str(r["g"]), r["overall"]) for r in A.corpus_bleu(df, "p", "r", "g").collect()) == [("None", False), ("None", True), ("x", False)]
+
+
+def test_a_vector_of_length_zero(spark):
+    rows = [(0, "c", 1, [0.0, 0.0]), (0, "c", 2, [1.0, 0.0]), (0, "r", 3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "s int, role string, id int, v array<double>")
+    got = A.greedy_match_prf(df.where("role = 'c'"), df.where("role = 'r'"), "s", "id", "v").first()
+    assert (got["precision"], got["recall"], got["f1"]) == pytest.approx((0.5, 1.0, 2 / 3))

@@ -66,7 +66,7 @@ def test_score_counters(spark):
     scores = spark.createDataFrame([("a", 5.0), ("b", 20.0), ("c", 90.0)], "key string, value double")
     filled = G.fill_scores(plies, scores, "key").withColumn("file", F.lit("f"))
     row = G.score_counters(filled, "file", F.col("old").isNotNull()).where("file IS NOT NULL").first()
-    assert tuple(row)[1:] == (4, 2, 2, 1, 1)
+    assert tuple(row)[1:] == (0, 4, 2, 2, 1, 1)
 
 
 def nested(n):

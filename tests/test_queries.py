@@ -34,5 +34,5 @@ def test_flagship(spark):
     assert df.count() > 1 and "rouge_1" in df.columns
 
 
-def test_every_query_but_one_has_sql():
-    assert set(QUERIES) - set(entry.oracle_sql()) == {"rouge_l_report"}
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(entry.oracle_sql())
