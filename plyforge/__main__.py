@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.functions.core import alnum_tokens
+from plyforge.functions.core import alnum_tokens, move_key
 from plyforge.operators import games as G
 from plyforge.operators import ordering as O
 from plyforge.operators import shaping as S
@@ -18,7 +18,7 @@ from plyforge.sources import sinks, tables
 from plyforge.streaming.merge import merge_stream
 
 POSITIONS = (
-    "game_id STRING, half_move INT, fen_before STRING, legal_moves ARRAY<STRING>, "
+    "game_id STRING, half_move INT, uci STRING, fen_before STRING, legal_moves ARRAY<STRING>, "
     "attacked STRUCT<white ARRAY<STRING>, black ARRAY<STRING>>"
 )
 SAMPLES = (
@@ -31,9 +31,10 @@ def _games(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_archive(spark, a) -> None:
-    switches = {k: getattr(a, k) for k in ("skip_unfinished", "only_standard", "only_complete", "min_elo", "max_elo")}
-    sinks.write_json(archive.nested_games(archive.archive_games(spark, a.inputs, on_bad=a.on_bad, **switches)), a.output)
-    archive.archive_counters(spark, a.inputs, **switches).show(truncate=False)
+    """Games, and next to them (``<output>-counters``) how many were found, kept and dropped."""
+    switches = {k: getattr(a, k) for k in ("on_bad", "skip_unfinished", "only_standard", "only_complete", "min_elo", "max_elo")}
+    sinks.write_json(archive.nested_games(archive.archive_games(spark, a.inputs, **switches)), a.output)
+    sinks.write_json(archive.archive_counters(spark, a.inputs, **switches), f"{a.output}-counters")
 
 
 def extract_comments(spark, a) -> None:
@@ -49,9 +50,26 @@ def requests(spark, a) -> None:
 
 
 def _plies(spark, a, style: str) -> DataFrame:
+    """Plies with the supplied facts. One without facts stays; each rule looks at what it needs."""
     plies = archive.flat_plies(_games(spark, a.inputs), n=a.history_len, style=style)
     facts = tables.read_jsonl(spark, a.positions, POSITIONS)
-    return G.attach_positions(plies, facts, ["game_id", "half_move"], on_bad="skip_move")
+    return G.attach_moves(plies, facts, ["game_id", "half_move"])
+
+
+def fill_scores(spark, a) -> None:
+    """Plies with scores filled in and checked, their counters (``<output>-counters``) and the scores to
+    add to the score table (``<output>-new``). A score belongs to a position, move number and side."""
+    plies = _plies(spark, a, "plain").withColumn("key", move_key(F.col("fen_before"), F.col("move_number"), F.col("side")))
+    plies = plies.withColumn("old", F.col("eval_cp"))
+    schema = "key STRING, value DOUBLE"
+    scores = spark.read.schema(schema).json(a.scores)
+    computed = spark.read.schema(schema).json(a.computed) if a.computed else None
+    filled = G.fill_scores(plies, scores, "key", a.overwrite, a.threshold, computed)
+    counters = G.score_counters(filled.withColumn("file", F.lit(a.inputs)), "file", F.col("old").isNotNull())
+    sinks.write_json(filled.drop("old"), a.output)
+    sinks.write_json(counters, f"{a.output}-counters")
+    if computed is not None:
+        sinks.write_json(G.new_scores(scores, computed, "key"), f"{a.output}-new")
 
 
 def p1_tasks(spark, a) -> None:
@@ -97,16 +115,28 @@ def score(spark, a) -> None:
 
 
 def report(spark, a) -> None:
+    """Models by metrics. Without ``--criteria`` a row is a folder; with it (rows of title, version, alpha
+    and beta as JSON lines) a row is the first experiment whose folder name fits, or none."""
     from plyforge.constants import REPORT_COLUMNS
-    from plyforge.plans.report import report_table
+    from plyforge.plans.report import experiments_by_criteria, report_table
 
     config = S.metric_config(spark, REPORT_COLUMNS)
     found = tables.read_experiments(spark, a.inputs).where("aggregated_metrics IS NOT NULL")
-    long = S.map_to_long(found.withColumnRenamed("folder", "model"), ["model"], "aggregated_metrics")
-    # One model per folder: their names are a short list.
-    models = [r[0] for r in found.select("folder").orderBy("folder").collect()]
+    if a.criteria:
+        wanted = spark.read.schema("title STRING, version STRING, alpha DOUBLE, beta DOUBLE").json(a.criteria)
+        found = experiments_by_criteria(found, wanted)
+    else:
+        found = found.withColumnRenamed("folder", "model")
+    long = S.map_to_long(found, ["model"], "aggregated_metrics")
+    # One column per model is only needed where the table is transposed.
+    models = [r[0] for r in found.select("model").distinct().orderBy("model").collect()] if a.transpose else []
     table = report_table(long, config, models, sorted({c[4] for c in REPORT_COLUMNS}), a.transpose)
+    if a.criteria and not a.transpose:
+        titles = [c for c in table.columns if c != "model"]
+        missing = found.select("model").join(table, "model", "left_anti")
+        table = table.unionByName(missing.select("model", *[F.lit("N/A").alias(t) for t in titles]))
     sinks.write_csv(table, a.output)
+    sinks.write_json(tables.read_summary_headers(spark, a.inputs), f"{a.output}-headers")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -134,6 +164,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         p.add_argument("--positions", required=True)
         p.add_argument("--history-len", type=int, default=10)
         p.add_argument("--seed", type=int, default=42)
+    p = job(fill_scores)
+    p.add_argument("--positions", required=True)
+    p.add_argument("--scores", required=True)
+    p.add_argument("--computed")
+    p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--threshold", type=float, default=50.0)
+    p.set_defaults(history_len=10)
     job(merge_answers).add_argument("--state", required=True)
     job(conform)
     p = job(encode)
@@ -146,7 +183,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     for name in ("--engine", "--move-scores", "--aliases"):
         p.add_argument(name)
     p.add_argument("--ks", type=int, nargs="+", default=[1, 3])
-    job(report).add_argument("--transpose", action="store_true")
+    p = job(report)
+    p.add_argument("--transpose", action="store_true")
+    p.add_argument("--criteria")
     args = parser.parse_args(argv)
     args.run(spark or build_session(), args)
 

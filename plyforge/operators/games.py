@@ -174,25 +174,35 @@ def score_outcome(existing: Column, supplied: Column, threshold: float = 50.0) -
 
 
 def fill_scores(
-    plies: DataFrame, scores: DataFrame, key: str, overwrite: bool = False, threshold: float = 50.0
+    plies: DataFrame, scores: DataFrame, key: str, overwrite: bool = False, threshold: float = 50.0,
+    computed: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join supplied scores (unique by key, column ``value``): fill missing ones, check the
-    others, and replace them when ``overwrite`` is set."""
-    supplied = scores.select(key, F.col("value").alias("_supplied"))
-    old, new = F.col("eval_cp"), F.col("_supplied")
-    joined = plies.join(supplied, key, "left").withColumn("score_status", score_outcome(old, new, threshold))
+    others, and replace them when ``overwrite`` is set. ``computed`` are new scores for keys that
+    ``scores`` does not hold; ``recomputed`` marks the rows that took one of them."""
+    supplied = scores.select(key, F.col("value").alias("_held"))
+    joined = plies.join(supplied, key, "left")
+    if computed is None:
+        joined = joined.withColumn("_new", F.lit(None).cast("double"))
+    else:
+        joined = joined.join(new_scores(scores, computed, key).withColumnRenamed("value", "_new"), key, "left")
+    old, new = F.col("eval_cp"), F.coalesce("_held", "_new")
+    joined = joined.withColumn("score_status", score_outcome(old, new, threshold))
     chosen = F.coalesce(new, old) if overwrite else F.coalesce(old, new)
-    return joined.withColumn("eval_cp", chosen).drop("_supplied")
+    marked = joined.withColumn("recomputed", F.col("_held").isNull() & F.col("_new").isNotNull())
+    return marked.withColumn("eval_cp", chosen).drop("_held", "_new")
 
 
 def score_counters(filled: DataFrame, by: str | list[str], had_score: Column) -> DataFrame:
-    """How many scores were there, checked, found wrong and filled, from rows of `fill_scores`."""
+    """How many scores were there, checked, found wrong, newly computed and filled, from rows of
+    `fill_scores`."""
     status = F.col("score_status")
     return ingest_counters(filled, by, {
         "moves_total": F.lit(1),
         "moves_with_pgn_eval": had_score,
         "moves_validated": status.isin("validated", "mismatch"),
         "moves_mismatch": status == "mismatch",
+        "moves_recomputed": F.col("recomputed"),
         "moves_missing_eval": status == "filled",
     })
 
@@ -214,6 +224,14 @@ def attach_positions(plies: DataFrame, positions: DataFrame, on: list[str], on_b
     return plies.join(positions, on, "left")
 
 
+def attach_moves(plies: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """Join supplied board facts and coordinate moves (column ``uci``) to plies that were read from
+    notation alone. A ply without facts stays, with NULLs; a coordinate move that it has is kept."""
+    supplied = facts.withColumnRenamed("uci", "_uci")
+    joined = plies.join(supplied, on, "left")
+    return joined.withColumn("uci", F.coalesce("uci", "_uci")).drop("_uci")
+
+
 def ingest_counters(df: DataFrame, by: str | list[str], counters: dict[str, Column]) -> DataFrame:
     """Sums of numbers or conditions per file, then over all files: there the file is NULL and ``level``
     above 0 (with several keys it tells the subtotals apart, as ``grouping_id`` does). The second step

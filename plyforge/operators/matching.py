@@ -52,21 +52,29 @@ def cross_inputs(df: DataFrame, models: list[str] | DataFrame, name: str = "mode
 
 def match_criteria(
     criteria: DataFrame, experiments: DataFrame, id: str, close: list[str], exact: list[str],
-    folder: str = "folder", rtol: float = 1e-5, atol: float = 1e-8, cell: float = 1e-3,
+    folder: str = "folder", rtol: float = 1e-5, atol: float = 1e-8,
 ) -> DataFrame:
     """For each criterion the first experiment by folder name whose values match: ``close`` columns
     within a tolerance taken from the criterion, ``exact`` ones equally. No match leaves NULL.
 
     The first close column is cut into cells and a criterion looks into each cell its tolerance
-    reaches, which makes the search an equality join. Experiments with equal values are merged
-    first, so a value shared by very many of them is joined once.
+    reaches, which makes the search an equality join. Cells are as wide as the tolerance at their place,
+    so that these are four at most whatever the value. Experiments with equal values are merged first, so
+    a value shared by very many of them is joined once.
     """
     lead = close[0]
     merged = experiments.groupBy(*exact, *close).agg(F.min(folder).alias(folder))
     reach = (F.lit(atol) + F.lit(rtol) * F.abs(F.col(lead))) * 1.01
-    cells = F.sequence(F.floor((F.col(lead) - reach) / cell), F.floor((F.col(lead) + reach) / cell))
+
+    def cell(value: Column) -> Column:
+        # Its slope is one over the tolerance.
+        if not rtol:
+            return F.floor(value / atol)
+        return F.floor(F.signum(value) * F.log1p(F.abs(value) * (rtol / max(atol, 1e-12))) / rtol)
+
+    cells = F.sequence(cell(F.col(lead) - reach), cell(F.col(lead) + reach))
     c = criteria.withColumn("_cell", F.explode(cells)).alias("c")
-    e = merged.withColumn("_cell", F.floor(F.col(lead) / cell)).alias("e")
+    e = merged.withColumn("_cell", cell(F.col(lead))).alias("e")
     test = F.col("c._cell") == F.col("e._cell")
     for k in exact:
         test = test & F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}"))

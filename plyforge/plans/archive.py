@@ -23,19 +23,21 @@ def archive_games(spark: SparkSession, path: str | list[str], on_bad: str = "dro
     return G.with_plies(G.game_record(games), fen="fen").drop("header_text", "movetext")
 
 
-def archive_counters(spark: SparkSession, path: str | list[str], **switches) -> DataFrame:
-    """Games found, filtered out, unreadable and kept, and moves and scored moves, per file and in all.
+def archive_counters(spark: SparkSession, path: str | list[str], on_bad: str = "drop_game", **switches) -> DataFrame:
+    """Games found, filtered out, unreadable and kept, and moves and scored moves, per file and in all,
+    of what `archive_games` gives with the same arguments.
 
-    Rejected games count nothing further; their moves are not read.
+    Rejected games count nothing further; their moves are not read. With ``on_bad='skip_move'`` a game
+    with unreadable text is kept, and only what is read of it counts.
     """
     games = G.with_headers(read_games(spark, path))
     tags = F.col("headers")
     passed = let(tags, lambda t: G.passes_filter(
         *[F.try_element_at(t, F.lit(n)) for n in ("Result", "Variant", "WhiteElo", "BlackElo")], **switches))
     judged = games.select("file", "movetext", passed.alias("passed"))
-    read = F.col("passed") & N.unread_movetext(F.col("movetext")).isNull()
+    whole = N.unread_movetext(F.col("movetext")).isNull() if on_bad == "drop_game" else F.lit(True)
     plies = F.when(F.col("read"), N.movetext_plies(F.col("movetext")))
-    moves = judged.withColumn("read", read).withColumn("notes", F.transform(plies, lambda p: p["annotation"]))
+    moves = judged.withColumn("read", F.col("passed") & whole).withColumn("notes", F.transform(plies, lambda p: p["annotation"]))
     scored = F.filter("notes", lambda a: N.parse_annotations(a)["eval_cp"].isNotNull())
     return G.ingest_counters(moves, "file", {
         "games_found": F.lit(1),
@@ -123,8 +125,8 @@ def with_game_key(nested: DataFrame, name: str = "game_id") -> DataFrame:
     return nested.withColumn(name, F.md5(F.to_json(F.struct("game_metadata.fen", "game_metadata.pgn"))))
 
 
-def usable_moves(nested: DataFrame) -> Column:
-    """array<struct<half_move, move_number, side, ...>> of the moves that have a coordinate form."""
+def listed_moves(nested: DataFrame) -> Column:
+    """array<struct<half_move, move_number, side, ...>> of a game's moves."""
     fields = ["san", "uci", "outcome", "special_move", "quality", "eval_cp", "clock", "comment"]
 
     def rows(pair: Column) -> Column:
@@ -136,24 +138,25 @@ def usable_moves(nested: DataFrame) -> Column:
         return F.array(one("white_move", "w"), one("black_move", "b"))
 
     flat = F.array_compact(F.flatten(F.transform("game_metadata.pgn", rows)))
-    moves = F.filter(flat, lambda m: F.length(m["uci"]) > 0)
+    moves = F.filter(flat, lambda m: F.length(m["san"]) > 0)
     names = ["move_number", "side", *fields]
     return F.transform(moves, lambda m, i: F.struct(i.alias("half_move"), *[m[f].alias(f) for f in names]))
 
 
 def flat_plies(nested: DataFrame, id: str = "game_id", n: int = K.HISTORY_LEN, style: str = "plain") -> DataFrame:
-    """One row per usable half-move of nested games, with its fields, half-move index and history.
-    Games without a start position or moves give none."""
+    """One row per half-move of nested games, with its fields, half-move index and history. Games without
+    a start position or moves give none. Coordinate moves that the games lack are supplied afterwards, see
+    `attach_moves`."""
     games = nested.where(F.col("game_metadata.fen").isNotNull() & (F.size("game_metadata.pgn") > 0))
     if id not in games.columns:
         games = with_game_key(games, id)
-    rows = games.select(id, F.explode(_with_history(usable_moves(games), n, style, "half_move")).alias("_r"))
+    rows = games.select(id, F.explode(_with_history(listed_moves(games), n, style, "half_move")).alias("_r"))
     return rows.select(id, "_r.ply.*", "_r.history")
 
 
 def position_requests(nested: DataFrame, id: str = "game_id") -> DataFrame:
-    """DataFrame[id, fen, moves]: what a rules engine outside needs to supply board facts, one row per
-    different game."""
+    """DataFrame[id, fen, moves]: what a rules engine outside needs to supply board facts and coordinate
+    moves: start position and moves as written, one row per different game."""
     games = nested if id in nested.columns else with_game_key(nested, id)
-    moves = F.transform(usable_moves(games), lambda m: m["uci"])
+    moves = F.transform(listed_moves(games), lambda m: m["san"])
     return games.select(id, F.col("game_metadata.fen").alias("fen"), moves.alias("moves")).dropDuplicates([id])

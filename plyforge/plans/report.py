@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import metrics as M
 from plyforge.functions.core import round_mean, words
-from plyforge.functions.prompts import task_subtype
+from plyforge.functions.prompts import parse_experiment_name, task_subtype
 from plyforge.functions.responses import normalize_answer
 from plyforge.operators import metrics as A
 from plyforge.operators import shaping as S
+from plyforge.operators.matching import match_criteria
 
 
 def scored_answers(samples: DataFrame, simple_moves: bool = False) -> DataFrame:
@@ -65,3 +66,13 @@ def report_table(metrics: DataFrame, config: DataFrame, models: list[str], specs
         return S.comparison_table(cells, "title", "model", "cell", models)
     titles = [r[0] for r in config.orderBy("pos").select("title").collect()]
     return S.comparison_table(cells, "model", "title", "cell", titles)
+
+
+def experiments_by_criteria(experiments: DataFrame, criteria: DataFrame) -> DataFrame:
+    """DataFrame[model, aggregated_metrics]: for each criterion (title, version, alpha, beta) the first
+    experiment by folder name whose name says so, the two numbers nearly; without one, no metrics."""
+    named = experiments.withColumn("n", parse_experiment_name(F.col("folder"))).where("n IS NOT NULL")
+    keys = named.select("folder", "n.*")
+    matched = match_criteria(criteria, keys, "title", ["alpha", "beta"], ["version"])
+    return matched.select(F.col("title").alias("model"), "folder").join(
+        experiments.select("folder", "aggregated_metrics"), "folder", "left").select("model", "aggregated_metrics")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from plyforge.functions import notation as N
 from plyforge.operators import games as G
 from plyforge.operators.shaping import explode_board
-from plyforge.plans.archive import archive_games
+from plyforge.plans.archive import archive_games, flat_plies, nested_games, position_requests
+from plyforge.plans.tasks import p1_tasks
 from plyforge.queries.registry import documents, events, query, table
 from plyforge.queries.standins import SQL_MOVES, event_games, event_moves, k_of
 from plyforge.session import scratch_path
@@ -321,3 +322,25 @@ def json_layouts(spark, sf_dir):
     arrays.select(F.concat(F.lit("[\n"), "body", F.lit("\n]"))).write.mode("append").option("maxRecordsPerFile", 1).text(path)
     rows = tables.read_json_auto(spark, path, schema)
     return rows.select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n"))
+
+
+@query(f"""
+WITH p AS ({PLY_SQL})
+SELECT game_id, ply, 'identify_outcome' AS task, outcome AS output FROM p WHERE outcome IS NOT NULL
+UNION ALL SELECT game_id, ply, 'identify_special_move', CASE WHEN starts_with(special_move, 'Promotion') THEN 'Promotion' ELSE special_move END FROM p WHERE special_move IS NOT NULL
+UNION ALL SELECT game_id, ply, 'identify_quality', quality FROM p WHERE quality IS NOT NULL
+""")
+def archive_tasks(spark, sf_dir):
+    """Games written to archive files, parsed, given coordinate moves and positions that are supplied, and
+    made into task rows."""
+    path = scratch_path(spark, "archive")
+    tags = F.concat(F.lit('[Event "E"]\n[Site "'), F.col("game_id").cast("string"), F.lit('"]\n[Result "1-0"]\n\n'))
+    event_games(spark, sf_dir).select(F.concat(tags, "movetext")).write.option("lineSep", "\n\n").text(path)
+    nested = nested_games(archive_games(spark, path)).withColumn("game_id", F.col("game_metadata.game_url"))
+    asked = position_requests(nested).select("game_id", F.posexplode("moves").alias("half_move", "san"))
+    facts = asked.select("game_id", "half_move", F.concat(F.lit("u"), F.col("half_move")).alias("uci"), F.lit("8/8 w - - 0 1").alias("fen_before"))
+    plies = G.attach_moves(flat_plies(nested), facts, ["game_id", "half_move"])
+    rows = p1_tasks(plies, ["game_id", "half_move"])
+    ids = F.split("task_id", "_")
+    wanted = rows.where(F.col("task").isin("identify_outcome", "identify_special_move", "identify_quality"))
+    return wanted.select(F.get(ids, F.lit(0)).cast("long").alias("game_id"), F.get(ids, F.lit(1)).cast("long").alias("ply"), "task", "output")

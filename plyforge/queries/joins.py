@@ -100,7 +100,7 @@ def matched_criteria(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 25).alias("version"), F.col("p_retailprice").alias("alpha"))
     exps = table(spark, sf_dir, "supplier").select(
         F.format_string("exp%08d", "s_suppkey").alias("folder"), F.col("s_nationkey").alias("version"), F.col("s_acctbal").alias("alpha"))
-    return J.match_criteria(part, exps, "p_partkey", ["alpha"], ["version"], rtol=0.01, atol=0.5, cell=25.0).select("p_partkey", "folder")
+    return J.match_criteria(part, exps, "p_partkey", ["alpha"], ["version"], rtol=0.01, atol=0.5).select("p_partkey", "folder")
 
 
 ENGINE_SQL = """

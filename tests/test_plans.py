@@ -66,7 +66,7 @@ def test_score_counters(spark):
     scores = spark.createDataFrame([("a", 5.0), ("b", 20.0), ("c", 90.0)], "key string, value double")
     filled = G.fill_scores(plies, scores, "key").withColumn("file", F.lit("f"))
     row = G.score_counters(filled, "file", F.col("old").isNotNull()).where("file IS NOT NULL").first()
-    assert tuple(row)[1:] == (0, 4, 2, 2, 1, 1)
+    assert tuple(row)[1:] == (0, 4, 2, 2, 1, 0, 1)
 
 
 def nested(n):
@@ -100,6 +100,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     (tmp_path / "games.json").write_text(json.dumps([nested(i) for i in range(20)], indent=2))
     run = lambda *a: main([str(x) for x in a], spark)
     run("requests", "-i", tmp_path / "games.json", "-o", tmp_path / "req")
+    assert spark.read.json(str(tmp_path / "req")).first()["moves"][:2] == ["s0", "s1"]
     facts = spark.read.json(str(tmp_path / "req")).select("game_id", F.posexplode("moves").alias("half_move", "m")).drop("m").withColumns({
         "fen_before": F.lit(K.START_FEN), "legal_moves": F.array(F.lit("e2e4")),
         "attacked": F.struct(F.array(F.lit("e4")).alias("white"), F.array(F.lit("e5")).alias("black"))})
@@ -140,3 +141,64 @@ def test_archive_jobs(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "notes")).collect()) == ["fine", "open"]
     with pytest.raises(SystemExit):
         main(["unknown"], spark)
+
+
+def test_an_archive_feeds_the_task_jobs(spark, tmp_path):
+    """Games as parsed hold no coordinate moves; supplied facts add them."""
+    games = "\n".join(f'[Event "{i}"]\n[Result "1-0"]\n\n1. e4! {{a fine move for number {i}}} e5 2. Qh5 {{[%eval 0.5]}} Nc6?? 3. Bc4 Nf6 4. Qxf7# 1-0\n' for i in range(50))
+    (tmp_path / "a.pgn").write_text(games)
+    run = lambda *a: main([str(x) for x in a], spark)
+    run("parse-archive", "-i", tmp_path / "a.pgn", "-o", tmp_path / "games")
+    counters = [r for r in spark.read.json(str(tmp_path / "games-counters")).collect() if r["level"]]
+    assert [(r["games_processed"], r["moves_total"], r["moves_with_pgn_eval"]) for r in counters] == [(50, 350, 50)]
+    run("requests", "-i", tmp_path / "games", "-o", tmp_path / "req")
+    asked = spark.read.json(str(tmp_path / "req"))
+    assert asked.count() == 50 and asked.first()["moves"] == ["e4!", "e5", "Qh5", "Nc6??", "Bc4", "Nf6", "Qxf7#"]
+    facts = asked.select("game_id", F.posexplode("moves").alias("half_move", "m"))
+    facts = facts.select("game_id", "half_move", F.concat(F.lit("u"), F.col("half_move")).alias("uci"), F.lit(K.START_FEN).alias("fen_before"))
+    facts.where("half_move <> 5").write.json(str(tmp_path / "facts"))
+    run("p1-tasks", "-i", tmp_path / "games", "--positions", tmp_path / "facts", "-o", tmp_path / "p1")
+    counts = {r["task"]: r["n"] for r in A.task_counts(spark.read.json(str(tmp_path / "p1"))).collect()}
+    assert counts["identify_quality"] == 100 and counts["identify_outcome"] == 50 and counts["predict_move"] > 50
+    run("p2-prompts", "-i", tmp_path / "games", "--positions", tmp_path / "facts", "-o", tmp_path / "p2")
+    prompts = spark.read.json(str(tmp_path / "p2"))
+    by_task = {r["task"]: r["n"] for r in A.task_counts(prompts).collect()}
+    assert by_task["P2.2a_Quality"] == 100 and by_task["P2.2c_GeneralComment"] == 50
+    assert prompts.where("student_prompt_input is null").count() == 0
+    # Scores by position, number and side: one is held, one newly computed.
+    plies = tables.read_jsonl(spark, str(tmp_path / "facts"), "game_id STRING, half_move INT, uci STRING, fen_before STRING")
+    key = F.md5(F.concat_ws("|", "fen_before", (F.floor(F.col("half_move") / 2) + 1).cast("string"), F.when(F.col("half_move") % 2 == 0, "w").otherwise("b")))
+    keys = plies.select("half_move", key.alias("key")).distinct()
+    keys.where("half_move = 0").select("key", F.lit(30.0).alias("value")).write.json(str(tmp_path / "scores"))
+    keys.where("half_move in (0, 1)").select("key", F.lit(40.0).alias("value")).write.json(str(tmp_path / "computed"))
+    run("fill-scores", "-i", tmp_path / "games", "--positions", tmp_path / "facts", "--scores", tmp_path / "scores",
+        "--computed", tmp_path / "computed", "-o", tmp_path / "filled")
+    row = next(r for r in spark.read.json(str(tmp_path / "filled-counters")).collect() if not r["level"])
+    assert (row["moves_total"], row["moves_with_pgn_eval"], row["moves_recomputed"], row["moves_missing_eval"]) == (350, 50, 50, 100)
+    assert spark.read.json(str(tmp_path / "filled-new")).count() == 1
+
+
+def test_counters_agree_with_what_is_kept(spark, tmp_path):
+    for i in range(25):
+        bad = " x9x" if i % 2 else ""
+        (tmp_path / f"{i}.pgn").write_text(f'[Event "{i}"]\n[Result "1-0"]\n\n1. e4{bad} e5 1-0\n')
+    for on_bad, kept in (("drop_game", 13), ("skip_move", 25)):
+        out = tmp_path / on_bad
+        main(["parse-archive", "-i", str(tmp_path / "*.pgn"), "-o", str(out), "--on-bad", on_bad], spark)
+        rows = spark.read.json(f"{out}-counters").collect()
+        total = next(r for r in rows if r["level"])
+        assert len(rows) == 26 and total["games_processed"] == kept == spark.read.json(str(out)).count()
+
+
+def test_report_by_criteria(spark, tmp_path):
+    for folder, value in (("combine_v3_0_0", 0.5), ("combine_v3_1_0.5", 0.7), ("other", 0.9)):
+        path = tmp_path / "exps" / folder
+        path.mkdir(parents=True)
+        (path / "result.json").write_text(json.dumps({"args": {}, "aggregated_metrics": {"rouge_l_f1_overall": value}, "accuracy_counts_per_task": {}}))
+        (path / "summary.txt").write_text("Model: m\nBeta: 1\n\nrest: no")
+    (tmp_path / "criteria.jsonl").write_text("\n".join(json.dumps(dict(zip(("title", "version", "alpha", "beta"), c))) for c in (
+        ("Base", "v3", 0.0, 0.0), ("Half", "v3", 1.0, 0.500001), ("None", "v9", 0.0, 0.0))))
+    main(["report", "-i", str(tmp_path / "exps"), "-o", str(tmp_path / "table"), "--criteria", str(tmp_path / "criteria.jsonl")], spark)
+    rows = {r["model"]: r["ROUGE-L"] for r in spark.read.option("header", True).csv(str(tmp_path / "table")).collect()}
+    assert rows == {"Base": "0.500", "Half": "0.700*", "None": "N/A"}
+    assert spark.read.json(str(tmp_path / "table-headers")).where("name = 'Beta'").count() == 3

