@@ -23,14 +23,11 @@ def _fill(template: str, **values: Column) -> Column:
 
 
 def p1_prompt(instruction: Column, fen: Column, history: Column) -> Column:
-    return _fill("[INST] {i} [SEP] [FEN] {f} [SEP] [PGN] {h} [/INST]", i=instruction, f=fen, h=history)
+    return _fill(K.P1_PROMPT, i=instruction, f=fen, h=history)
 
 
 def student_prompt(instruction: Column, fen: Column, history: Column, move: Column) -> Column:
-    return _fill(
-        "[INST] {i} [SEP] [FEN] {f} [SEP] [PGN] {h} [SEP] [MOVE] {m} [/INST]",
-        i=instruction, f=fen, h=history, m=move,
-    )
+    return _fill(K.STUDENT_PROMPT, i=instruction, f=fen, h=history, m=move)
 
 
 def teacher_prompt(
@@ -39,25 +36,19 @@ def teacher_prompt(
 ) -> Column:
     """System text, context block and task; context lines with nothing to say are left out."""
 
-    def line(label: str, value: Column | None) -> Column:
+    def line(name: str, value: Column | None) -> Column:
         if value is None:
             return F.lit(None).cast("string")
-        return F.when(value != "", F.concat(F.lit(label), value))
+        return F.when(value != "", F.concat(F.lit(K.TEACHER_CONTEXT[name]), value))
 
     context = F.concat_ws(
         "\n",
-        F.concat(F.lit("Board State (FEN) before the move: "), fen),
-        F.concat(F.lit("Recent Game History (PGN): "), history),
-        _fill("Move Played: {u} ({s})", u=uci, s=san),
-        line("Source PGN Quality Annotation: ", quality),
-        line("Source PGN Comment: ", comment),
-        line("Move Event: ", event),
-        line("Alternative Best Move suggested in comment: ", best),
-    )
-    return _fill(
-        "{sys}\n[USER]\nContext:\n{ctx}\n\nTask: {task}\n\nExplanation:\n[ASSISTANT]",
-        sys=F.lit(K.TEACHER_SYSTEM + K.TEACHER_EXAMPLES), ctx=context, task=task,
+        F.concat(F.lit(K.TEACHER_CONTEXT["fen"]), fen),
+        F.concat(F.lit(K.TEACHER_CONTEXT["history"]), history),
+        _fill(K.TEACHER_CONTEXT["move"], u=uci, s=san),
+        line("quality", quality), line("comment", comment), line("event", event), line("best", best),
     )
+    return _fill(K.TEACHER_PROMPT, sys=F.lit(K.TEACHER_SYSTEM + K.TEACHER_EXAMPLES), ctx=context, task=task)
 
 
 def engine_prompt(kind: str, **values: Column) -> Column:
@@ -66,16 +57,14 @@ def engine_prompt(kind: str, **values: Column) -> Column:
 
 
 def event_instruction(event: Column, san: Column) -> Column:
+    asked = {name: _fill(text, s=san, e=F.lower(event) if name == "Promotion" else event) for name, text in K.EVENT_QUESTIONS.items()}
     return (
-        F.when(event == "Check", _fill("Describe the check delivered by the move {s}.", s=san))
-        .when(event == "Checkmate", _fill("Explain how {s} leads to checkmate.", s=san))
-        .when(event == "Capture", _fill("Explain the capture made by {s}.", s=san))
-        .when(
-            event.contains("Promotion"),
-            _fill("What is the significance of {e} by {s}?", e=F.lower(event), s=san),
-        )
-        .when(event.contains("Castling"), _fill("Why castle ({s}) here?", s=san))
-        .otherwise(_fill("The move {s} resulted in '{e}'. Explain this event.", s=san, e=event))
+        F.when(event == "Check", asked["Check"])
+        .when(event == "Checkmate", asked["Checkmate"])
+        .when(event == "Capture", asked["Capture"])
+        .when(event.contains("Promotion"), asked["Promotion"])
+        .when(event.contains("Castling"), asked["Castling"])
+        .otherwise(asked["other"])
     )
 
 

@@ -154,14 +154,12 @@ def _first_word(t: Column) -> Column:
 
 
 def _predicted_move(t: Column) -> Column:
-    san = r"\b(?:[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8](?:=[NBRQ])?|O-O(?:-O)?)(?:[+#])?\b"
-    notation = rf"({K.UCI}|[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8](?:=[NBRQK])?|O-O(?:-O)?)"
     word = _first_word(t)
     return F.coalesce(
         none_if_empty(F.regexp_extract(t, rf"\b({K.UCI})\b", 1)),
-        none_if_empty(F.regexp_extract(t, san, 0)),
-        none_if_empty(F.regexp_extract(t, rf"(?iu){K.MOVE_PHRASES}\s*{notation}\b", 1)),
-        none_if_empty(F.regexp_extract(t, rf"(?i){notation}\.\s*$", 1)),
+        none_if_empty(F.regexp_extract(t, K.ANSWER_SAN, 0)),
+        none_if_empty(F.regexp_extract(t, rf"(?iu){K.MOVE_PHRASES}\s*{K.ANSWER_NOTATION}\b", 1)),
+        none_if_empty(F.regexp_extract(t, rf"(?i){K.ANSWER_NOTATION}\.\s*$", 1)),
         F.when(F.length(word).between(2, 7), word),
         F.lit(""),
     )
@@ -174,8 +172,7 @@ def _leading_move(t: Column) -> Column:
 
 def _piece(t: Column) -> Column:
     return F.coalesce(
-        none_if_empty(F.regexp_extract(t, r"\b([pnbrqkPNBRQK])\b", 1)),
-        none_if_empty(F.regexp_extract(t, r"^([pnbrqkPNBRQK])", 1)),
+        *[none_if_empty(F.regexp_extract(t, pattern, 1)) for pattern in K.ANSWER_PIECE],
         _first_word(t),
     )
 

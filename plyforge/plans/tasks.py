@@ -12,8 +12,8 @@ from plyforge.functions.core import hash01, let, pick
 from plyforge.operators.shaping import Rule, generate_tasks
 
 
-def _text(template: str, **values: Column) -> Column:
-    return P._fill(template, **values)
+def _ask(task: str, **values: Column) -> Column:
+    return P._fill(K.P1_QUESTIONS[task], **values)
 
 
 def note_rules(seed: int, keys: list[str]) -> list[Rule]:
@@ -27,17 +27,17 @@ def note_rules(seed: int, keys: list[str]) -> list[Rule]:
         return P.with_choices(question, K.CHOICES[rule], seed, rule, *[c(k) for k in keys])
 
     return [
-        Rule("predict_move", F.lit(True), F.lit("Predict the next move."), c("uci"), K.PREDICT_RATE),
+        Rule("predict_move", F.lit(True), _ask("predict_move"), c("uci"), K.PREDICT_RATE),
         Rule("identify_outcome", c("outcome").isNotNull(),
-             choice("identify_outcome", _text("What is the outcome of the move {s}?", s=san)), c("outcome")),
+             choice("identify_outcome", _ask("identify_outcome", s=san)), c("outcome")),
         Rule("identify_special_move", c("special_move").isNotNull(),
-             choice("identify_special_move", _text("What type of special move is {s}?", s=san)), special),
+             choice("identify_special_move", _ask("identify_special_move", s=san)), special),
         Rule("identify_quality", c("quality").isNotNull(),
-             choice("identify_quality", _text("What is the quality annotation for {s}?", s=san)), c("quality")),
+             choice("identify_quality", _ask("identify_quality", s=san)), c("quality")),
         Rule("parse_comment_best_move", best.isNotNull(),
-             _text("The comment suggests an alternative to {s}. What move was suggested as best?", s=san), best),
+             _ask("parse_comment_best_move", s=san), best),
         Rule("parse_comment_mate_unavoidable", N.mentions(c("comment")),
-             _text("According to the comment for {s}, is checkmate unavoidable? Answer Yes or No.", s=san), F.lit("Yes")),
+             _ask("parse_comment_mate_unavoidable", s=san), F.lit("Yes")),
     ]
 
 
@@ -78,16 +78,16 @@ def board_rules(seed: int, keys: list[str]) -> list[Rule]:
         return P.with_choices(question, K.CHOICES[rule], seed, rule, *[c(k) for k in keys])
 
     return [
-        Rule("list_legal_moves", drawn & (F.size("legal_moves") > 0), F.lit("List all legal moves from the current position."),
+        Rule("list_legal_moves", drawn & (F.size("legal_moves") > 0), _ask("list_legal_moves"),
              F.array_join(F.sort_array("legal_moves"), " ")),
         Rule("identify_piece", seen.isNotNull(),
-             choice("identify_piece", _text("What piece is on square {q}?", q=seen["square"])), seen["piece"]),
+             choice("identify_piece", _ask("identify_piece", q=seen["square"])), seen["piece"]),
         Rule("identify_color", seen.isNotNull(),
-             choice("identify_color", _text("What is the color of the piece on square {q}?", q=seen["square"])), seen["color"]),
-        Rule("is_square_attacked", drawn, _text("Is square {q} attacked by {a}? Answer Yes or No.", q=target, a=attacker),
+             choice("identify_color", _ask("identify_color", q=seen["square"])), seen["color"]),
+        Rule("is_square_attacked", drawn, _ask("is_square_attacked", q=target, a=attacker),
              yes(F.array_contains(attacked, target))),
         Rule("can_piece_move", mover.isNotNull(),
-             _text("Can the {p} on {f} legally move to {t}? Answer Yes or No.", p=symbol, f=mover["square"], t=goal),
+             _ask("can_piece_move", p=symbol, f=mover["square"], t=goal),
              yes(F.array_contains("legal_moves", move))),
     ]
 
@@ -113,28 +113,18 @@ def explanation_rules() -> list[Rule]:
     def rule(name, when, student, teacher, rate=1.0, suffix=None, **extra):
         return Rule(name, when, student, no_label, rate, suffix=suffix, extra={"teacher_task_instruction": teacher, **extra})
 
+    values = {"s": san, "q": quality, "b": best, "c": comment, "e": event}
+
+    def made(name, when, student=None, **more):
+        student = P._fill(K.P2_STUDENT[name], **values) if student is None else student
+        return rule(name, when, student, P._fill(K.P2_TEACHER[name], **values), **more)
+
     return [
-        rule("P2.1_General", F.lit(True),
-             _text("Explain the main purpose and potential consequences of the move {s}.", s=san),
-             F.concat(_text("Provide a concise explanation (2-3 sentences, approx. 40-70 words) for the move {s}.", s=san),
-                      F.lit(K.GENERAL_FOCUS)), K.GENERAL_RATE),
-        rule("P2.2a_Quality", quality.isNotNull(),
-             _text("Explain why the move {s} is described as a {q}.", s=san, q=quality),
-             _text("The move {s} was annotated in the source PGN as '{q}'. Explain concisely (2-3 sentences) the"
-                   " specific chess reasons that justify this annotation. What makes it a {q}?", s=san, q=quality),
-             quality_from_pgn_for_task=quality),
-        rule("P2.2b_BestMoveComment", best.isNotNull(),
-             _text('The PGN comment for {s} says "{b} was best." Explain why {b} might be better than {s}.', s=san, b=best),
-             _text('The PGN comment for the played move {s} suggests "{b} was best." Briefly compare these two moves'
-                   " (2-4 sentences), explaining the main advantage of {b} or the drawback of {s}.", s=san, b=best),
-             best_move_from_comment=best),
-        rule("P2.2c_GeneralComment", N.is_informative(comment, best),
-             _text('The PGN comment for {s} is: "{c}". What does this comment mean in this chess context?', s=san, c=comment),
-             _text('The PGN comment for the move {s} is: "{c}". Explain concisely (2-3 sentences) the chess reasoning or'
-                   " meaning behind this comment in the context of the position.", s=san, c=comment)),
-        rule("P2.3_Event_", event.isNotNull(), P.event_instruction(event, san),
-             _text("The move {s} resulted in '{e}'. Explain concisely (1-2 sentences) what this event means or achieves in"
-                   " this specific position.", s=san, e=event), K.EVENT_RATE,
+        made("P2.1_General", F.lit(True), rate=K.GENERAL_RATE),
+        made("P2.2a_Quality", quality.isNotNull(), quality_from_pgn_for_task=quality),
+        made("P2.2b_BestMoveComment", best.isNotNull(), best_move_from_comment=best),
+        made("P2.2c_GeneralComment", N.is_informative(comment, best)),
+        made("P2.3_Event_", event.isNotNull(), P.event_instruction(event, san), rate=K.EVENT_RATE,
              suffix=F.replace(event, F.lit(" "), F.lit(""))),
     ]
 

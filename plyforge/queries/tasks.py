@@ -51,23 +51,44 @@ def event_plies(spark, sf_dir):
     return G.recent_history(plies, "game_id", "ply", "token")
 
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_fill(template: str, **values: str) -> str:
+    """A template as SQL: its literal parts and SQL expressions in the place of its gaps, joined."""
+    import string
+
+    parts = []
+    for text, name, _, _ in string.Formatter().parse(template):
+        if text:
+            parts.append(_lit(text))
+        if name:
+            parts.append(values[name])
+    return "(" + " || ".join(parts) + ")"
+
+
+def _ask(task: str, **values: str) -> str:
+    return sql_fill(K.P1_QUESTIONS[task], **values)
+
+
 def _choice(rule: str, task: str) -> str:
     return f"CASE WHEN {sql_hash01('42', 'hide_' + task, 'hkey')} >= 0.2 THEN '{K.CHOICES[task]}' ELSE '' END"
 
 
 def _p1(task: str, instruction: str, output: str, when: str, source: str = "plies") -> str:
     return f"""SELECT base || '_{task}' AS task_id, '{task}' AS task,
-      '[INST] ' || {instruction} || ' [SEP] [FEN] ' || fen_before || ' [SEP] [PGN] ' || history || ' [/INST]' AS input, {output} AS output FROM {source} WHERE {when}"""
+      {sql_fill(K.P1_PROMPT, i=instruction, f='fen_before', h='history')} AS input, {output} AS output FROM {source} WHERE {when}"""
 
 
 _NOTES = [
-    _p1("predict_move", "'Predict the next move.'", "uci", f"{sql_hash01('42', 'predict_move', 'hkey')} < 0.25"),
-    _p1("identify_outcome", f"'What is the outcome of the move ' || san || '?' || {_choice('', 'identify_outcome')}", "outcome", "outcome IS NOT NULL"),
-    _p1("identify_special_move", f"'What type of special move is ' || san || '?' || {_choice('', 'identify_special_move')}",
+    _p1("predict_move", _ask("predict_move"), "uci", f"{sql_hash01('42', 'predict_move', 'hkey')} < 0.25"),
+    _p1("identify_outcome", f"{_ask('identify_outcome', s='san')} || {_choice('', 'identify_outcome')}", "outcome", "outcome IS NOT NULL"),
+    _p1("identify_special_move", f"{_ask('identify_special_move', s='san')} || {_choice('', 'identify_special_move')}",
         "CASE WHEN starts_with(special_move, 'Promotion') THEN 'Promotion' ELSE special_move END", "special_move IS NOT NULL"),
-    _p1("identify_quality", f"'What is the quality annotation for ' || san || '?' || {_choice('', 'identify_quality')}", "quality", "quality IS NOT NULL"),
-    _p1("parse_comment_best_move", "'The comment suggests an alternative to ' || san || '. What move was suggested as best?'", "'Nf3'", "k % 4 = 0"),
-    _p1("parse_comment_mate_unavoidable", "'According to the comment for ' || san || ', is checkmate unavoidable? Answer Yes or No.'", "'Yes'", "k % 4 = 0"),
+    _p1("identify_quality", f"{_ask('identify_quality', s='san')} || {_choice('', 'identify_quality')}", "quality", "quality IS NOT NULL"),
+    _p1("parse_comment_best_move", _ask("parse_comment_best_move", s="san"), "'Nf3'", "k % 4 = 0"),
+    _p1("parse_comment_mate_unavoidable", _ask("parse_comment_mate_unavoidable", s="san"), "'Yes'", "k % 4 = 0"),
 ]
 
 
@@ -97,12 +118,12 @@ def _color(x: str) -> str:
 
 
 _BOARD = [
-    _p1("list_legal_moves", "'List all legal moves from the current position.'", "array_to_string(list_sort(legal), ' ')", "true", "facts"),
-    _p1("identify_piece", f"'What piece is on square ' || seen.sq || '?' || {_choice('', 'identify_piece')}", "upper(seen.p)", "true", "facts"),
-    _p1("identify_color", f"'What is the color of the piece on square ' || seen.sq || '?' || {_choice('', 'identify_color')}", _color("seen"), "true", "facts"),
-    _p1("is_square_attacked", "'Is square ' || target || ' attacked by ' || attacker || '? Answer Yes or No.'",
+    _p1("list_legal_moves", _ask("list_legal_moves"), "array_to_string(list_sort(legal), ' ')", "true", "facts"),
+    _p1("identify_piece", f"{_ask('identify_piece', q='seen.sq')} || {_choice('', 'identify_piece')}", "upper(seen.p)", "true", "facts"),
+    _p1("identify_color", f"{_ask('identify_color', q='seen.sq')} || {_choice('', 'identify_color')}", _color("seen"), "true", "facts"),
+    _p1("is_square_attacked", _ask("is_square_attacked", q="target", a="attacker"),
         "CASE WHEN (attacker = 'White') = (target[1] < 'e') THEN 'Yes' ELSE 'No' END", "true", "facts"),
-    _p1("can_piece_move", "'Can the ' || mover.p || ' on ' || mover.sq || ' legally move to ' || goal || '? Answer Yes or No.'",
+    _p1("can_piece_move", _ask("can_piece_move", p="mover.p", f="mover.sq", t="goal"),
         "CASE WHEN list_contains(legal, mover.sq || goal || CASE WHEN upper(mover.p) = 'P' AND goal[2] IN ('1', '8') THEN 'q' ELSE '' END) THEN 'Yes' ELSE 'No' END", "true", "facts"),
 ]
 
@@ -127,46 +148,46 @@ def board_tasks(spark, sf_dir):
     return rows.where(F.col("task").isin(board))
 
 
-def _lit(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _p2(task: str, student: str, teacher: str, when: str, best: str = "NULL") -> str:
     return f"""SELECT base || '_' || {task} AS task_id, {task} AS task, {student} AS student, {teacher} AS teacher, {best} AS best,
       fen_before, history, uci, san, quality, comment, coalesce(outcome, special_move) AS event FROM plies WHERE {when}"""
 
 
 _EVENT = "coalesce(outcome, special_move)"
+_VALUES = {"s": "san", "q": "quality", "b": "'Nf3'", "c": "comment", "e": _EVENT}
+
+
+def _both(name: str) -> tuple[str, str]:
+    return sql_fill(K.P2_STUDENT[name], **_VALUES), sql_fill(K.P2_TEACHER[name], **_VALUES)
+
+
+def _event_question() -> str:
+    asked = {n: sql_fill(t, s="san", e=f"lower({_EVENT})" if n == "Promotion" else _EVENT) for n, t in K.EVENT_QUESTIONS.items()}
+    plain = " ".join(f"WHEN {_EVENT} = '{n}' THEN {asked[n]}" for n in ("Check", "Checkmate", "Capture"))
+    parts = " ".join(f"WHEN contains({_EVENT}, '{n}') THEN {asked[n]}" for n in ("Promotion", "Castling"))
+    return f"CASE {plain} {parts} ELSE {asked['other']} END"
+
+
 _P2 = [
-    _p2("'P2.1_General'", "'Explain the main purpose and potential consequences of the move ' || san || '.'",
-        f"'Provide a concise explanation (2-3 sentences, approx. 40-70 words) for the move ' || san || '.' || {_lit(K.GENERAL_FOCUS)}",
-        f"{sql_hash01('42', 'P2.1_General', 'hkey')} < 0.05"),
-    _p2("'P2.2a_Quality'", "'Explain why the move ' || san || ' is described as a ' || quality || '.'",
-        "'The move ' || san || ' was annotated in the source PGN as ''' || quality || '''. Explain concisely (2-3 sentences) the specific chess reasons that justify this annotation. What makes it a ' || quality || '?'",
-        "quality IS NOT NULL"),
-    _p2("'P2.2b_BestMoveComment'", "'The PGN comment for ' || san || ' says \"Nf3 was best.\" Explain why Nf3 might be better than ' || san || '.'",
-        "'The PGN comment for the played move ' || san || ' suggests \"Nf3 was best.\" Briefly compare these two moves (2-4 sentences), explaining the main advantage of Nf3 or the drawback of ' || san || '.'",
-        "k % 4 = 0", "'Nf3'"),
-    _p2("'P2.2c_GeneralComment'", "'The PGN comment for ' || san || ' is: \"' || comment || '\". What does this comment mean in this chess context?'",
-        "'The PGN comment for the move ' || san || ' is: \"' || comment || '\". Explain concisely (2-3 sentences) the chess reasoning or meaning behind this comment in the context of the position.'",
-        "k % 4 IN (1, 2) AND length(comment) > 10"),
-    _p2(f"'P2.3_Event_' || replace({_EVENT}, ' ', '')",
-        f"""CASE {_EVENT} WHEN 'Check' THEN 'Describe the check delivered by the move ' || san || '.' WHEN 'Checkmate' THEN 'Explain how ' || san || ' leads to checkmate.'
-          WHEN 'Capture' THEN 'Explain the capture made by ' || san || '.' ELSE CASE WHEN contains({_EVENT}, 'Promotion') THEN 'What is the significance of ' || lower({_EVENT}) || ' by ' || san || '?'
-          ELSE 'Why castle (' || san || ') here?' END END""",
-        f"'The move ' || san || ' resulted in ''' || {_EVENT} || '''. Explain concisely (1-2 sentences) what this event means or achieves in this specific position.'",
+    _p2("'P2.1_General'", *_both("P2.1_General"), f"{sql_hash01('42', 'P2.1_General', 'hkey')} < 0.05"),
+    _p2("'P2.2a_Quality'", *_both("P2.2a_Quality"), "quality IS NOT NULL"),
+    _p2("'P2.2b_BestMoveComment'", *_both("P2.2b_BestMoveComment"), "k % 4 = 0", "'Nf3'"),
+    _p2("'P2.2c_GeneralComment'", *_both("P2.2c_GeneralComment"), "k % 4 IN (1, 2) AND length(comment) > 10"),
+    _p2(f"'P2.3_Event_' || replace({_EVENT}, ' ', '')", _event_question(), sql_fill(K.P2_TEACHER["P2.3_Event_"], **_VALUES),
         f"{_EVENT} IS NOT NULL AND {sql_hash01('42', 'P2.3_Event_', 'hkey')} < 0.25"),
 ]
 
+_LINE = K.TEACHER_CONTEXT
+_SQL_CONTEXT = " || ".join([
+    f"{_lit(_LINE['fen'])} || fen_before || chr(10) || {_lit(_LINE['history'])} || history || chr(10) || {sql_fill(_LINE['move'], u='uci', s='san')}",
+    *[f"coalesce(chr(10) || {_lit(_LINE[n])} || {n}, '')" for n in ("quality", "comment", "event", "best")],
+])
+
 
 @query(f"""
 WITH {SQL_PLIES}, rows AS ({' UNION ALL '.join(_P2)})
-SELECT task_id, task, '[INST] ' || student || ' [SEP] [FEN] ' || fen_before || ' [SEP] [PGN] ' || history || ' [SEP] [MOVE] ' || uci || ' [/INST]' AS student_prompt_input,
-  {_lit(K.TEACHER_SYSTEM + K.TEACHER_EXAMPLES)} || chr(10) || '[USER]' || chr(10) || 'Context:' || chr(10) || 'Board State (FEN) before the move: ' || fen_before
-  || chr(10) || 'Recent Game History (PGN): ' || history || chr(10) || 'Move Played: ' || uci || ' (' || san || ')'
-  || coalesce(chr(10) || 'Source PGN Quality Annotation: ' || quality, '') || coalesce(chr(10) || 'Source PGN Comment: ' || comment, '')
-  || coalesce(chr(10) || 'Move Event: ' || event, '') || coalesce(chr(10) || 'Alternative Best Move suggested in comment: ' || best, '')
-  || chr(10) || chr(10) || 'Task: ' || teacher || chr(10) || chr(10) || 'Explanation:' || chr(10) || '[ASSISTANT]' AS teacher_prompt_full,
+SELECT task_id, task, {sql_fill(K.STUDENT_PROMPT, i='student', f='fen_before', h='history', m='uci')} AS student_prompt_input,
+  {sql_fill(K.TEACHER_PROMPT, sys=_lit(K.TEACHER_SYSTEM + K.TEACHER_EXAMPLES), ctx=_SQL_CONTEXT, task='teacher')} AS teacher_prompt_full,
   event AS event_from_pgn, best AS best_move
 FROM rows
 """)
@@ -182,15 +203,8 @@ _KINDS = list(K.ENGINE_PROMPTS)
 
 
 def _sql_prompt(kind: str) -> str:
-    import string
-
-    parts = []
-    for text, name, _, _ in string.Formatter().parse(K.ENGINE_PROMPTS[kind]):
-        if text:
-            parts.append(_lit(text))
-        if name:
-            parts.append({"fen": "role", "move": "'e2e4'", "explanation": "text"}[name])
-    return f"SELECT conv_id, turn, '{kind}' AS kind, {' || '.join(parts)} AS prompt FROM conversations"
+    filled = sql_fill(K.ENGINE_PROMPTS[kind], fen="role", move="'e2e4'", explanation="text")
+    return f"SELECT conv_id, turn, '{kind}' AS kind, {filled} AS prompt FROM conversations"
 
 
 @query(" UNION ALL ".join(_sql_prompt(k) for k in _KINDS))
