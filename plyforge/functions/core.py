@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# All characters that count as white space between words, also outside ASCII.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 JAVA_META = re.compile(r"([\\\[\](){}.*+?^$|])")
 
 
@@ -31,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Drop white space, line breaks included, at both ends."""
-    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def none_if_empty(c: Column) -> Column:
@@ -40,7 +42,7 @@ def none_if_empty(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space tokens, case kept; a blank text has none."""
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, f"[{SPACES}]+"), lambda w: w != "")
 
 
 def alnum_tokens(c: Column) -> Column:

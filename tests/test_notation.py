@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plyforge import constants as K
+from plyforge.functions import core as C
 from plyforge.functions import notation as N
 from plyforge.operators import games as G
 
@@ -94,3 +95,9 @@ def test_variations_of_any_depth(spark):
     assert got == {0: "1. e4 e5 {a (b)} 2. Nf3", 1: texts[1], 2: texts[2], 3: texts[3]}
     left = {r["id"] for r in df.where(N.unread_movetext(F.col("text")).isNotNull()).collect()}
     assert left == {1, 2}
+
+
+def test_words_are_split_at_any_white_space(spark):
+    text = "un\xa0mot :\u202fdeux\u3000trois\x1cquatre\tcinq "
+    row = spark.createDataFrame([(text,)], "t string").select(C.words(F.col("t")).alias("w"), C.strip(F.lit("\xa0 x \u2003")).alias("s")).first()
+    assert row["w"] == text.split() and row["s"] == "x"
