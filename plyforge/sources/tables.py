@@ -43,7 +43,7 @@ def json_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files without one are left out."""
     lines = spark.read.text(path).withColumn("first", F.substring(F.ltrim(F.regexp_replace("value", "^\ufeff", "")), 1, 1))
     at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    told = lines.where("first != ''").select(_file_path().alias("file"), at.alias("at"), "first")
+    told = lines.where("first != ''").select(file_path().alias("file"), at.alias("at"), "first")
     return told.groupBy("file").agg((F.min_by("first", "at") == "[").alias("is_array"))
 
 
@@ -99,14 +99,14 @@ def puzzle_rows(df: DataFrame, fen_before_last: str | None = None) -> DataFrame:
     )
 
 
-def _file_path() -> Column:
+def file_path() -> Column:
     """The path of a row's file as it is written, not with its signs escaped."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def _folder(name: str) -> Column:
     """The folder that holds ``name``, which may be a file or a folder of parts."""
-    return F.regexp_extract(_file_path(), rf"([^/]+)/{name}(?:/|$)", 1)
+    return F.regexp_extract(file_path(), rf"([^/]+)/{name}(?:/|$)", 1)
 
 
 def read_experiments(spark: SparkSession, base: str, folders: DataFrame | None = None) -> DataFrame:

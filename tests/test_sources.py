@@ -187,3 +187,14 @@ def test_layouts_are_told_for_each_file(spark, tmp_path):
     assert sorted(r["a"] for r in rows if r["a"] is not None) == [0, 1, 2, 3, 4, 5, 6, 7] and len(rows) == 8
     kept = tables.read_json_auto(spark, str(tmp_path), schema, bad="keep").collect()
     assert len(kept) == 10 and sorted(r["_corrupt_record"] for r in kept if r["_corrupt_record"]) == ['[{"a": 8, "b": ', '{"a": oops']
+
+
+def test_line_ends_are_told_for_each_file(spark, tmp_path):
+    """A large file is cut whichever line end it has."""
+    games = "\n".join(f'[Event "{i}"]\n[Site "s"]\n\n1. e4 e5 1-0\n' for i in range(400))
+    (tmp_path / "lf.pgn").write_bytes(games.encode())
+    (tmp_path / "crlf.pgn").write_bytes(games.replace("\n", "\r\n").encode())
+    pieces = A._pieces(spark, str(tmp_path), None).groupBy("file").count().collect()
+    assert [r["count"] for r in pieces] == [400, 400]
+    rows = A.read_games(spark, str(tmp_path)).groupBy("header_text", "movetext").count().collect()
+    assert len(rows) == 400 and {r["count"] for r in rows} == {2}
