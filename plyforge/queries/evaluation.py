@@ -228,7 +228,7 @@ def move_matches(spark, sf_dir):
     answer = F.when(F.col("turn") == 0, "Zero").otherwise((F.length("text") % 2).cast("string"))
     reference = F.when(F.col("turn") == 0, "zero").otherwise((F.col("turn") % 2).cast("string"))
     alias = F.when(F.col("turn") == 0, "zero")
-    return A.move_match_rate(conv, M.move_exact_match(answer, reference, alias), "role")
+    return A.accuracy(conv, M.move_exact_match(answer, reference, alias), "role")
 
 
 @query("""
