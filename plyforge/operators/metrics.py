@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.core import alnum_tokens, ngrams, round_mean, round_ratio, words
 from plyforge.functions.metrics import f_measure, overlap_counts
-from plyforge.operators.ordering import global_index
+from plyforge.operators.ordering import RANGE_ROWS, global_index
 from plyforge.session import stored
 
 
@@ -54,25 +54,34 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, test).drop(*[f"_j_{k}" for k in keys])
 
 
-def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median", width: float = 100.0) -> DataFrame:
-    """Exact median per group. Values are counted first; cells of ``width`` show where the middle
-    lies, and only the values in the one or two middle cells are put in order."""
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-        .withColumn("_cell", F.floor(F.col(value) / width))
-    )
-    upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = counted.groupBy(*by, "_cell").agg(F.sum("_c").alias("_w")).withColumns({
+def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each value of each group with how often it occurs (``_c``), stored: all statistics start from it."""
+    known = df.where(F.col(value).isNotNull())
+    return stored(known.groupBy(*by, value).agg(F.count("*").alias("_c")), "values")
+
+
+def _median(counted: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Exact median per group of counted values.
+
+    The values are dealt to ranges of (group, value), as many as their number asks for, so that a group
+    of any size is many ranges and a range is never long. Sums per range tell in which one or two of them
+    a group's middle lies, and only those are put in order.
+    """
+    least = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-counted.count() // RANGE_ROWS))
+    ranged = stored(counted.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_w")).withColumns({
         "_end": F.sum("_w").over(upto), "_all": F.sum("_w").over(Window.partitionBy(*by)),
     })
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    middle = cells.withColumns({"_start": F.col("_end") - F.col("_w"), "_low": low, "_high": high}).where(
+    middle = parts.withColumns({"_start": F.col("_end") - F.col("_w"), "_low": low, "_high": high}).where(
         ((F.col("_start") < F.col("_low")) & (F.col("_low") <= F.col("_end")))
         | ((F.col("_start") < F.col("_high")) & (F.col("_high") <= F.col("_end")))
     )
-    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    keys = [*by, "_cell"]
-    placed = _join_on(counted, middle.select(*keys, "_start", "_low", "_high"), keys).withColumn(
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [*by, "_range"]
+    placed = _join_on(ranged, middle.select(*keys, "_start", "_low", "_high"), keys).withColumn(
         "_to", F.col("_start") + F.sum("_c").over(inside)
     )
     first = F.col("_to") - F.col("_c")
@@ -83,26 +92,33 @@ def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median
     return placed.groupBy(*by).agg(((at("_low") + at("_high")) / 2).alias(name))
 
 
-def spread_stats(df: DataFrame, by: list[str], value: str, width: float = 100.0) -> DataFrame:
+def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per group."""
+    return _median(_counted(df, by, value), by, value, name)
+
+
+def spread_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, median, population deviation, min and max per group, rounded half-even to 2 places
-    (``mean`` as it is, ``avg`` rounded)."""
-    v = F.col(value)
-    stats = df.where(v.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg(v).alias("mean"),
-        round_mean(F.avg(v), 2).alias("avg"),
-        round_mean(F.stddev_pop(v), 2).alias("stddev"),
-        round_mean(F.min(v), 2).alias("min"),
-        round_mean(F.max(v), 2).alias("max"),
+    (``mean`` as it is, ``avg`` rounded). The input is read once, to count its values."""
+    counted = _counted(df, by, value)
+    v, c = F.col(value), F.col("_c")
+    sums = counted.groupBy(*by).agg(
+        F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"), F.min(v).alias("_least"), F.max(v).alias("_most"))
+    off = F.pow(v.cast("double") - F.col("mean"), F.lit(2.0))
+    around = _join_on(counted, sums, by).groupBy(*by).agg(
+        *[F.max(x).alias(x) for x in ("n", "mean", "_least", "_most")], F.sqrt(F.sum(off * c) / F.sum(c)).alias("_dev"))
+    stats = around.select(
+        *by, "n", "mean", round_mean(F.col("mean"), 2).alias("avg"), round_mean(F.col("_dev"), 2).alias("stddev"),
+        round_mean(F.col("_least"), 2).alias("min"), round_mean(F.col("_most"), 2).alias("max"),
     )
-    median = grouped_median(df, by, value, "median", width)
+    median = _median(counted, by, value, "median")
     rounded = median.withColumn("median", round_mean(F.col("median"), 2))
     # One row per group on either side, put together without a join.
     both = stats.unionByName(rounded, allowMissingColumns=True)
-    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in both.columns if c not in by])
+    return both.groupBy(*by).agg(*[F.max(x).alias(x) for x in both.columns if x not in by])
 
 
-def delta_stats(df: DataFrame, side: Column, candidate: Column, truth: Column, width: float = 100.0) -> DataFrame:
+def delta_stats(df: DataFrame, side: Column, candidate: Column, truth: Column) -> DataFrame:
     """Long (k, measure, n, avg, median, stddev, min, max) from rows with ``baselines`` per K.
 
     ssd is what the candidate gave away seen from the side to move; the two deltas are seen from
@@ -117,7 +133,7 @@ def delta_stats(df: DataFrame, side: Column, candidate: Column, truth: Column, w
         F.struct(F.lit("pred_vs_engine").alias("measure"), (cand - base).alias("v")),
         F.struct(F.lit("engine_vs_ref").alias("measure"), (base - gt).alias("v")),
     )
-    return spread_stats(rows.select("k", F.inline(measures)), ["k", "measure"], "v", width)
+    return spread_stats(rows.select("k", F.inline(measures)), ["k", "measure"], "v")
 
 
 def agreement_stats(df: DataFrame, ks: list[int], move: str = "move", top: str = "top") -> DataFrame:

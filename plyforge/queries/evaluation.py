@@ -432,8 +432,8 @@ def grouped_medians(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("k", k_of())
     sums = {"n": F.lit(1), "s": F.col("value")}
     means = A.with_overall(ev, "event_type", sums, {"n": F.col("n"), "mean": round_mean(F.col("s") / F.col("n"), 4)})
-    each = A.grouped_median(ev, ["event_type"], "k", width=10.0)
-    overall = A.grouped_median(ev.withColumn("event_type", F.lit(None).cast("string")), ["event_type"], "k", width=10.0)
+    each = A.grouped_median(ev, ["event_type"], "k")
+    overall = A.grouped_median(ev.withColumn("event_type", F.lit(None).cast("string")), ["event_type"], "k")
     # An overall group has a NULL key, which no equality join meets.
     both = means.join(each.unionByName(overall).withColumnRenamed("event_type", "t"), F.col("event_type").eqNullSafe(F.col("t")), "left")
     shown = format_metric(F.when(F.coalesce(F.col("event_type") != "view", F.lit(True)), F.col("median").cast("double")), "%.1f")

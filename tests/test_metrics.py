@@ -103,12 +103,14 @@ def test_distinct_across_samples(spark):
     assert (empty["distinct_n"], empty["total_n"], empty["ratio"]) == (0, 0, 0.0)
 
 
-@settings(max_examples=12, deadline=None)
-@given(values=st.lists(st.tuples(st.sampled_from(["g", "h", None]), st.one_of(st.none(), st.integers(-3000, 3000))), min_size=1, max_size=40),
-       width=st.sampled_from([1.0, 100.0, 10_000.0]))
-def test_median(spark, values, width):
-    df = spark.createDataFrame(values, "g string, v int")
-    got = {r["g"]: r["median"] for r in A.grouped_median(df, ["g"], "v", width=width).collect()}
+@pytest.mark.parametrize("rows", [1, 7, 1_000_000])
+def test_median(spark, monkeypatch, rows):
+    """Also where a range holds few values, so that one group is many ranges."""
+    monkeypatch.setattr(A, "RANGE_ROWS", rows)
+    rng = random.Random(rows)
+    values = [(g, rng.choice([None, rng.randint(-3000, 3000), 10**12, 5])) for g in ("g", "g", "g", "h", None) for _ in range(41)] + [("one", 3)]
+    df = spark.createDataFrame(values, "g string, v long")
+    got = {r["g"]: r["median"] for r in A.grouped_median(df, ["g"], "v").collect()}
     groups = collections.defaultdict(list)
     for g, v in values:
         if v is not None:
