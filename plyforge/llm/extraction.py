@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.llm.common import small_batches
+
 SAMPLE = 2000  # labelled pages that the weights are learned from
 FEATURES = 20_000  # most frequent paths and tags that have a weight of their own
 LEAST_SEEN = 5  # words or tags from which a weight is learned rather than assumed
@@ -35,7 +37,7 @@ OUTSIDE_WORDS = frozenset(
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+    r"|<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"'>]*(?:>|\Z)))*)(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_PART = re.compile(r"[A-Za-z]+")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
@@ -226,6 +228,7 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     rows stay repeated; an empty table gives no rows; other columns are ignored. Without ``weights``
     they are learned from the pages themselves.
     """
+    small_batches(pages)
     weights = learn(pages) if weights is None else weights
 
     @F.pandas_udf("string")
