@@ -20,9 +20,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Each round hangs all larger neighbours of a node on its smallest one (large star), then all
     smaller ones (small star), until nothing changes: O(log n) rounds also for chains. A star's
-    minimum is a partial aggregate, and its join is one that adaptive execution can split, so that a
-    node with very many neighbours needs no task of its own. Every round is written to the shared
-    folder. Self-loops and repeated edges are harmless; an empty table gives no rows.
+    minimum is a partial aggregate that is written before it is joined: both sides of the join then come
+    from a shuffle of their own, and adaptive execution can split a node with very many neighbours. Every
+    round is written to the shared folder. Self-loops and repeated edges are harmless; an empty table
+    gives no rows.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = edges.where("a is not null and b is not null and a != b")
@@ -30,10 +31,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large.where("a != b").distinct(), name)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)

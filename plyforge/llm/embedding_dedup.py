@@ -188,7 +188,7 @@ def _links_of_length(distinct: DataFrame, dim: int, rows: int, cosine: float) ->
     # A crowded cell is split, and so are those who visit it; each part of the one meets each of the other.
     held = members.groupBy(F.col("own").alias("cell")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(VISITORS)).cast("int").alias("crowds"))
-    split = held.join(asked, "cell")
+    split = written(held.join(asked, "cell"), "multi-index-parts")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     columns = ["cell", "part", "crowd", "node", "own", "copies", "x", "member"]
