@@ -98,9 +98,9 @@ def _bucketed(docs: DataFrame) -> DataFrame:
         F.col("_place") * finer + part).cast("long")).drop("_place")
 
 
-def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
-    """Rows of (doc_id, text) with the columns ``made`` of their text, and ``next_text`` and ``next_<name>``
-    of the document that follows in descending order of doc_id (the first after the last).
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) with the ``next_text``: that of the document that follows in descending
+    order of doc_id (the first after the last).
 
     Neighbours lie in one bucket of ids, and a copy of the first row of the bucket below (of the
     topmost for the lowest) closes each bucket, so that one exchange by bucket does.
@@ -115,12 +115,8 @@ def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
     closing = placed.join(ends, (F.col("bucket") == F.col("comes_from")) & F.col("doc_id").eqNullSafe(F.col("head")))
     closing = closing.select("doc_id", "text", F.col("goes_to").alias("bucket"), F.lit(True).alias("closing"))
     rows = placed.withColumn("closing", F.lit(False)).unionByName(closing)
-    for name, column in made.items():
-        rows = rows.withColumn(name, column)
     order = Window.partitionBy("bucket").orderBy("closing", F.desc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("next_text", F.lead("text").over(order))
-    for name in made:
-        rows = rows.withColumn(f"next_{name}", F.lead(name).over(order))
     return rows.where(~F.col("closing")).drop("bucket", "closing")
 
 
@@ -134,14 +130,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     those without one come last; an only document is its own next; an empty table gives no rows; other
     columns are ignored.
     """
-    rows = with_next(docs, {"own": sketch(F.col("text"))})
+    # All sketches are made after the exchange: to make one twice costs less than to send it.
+    rows = with_next(docs)
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("gone", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(
         F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("gone")),
         F.substring(F.col("next_text"), F.lit(1), F.col("gone"))))
-    rows = rows.select("doc_id", "n_chars", "own", "next_own", F.sha2("edited", 256).alias("edited_sha256"),
-                       sketch(F.col("edited")).alias("theirs"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"),
+                       sketch(F.col("next_text")).alias("next_own"), sketch(F.col("edited")).alias("theirs"))
     own, edited, following = F.col("own"), F.col("theirs"), F.col("next_own")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"),

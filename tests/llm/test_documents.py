@@ -442,7 +442,7 @@ def test_buckets_of_scattered_ids(spark, monkeypatch):
     monkeypatch.setattr(sketches, "BUCKET_ROWS", 7)
     ids = [int(x) for x in np.random.default_rng(2).choice(10**15, 300, replace=False)] + list(range(100)) + [-5, -10**12]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in sketches.with_next(df, {}).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in sketches.with_next(df).collect()}
     ids.sort(reverse=True)
     assert got == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1])}
 
