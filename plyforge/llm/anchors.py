@@ -17,21 +17,27 @@ import xxhash
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _SEED = 0xC0FFEE
-BYTES = np.random.default_rng(_SEED).integers(0, 2**64, 256, dtype=U)
+BYTES, OTHER_BYTES = np.random.default_rng(_SEED).integers(0, 2**64, (2, 256), dtype=U)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 INDEX_BITS = 24
-BLOCK = 1 << 22  # tokens or bytes hashed at a time
+BLOCK = 1 << 20  # tokens or bytes hashed at a time
 LONG_WORD = 4096
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    """Spread the bits of 64-bit numbers, in place."""
+    t = x >> U(30)
+    x ^= t
+    x *= U(0xBF58476D1CE4E5B9)
+    np.right_shift(x, U(27), out=t)
+    x ^= t
+    x *= U(0x94D049BB133111EB)
+    np.right_shift(x, U(31), out=t)
+    x ^= t
+    return x
 
 
 def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +51,15 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+_counted: list[np.ndarray] = [np.empty(0, U)]
+
+
+def _numbers(n: int) -> np.ndarray:
+    if len(_counted[0]) < n:
+        _counted[0] = np.arange(1 << (n - 1).bit_length(), dtype=U)
+    return _counted[0][:n]
+
+
 class Rolling:
     """Hashes of any stretch of an array of token hashes, from one pass over it."""
 
@@ -52,22 +67,27 @@ class Rolling:
         power, self.back = _upto(len(values) + 1)
         self.sums = np.empty(len(values) + 1, U)
         self.sums[0] = 0
-        np.cumsum(values * power[:len(values)], out=self.sums[1:])
+        np.multiply(values, power[:len(values)], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start])
+        out = self.sums[end] - self.sums[start]
+        out *= self.back[start]
+        return mix(out)
 
     def every(self, k: int) -> np.ndarray:
         """Of each piece of k tokens."""
         n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.back[:n])
+        out = self.sums[k:] - self.sums[:n]
+        out *= self.back[:n]
+        return mix(out)
 
 
 def least(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w neighbours, by doubling."""
+    """Minimum of each w neighbours, by doubling, in place."""
     size = 1
     while size * 2 <= w:
-        x = np.minimum(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:], out=x[:-size])
         size *= 2
     rest = w - size
     return np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
@@ -89,7 +109,9 @@ def _runs(values: np.ndarray, window: int, k: int, sizes: np.ndarray) -> Runs:
     pieces = rolling.every(k)
     mask = U((1 << INDEX_BITS) - 1)
     # The place in the low bits makes the first of equals the least.
-    m = least((pieces & ~mask) | np.arange(len(pieces), dtype=U), window - k + 1)
+    order = pieces & ~mask
+    order |= _numbers(len(pieces))
+    m = least(order, window - k + 1)
     ends = np.cumsum(sizes)
     valid = np.zeros(len(m) + 1, np.int8)
     whole = sizes >= window
@@ -157,5 +179,6 @@ def word_hashes(data: bytes) -> np.ndarray:
     return out
 
 
-def byte_hashes(data: bytes) -> np.ndarray:
-    return BYTES[np.frombuffer(data, np.uint8)]
+def byte_hashes(data: bytes, which: int = 0) -> np.ndarray:
+    """A number for each byte, from one of two tables that have nothing to do with each other."""
+    return (OTHER_BYTES if which else BYTES)[np.frombuffer(data, np.uint8)]

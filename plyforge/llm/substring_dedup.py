@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from plyforge.llm.anchors import Rolling, runs, word_hashes
-from plyforge.llm.common import written
+from plyforge.llm.common import small_batches, written
 
 WINDOW = 35  # words that must repeat
 PIECE = 12  # words of an anchor
+TOGETHER = 500  # documents whose edges are handed on together
 NO_ID = -(2**63)  # stands for a NULL doc_id inside
 
 
@@ -40,22 +41,19 @@ def edges(docs: DataFrame, window: int, piece: int) -> DataFrame:
     a run of ``n`` windows from word ``at`` on that share an anchor; ``node`` tells its whole sequence of
     words, ``anchor`` the piece it is anchored at."""
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts, counts = [], []
-            for text in batch["text"]:
-                r = runs(word_hashes((text or "").encode("utf-8", "surrogatepass")), window, piece)
-                parts.append(r)
-                counts.append(len(r.first))
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in (b.iloc[i:i + TOGETHER] for b in batches for i in range(0, len(b), TOGETHER)):
+            found = [runs(word_hashes((t or "").encode("utf-8", "surrogatepass")), window, piece) for t in part["text"]]
+            counts = [len(r.first) for r in found]
             if not sum(counts):
                 continue
-            joined = [np.concatenate(x) for x in zip(*parts)]
+            joined = [np.concatenate(x) for x in zip(*found)]
             yield pd.DataFrame({
-                "did": np.repeat(batch["did"].to_numpy(), counts), "rid": np.repeat(batch["rid"].to_numpy(), counts),
+                "did": np.repeat(part["did"].to_numpy(), counts), "rid": np.repeat(part["rid"].to_numpy(), counts),
                 "at": joined[0].astype(np.int32), "n": joined[1].astype(np.int32),
                 "anchor": joined[3].view(np.int64), "node": joined[4].view(np.int64)})
 
-    return docs.select("did", "rid", "text").mapInPandas(found, "did long, rid long, at int, n int, anchor long, node long")
+    return docs.select("did", "rid", "text").mapInPandas(listed, "did long, rid long, at int, n int, anchor long, node long")
 
 
 def compacted(rows: DataFrame) -> DataFrame:
@@ -125,7 +123,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, piec
     """
     places = written(edges(docs, window, piece), "graph-places")
     again = places.groupBy("anchor").agg(F.count("*").alias("places"), (F.min("node") != F.max("node")).alias("mixed"))
-    again = again.where("places > 1").select("anchor", "mixed")
+    # Written, so that the join below reads both sides from a shuffle and a crowded anchor can be split.
+    again = written(again.where("places > 1").select("anchor", "mixed"), "graph-anchors")
     rows = written(places.join(again, "anchor"), "graph-repeats")
     mixed = rows.where("mixed").groupBy("anchor", "node").agg(
         F.count("*").alias("places"), F.min(F.struct("did", "rid", "at", "n")).alias("one"))
@@ -140,6 +139,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, piec
         F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b")).select("did", "rid", "a", "b")
     seen = written(_windows(mixed.select("one.*", "anchor"), texts, window), "graph-windows")
     twice = seen.groupBy("anchor", "hash").agg(F.count("*").alias("places")).where("places > 1").select("anchor", "hash")
+    twice = written(twice, "graph-twice")
     short_spans = seen.join(twice, ["anchor", "hash"], "left_semi").select(
         "did", "rid", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
     return long_spans.unionByName(short_spans)
@@ -162,6 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
     words; a text shorter than a window loses nothing; of rows that occur twice all windows repeat; a NULL
     doc_id is kept as it is; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs)
     rows = keyed(docs)
     texts = rows.select("did", "rid", packed("text").alias("z"))
     spans = repeated_spans(rows, texts, window, piece)
