@@ -332,7 +332,13 @@ def greedy_match_prf(
 
     Vectors meet block by block; a block pair gives one best value per vector, never the pairs.
     """
-    pairs = _blocks(cand, sample, id, vec, block, "c").join(_blocks(ref, sample, id, vec, block, "r"), sample)
+    refs = _blocks(ref, sample, id, vec, block, "r")
+    held = refs.groupBy(sample).agg(F.max("r_block").alias("_last"))
+    # Each candidate block is dealt to the numbers of the reference blocks, so that a sample with very many
+    # vectors is as many join keys as it has blocks.
+    dealt = _blocks(cand, sample, id, vec, block, "c").join(held, sample)
+    dealt = dealt.withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
+    pairs = dealt.join(refs, [sample, "r_block"])
 
     def best(batches):
         for batch in batches:
