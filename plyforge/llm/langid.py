@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.llm.common import small_batches
+
 UNKNOWN = "und"
 DIM = 1024  # components of a vector
 SYMBOLS = 64  # word boundary, a to z, and buckets that the other letters share
@@ -39,7 +41,7 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     are bound by multiplication."""
     a, b, c = grams // SYMBOLS**2, grams // SYMBOLS % SYMBOLS, grams % SYMBOLS
     first, second = np.roll(LETTERS, 2, axis=1), np.roll(LETTERS, 1, axis=1)
-    return (first[a] * second[b] * LETTERS[c]).astype(np.float32)
+    return first[a] * second[b] * LETTERS[c]
 
 
 def _symbol_table() -> np.ndarray:
@@ -96,7 +98,7 @@ class _Vectors:
 
     def __init__(self, limit: int = 20_000) -> None:
         self.row = np.full(GRAMS, -1, np.int32)
-        self.vectors = np.empty((0, DIM), np.float32)
+        self.vectors = np.empty((0, DIM), np.int8)
         self.limit = limit
 
     def of(self, grams: np.ndarray) -> np.ndarray:
@@ -104,10 +106,10 @@ class _Vectors:
         if len(new):
             if len(self.vectors) + len(new) > self.limit:
                 self.row[:] = -1
-                self.vectors, new = np.empty((0, DIM), np.float32), grams
+                self.vectors, new = np.empty((0, DIM), np.int8), grams
             self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
             self.vectors = np.concatenate((self.vectors, gram_vectors(new)))
-        return self.vectors[self.row[grams]]
+        return self.vectors[self.row[grams]].astype(np.float32)
 
 
 TOGETHER = 64  # documents whose vectors are one matrix product
@@ -159,6 +161,7 @@ def train(docs: DataFrame) -> Profiles:
             yield pd.DataFrame({"lang": lang, "i": np.arange(DIM), "v": np.rint(v * 2**20).astype(np.int64),
                                 "n": number[lang]})
 
+    small_batches(docs)
     parts = docs.where("lang is not null").select("text", "lang").mapInPandas(sums, "lang string, i int, v long, n long")
     rows = parts.groupBy("lang", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     got = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"), F.max("n").alias("n")).collect()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import written
+from plyforge.llm.common import small_batches, written
 from plyforge.llm.components import components
 
 SEED = 42
@@ -44,6 +44,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) per document: its SimHash as a long."""
 
+    small_batches(docs)
+
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -149,7 +151,8 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     found = near_duplicates(docs, text).where("doc_id = component_id")
     found = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "simhash-kept")
     single, repeated = found.where("rows = 1").select("doc_id"), found.where("rows > 1").select("doc_id")
-    # Repeated ids are few as a rule; only their rows are gathered to take one of each.
-    return (docs.join(single, "doc_id", "left_semi")
+    # The ids kept grow with the documents: they are never sent to all tasks, at any size. Repeated ids are
+    # few as a rule; only their rows are gathered to take one of each.
+    return (docs.join(single.hint("merge"), "doc_id", "left_semi")
             .unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
             .unionByName(docs.where("doc_id is null")).select(*docs.columns))
