@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.llm.common import small_batches
+
 
 LENGTH = 2048
 SHORT = (256, 512, 1024)  # sequences of these lengths need no padding either
@@ -21,20 +24,26 @@ SENTENCE = 4  # cost of a cut between sentences of a document, in tokens of padd
 INSIDE = 48  # cost of a cut inside a sentence
 STEP = 64  # places inside a sentence at which it may be cut
 BLOCK = 1 << 19  # tokens for which cuts are chosen at a time
-WORDS_KEPT = 250_000  # chunks of either generation whose ids a worker remembers
+WORDS_KEPT = 500_000  # chunks of either generation whose ids a worker remembers
 MARKS = ".,!?;:|$%*#&"
 TOKENIZER = "word_bpe_49k.json"
 
 PIECE = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+#: How byte-level tokenizers write the bytes that stand for no printable character.
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+_PROBES = ("a bc, def!  ghi 12 don't", "x\ny Straße, über... (z)", "thing of things and nothing's thing")
+
+
 class Encoder:
     """A tokenizer file with a memory for the ids of chunks between blanks.
 
-    This tokenizer lower-cases, drops white space and never joins what stands on either side of it, so
-    that the ids of a text are those of its chunks in a row. It never joins a letter and the marks
-    after it either, so that a chunk is looked up without its last marks. Texts that hold one of its
-    special strings are encoded whole.
+    A tokenizer that lower-cases, drops white space and never joins what stands on either side of it gives
+    a text the ids of its chunks in a row. If it never joins a letter and the marks after it either, a
+    chunk is looked up without its last marks. Probes tell whether a file is of this kind; with another,
+    and where a text holds one of the special strings, texts are encoded whole. New chunks of lower-case
+    Latin letters are nothing to normalise or split, and go straight to the merges.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,9 +53,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
-        self.split_id, self.split = next(iter((n, t.content) for n, t in special.items()))
+        self.split_id, self.split = next(iter((n, t.content) for n, t in special.items()), (None, None))
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.lean = None
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        if parts["model"]["type"] == "BPE":
+            lean = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "added_tokens": [],
+                                                  "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            words = [w.lower() for p in _PROBES for w in re.findall(r"[^\W\d_]+", p)]
+            if [self._plain(lean, self._signs(w)) for w in words] == [self._plain(self.tokenizer, w) for w in words]:
+                stop = self._plain(lean, "!")
+                if len(stop) == 1:
+                    model = lean.model
+                    if hasattr(model, "_resize_cache"):
+                        model._resize_cache(0)  # what is remembered is remembered here
+                        lean.model = model
+                    self.lean, self.stop = lean, stop[0]
+        whole = [self._plain(self.tokenizer, p) for p in _PROBES]
+        self.chunked = self.split is not None and whole == [
+            np.frombuffer(b"".join(self._pieces(c) for c in self._chunks(p)), "<u4").tolist() for p in _PROBES]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, number in vocabulary.items():
@@ -54,15 +81,49 @@ class Encoder:
             self.ends[number] = bool(bare) and not bare.strip(".!?")
         self.end_mark = np.uint32(END).tobytes()
 
+    @staticmethod
+    def _plain(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _signs(chunk: str) -> str:
+        """A chunk's bytes as the vocabulary writes them."""
+        return chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SIGNS)
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        # Lower-casing the ASCII letters first changes no id, and fewer chunks differ.
+        return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+
+    def _pieces(self, chunk: str) -> bytes:
+        core = self._core(chunk)
+        return b"".join(self._ids(c).tobytes() for c in ((core, chunk[len(core):]) if core else (chunk,)))
+
+    @staticmethod
+    def _core(chunk: str) -> str:
+        """A chunk without its last marks, if it has any and a letter stands before them."""
+        core = chunk.rstrip(MARKS)
+        return core if core and len(core) < len(chunk) and core[-1].isalpha() else ""
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks: they are encoded together, with a special string between them."""
+        """Remember the ids of chunks: they are encoded together, with a mark between them."""
         if len(self.young) + len(chunks) > WORDS_KEPT:
             self.old, self.young = self.young, {"": b""}
-        ids = self._ids(self.split.join(chunks))
-        splits = np.flatnonzero(ids == self.split_id).tolist()
+        plain = [c for c in chunks if c.isalpha() and c.islower() and max(c) < "\u0100"] if self.lean else []
+        if plain:
+            text = " ! ".join(map(self._signs, plain))
+            ids = self.lean.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            self._keep(plain, np.array(ids, "<u4"), self.stop)
+            done = set(plain)
+            chunks = [c for c in chunks if c not in done]
+        if chunks:
+            self._keep(chunks, self._ids(self.split.join(chunks)), self.split_id)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, stop: int) -> None:
+        splits = np.flatnonzero(ids == stop).tolist()
         data = ids.tobytes()
         for chunk, a, b in zip(chunks, [-1, *splits], [*splits, len(ids)]):
             self.young[chunk] = data[4 * a + 4:4 * b]
@@ -74,8 +135,8 @@ class Encoder:
             if c in old:
                 young[c] = old[c]
                 continue
-            core = c.rstrip(MARKS)
-            if core and len(core) < len(c) and core[-1].isalpha():
+            core = self._core(c)
+            if core:
                 marked.append((c, core))
                 new.update(p for p in (core, c[len(core):]) if p not in young)
             else:
@@ -93,10 +154,9 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text, its end mark included."""
         text = text or ""
-        if any(s in text for s in self.special):
+        if not self.chunked or any(s in text for s in self.special):
             return self._ids(text).tobytes() + self.end_mark
-        # Lower-casing the ASCII letters first changes no id, and fewer chunks differ.
-        chunks = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
+        chunks = self._chunks(text)
         missing = set(chunks).difference(self.young)
         if missing:
             self._find(missing)
@@ -141,34 +201,40 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, length: int, last: bool) ->
 
     ``least[j]`` is the least cost with a sequence ending at place j: the minimum over all places i
     within ``length`` before it of ``least[i] + length - (j - i)``, that is, of ``least[i] + i`` but for
-    terms of j alone. The window only moves on, so a queue whose values rise holds its minimum: each
-    place enters and leaves once. A sequence of one of the ``SHORT`` lengths has no padding. Unless
+    terms of j alone. The window only moves on, so a queue whose values rise has its minimum at its head:
+    each place enters and leaves once. A sequence of one of the ``SHORT`` lengths has no padding. Unless
     the run is the ``last``, what follows the best cut of the final window stays for the next run.
     """
     at, cost = places.tolist(), costs.tolist()
-    index = {p: i for i, p in enumerate(at)}
+    # Where a sequence of a short length that ends at a place would begin, if that is a place too.
+    begins: dict[int, list[int]] = {}
+    for short in SHORT:
+        k = np.searchsorted(places, places - short)
+        for j in np.flatnonzero((places >= short) & (places[k] == places - short)).tolist():
+            begins.setdefault(j, []).append(int(k[j]))
     least, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[int] = deque([0])
+    total = at[:]  # of each place, least + place
+    queue, head = [0], 0
     for j in range(1, len(at)):
         here = at[j]
-        while at[queue[0]] < here - length:
-            queue.popleft()
-        i = queue[0]
-        best = least[i] + length - (here - at[i])
-        for short in SHORT:
-            k = index.get(here - short)
-            if k is not None and least[k] < best:
-                best, i = least[k], k
-        least[j], back[j] = best + cost[j], i
-        value = least[j] + here
-        while queue and least[queue[-1]] + at[queue[-1]] >= value:
+        first = here - length
+        while at[queue[head]] < first:
+            head += 1
+        i = queue[head]
+        best = total[i] - first
+        if j in begins:
+            for k in begins[j]:
+                if least[k] < best:
+                    best, i = least[k], k
+        best += cost[j]
+        least[j], back[j] = best, i
+        total[j] = value = best + here
+        while len(queue) > head and total[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
     j = len(at) - 1
     if not last:
-        window = [i for i in range(len(at)) if at[i] >= at[-1] - length] if len(at) < 8192 else [
-            i for i in range(len(at) - length - 1, len(at)) if at[i] >= at[-1] - length]
-        j = min(window, key=lambda i: least[i] + at[i])
+        j = min(range(int(np.searchsorted(places, at[-1] - length)), len(at)), key=total.__getitem__)
     cuts = []
     while j:
         cuts.append(at[j])
@@ -249,6 +315,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> D
         if run.size:
             yield run.pack(True)
 
+    small_batches(docs)
     # The id travels as text: pandas would turn a column of numbers with NULLs into floats.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(packed, PIECE)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
