@@ -126,7 +126,8 @@ def _runs(values: np.ndarray, window: int, k: int, sizes: np.ndarray) -> Runs:
     first, windows = first[valid[first]], windows[valid[first]]
     place = (m[first] & mask).astype(np.int64)
     tokens = rolling.of(first, first + windows + window - 1)
-    return Runs(first, windows, place, pieces[place], mix(tokens + windows.astype(U)))
+    # The least hashes have small values: mixed again, anchors are spread evenly.
+    return Runs(first, windows, place, mix(pieces[place]), mix(tokens + windows.astype(U)))
 
 
 def runs(values: np.ndarray, window: int, k: int, sizes: np.ndarray | None = None) -> Runs:

@@ -167,10 +167,11 @@ def simple_earlier(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed,batch,fanout", [(1, 1 << 22, 8), (2, 200, 2), (3, 60, 3)])
-def test_earlier_bytes(spark, monkeypatch, seed, batch, fanout):
+@pytest.mark.parametrize("seed,batch,crowd", [(1, 1 << 20, 20_000), (2, 200, 0), (3, 60, 3), (4, 60, 20_000)])
+def test_earlier_bytes(spark, monkeypatch, seed, batch, crowd):
+    """Few letters; batches of any size, keys that count as crowded or not."""
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
-    monkeypatch.setattr(suffix_dedup, "FANOUT", fanout)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = np.random.default_rng(seed)
     texts = ["".join(rng.choice(list("abé"), int(rng.integers(0, 90)))) for _ in range(25)]
     texts += ["a" * 70, "ab" * 40, texts[2] + "b" + texts[5], texts[2], texts[2][10:] + texts[2], ""]
@@ -180,6 +181,26 @@ def test_earlier_bytes(spark, monkeypatch, seed, batch, fanout):
     assert got == sorted(simple_earlier(rows, 12), key=str)
 
 
+def test_levels_merge_geometrically():
+    rng = np.random.default_rng(7)
+    family, every = suffix_dedup.Family(), {}
+    for _ in range(100):
+        n = int(rng.integers(0, 30))
+        key, rest = rng.integers(0, 5, n).astype(np.uint32), rng.integers(0, 9, n).astype(np.uint64)
+        doc = rng.integers(0, 1000, n)
+        family.add(suffix_dedup.merged([suffix_dedup.Level(key, rest, doc)]))
+        for k, r, d in zip(key.tolist(), rest.tolist(), doc.tolist()):
+            every[k, r] = min(d, every.get((k, r), 1000))
+    assert all(len(size) < suffix_dedup.FANOUT for size in family.sizes) and len(family.sizes) == 3
+    asked = suffix_dedup.Level(*(np.array(x) for x in zip(*[(np.uint32(k), np.uint64(r), 0) for k, r in every])))
+    asked = asked._replace(key=asked.key.astype(np.uint32), rest=asked.rest.astype(np.uint64))
+    assert family.scan(asked)[0].tolist() == list(every.values())
+    family.settle()
+    least, other = family.scan(asked)
+    assert least.tolist() == list(every.values())
+    assert other.tolist() == [sum(x == k for x, _ in every) - 1 for k, _ in every]
+
+
 def test_earlier_bytes_of_awkward_rows(docs, rows, none):
     got = sorted((tuple(r)[:4] + (bytes(r[4]),) for r in suffix_dedup.remove_earlier(docs).collect()), key=str)
     assert got == sorted(simple_earlier([(r[1], r[2]) for r in rows], 50), key=str)
