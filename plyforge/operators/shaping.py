@@ -122,6 +122,12 @@ def metric_config(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
 
 
+def with_display(metrics: DataFrame, config: DataFrame, on: str = "metric") -> DataFrame:
+    """Metrics with the group, title, direction, format and place that the settings give them; a metric
+    without settings is left out."""
+    return metrics.join(config, on)
+
+
 def mark_best(df: DataFrame, metric: str, value: str, higher: Column) -> DataFrame:
     """Add ``is_best``: the value is nearly equal to its metric's best. Missing values never are."""
     v = F.col(value)

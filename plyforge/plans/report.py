@@ -58,7 +58,7 @@ def report_table(metrics: DataFrame, config: DataFrame, models: list[str], specs
 
     ``metrics`` is long (model, metric, value); ``config`` comes from `metric_config`.
     """
-    wanted = metrics.join(config, "metric")
+    wanted = S.with_display(metrics, config)
     marked = S.mark_best(wanted, "metric", "value", F.col("higher_is_better"))
     shown = S.format_by_spec(F.col("value"), F.col("spec"), specs)
     cells = marked.withColumn("cell", F.concat(shown, F.when(F.col("is_best"), "*").otherwise("")))

@@ -70,7 +70,7 @@ def display_config(spark, sf_dir):
         F.col("p_brand").alias("group"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"),
         F.col("p_type").alias("metric"), (F.col("p_size") >= 25).alias("higher_is_better"))
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("pos"), "l_orderkey", "l_linenumber")
-    return lines.join(config, "pos")
+    return S.with_display(lines, config, "pos")
 
 
 @query("""
