@@ -216,6 +216,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told: those with a letter in their text."""
-    guess = predictor(train(docs.where(~held_out(F.col("doc_id")))))
-    return docs.where(guess("text")["lang_pred"] != UNKNOWN)
+    """The documents whose language can be told: those with a letter in their text. Where nothing was
+    learned, no language is predicted and the letters alone decide."""
+
+    @F.pandas_udf("boolean")
+    def has_letter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([bool(t) and bool(symbols(t).any()) for t in batch], dtype=bool)
+
+    profiles = train(docs.where(~held_out(F.col("doc_id"))))
+    if not profiles.langs:
+        return docs.where(has_letter("text"))
+    return docs.where(predictor(profiles)("text")["lang_pred"] != UNKNOWN)

@@ -243,6 +243,14 @@ def test_language_of_awkward_rows(docs, none):
     assert langid.identify(none).count() == 0 and langid.keep_identified(none).count() == 0
 
 
+def test_no_language_is_known(docs):
+    """Texts with a letter stay where lang is NULL throughout, or in all rows that are learned from."""
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.col("lang")))
+    for rows in (unlabelled, held):
+        assert sorted(r["doc_id"] or 0 for r in langid.keep_identified(rows).collect()) == [0, 1, 2, 2, 6, 7, 9, 10]
+
+
 def test_vectors_are_bound_and_bundled():
     grams, counts = langid.gram_counts("Ab, ab")
     assert dict(zip(grams.tolist(), counts.tolist())) == {1 * 64 + 2: 2, 1 * 4096 + 2 * 64: 2, 2 * 4096 + 1: 1}
