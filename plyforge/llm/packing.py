@@ -11,11 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import small_batches
-
+from plyforge.llm.common import fresh, small_batches
 
 LENGTH = 2048
 SHORT = (256, 512, 1024)  # sequences of these lengths need no padding either
@@ -293,6 +293,25 @@ class _Run:
         return out
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Rows read from files, range-sorted by the number of their file and their place in it.
+
+    Spark numbers the files it writes by partition, so that this is the order of the rows when they were
+    written. A scan does not keep it: it deals out the largest files first. Rows that do not come straight
+    from files stay as they are.
+    """
+    try:
+        places = docs.select("*", "_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return docs
+    file, row = fresh(docs, "_file"), fresh(docs, "_row")
+    rows = places.toDF(*docs.columns, file, row)
+    # part-00012-<id>-c000: both numbers get more digits when the room is not enough.
+    number = [F.regexp_extract(F.col(file), pattern, 1).try_cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    order = [*number, F.col(file), F.col(row)]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """Pieces of the documents (doc_id, start, length, ids_crc32, doc_tokens) and where they lie
     (sequence_id, offset).

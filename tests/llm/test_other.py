@@ -17,6 +17,10 @@ from plyforge.llm.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
+def sentence(word, n):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
 def simple_roots(edges):
     group = {}
 
@@ -243,3 +247,26 @@ def test_stages_of_awkward_rows(spark, docs, none):
         assert (rows.count() > 0) == (start is docs)
 
 
+
+
+def test_sequences_follow_the_training_order(spark):
+    """Also where the mix is several files of unequal size, which a scan takes largest first."""
+    rows = [(i, sentence(f"w{i}x", 8 if i % 3 < 2 else 120), f"s{i % 3}", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        stages = dict(corpus_pipeline.STAGES)
+        mixed = stages["source_mix"](spark, docs, SF).persist()
+        want = [r["doc_id"] for r in mixed.collect()]
+        files = written(mixed, "order")
+        sizes = [r["count"] for r in files.groupBy(F.col("_metadata.file_path"), F.col("_metadata.file_size")).count().collect()]
+        assert len(sizes) > 3 and [r["doc_id"] for r in files.collect()] != want
+        pieces = stages["packing"](spark, files, SF).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    pieces.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+    assert [r["doc_id"] for r in pieces if r["start"] == 0] == want
