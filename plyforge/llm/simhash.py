@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.llm import near_copies
 from plyforge.llm.common import small_batches, written
 from plyforge.llm.components import components
 
@@ -135,8 +136,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, hot:
     table gives no rows; other columns are ignored.
     """
     prints = written(with_fingerprints(docs, text, shingle), "simhash")
+    return _named(prints, components(links(prints.select("fp").distinct(), hot), "simhash-links"))
+
+
+def _named(prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp), with the groups (node, root) of their nodes ``fp``."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(links(nodes, hot), "simhash-links")
     rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-groups")
@@ -147,8 +152,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, hot:
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id, and
-    one row where several rows carry that id. A row without an id cannot be named and stays."""
-    found = near_duplicates(docs, text).where("doc_id = component_id")
+    one row where several rows carry that id. A row without an id cannot be named and stays. Components
+    are those of ``near_copies``: 5-word shingles at Jaccard 0.8 or more, all texts without a word alike."""
+    prints = written(docs.select("doc_id", near_copies.node(F.col(text)).alias("fp")), "near-nodes")
+    found = _named(prints, near_copies.groups(docs, text)).where("doc_id = component_id")
     found = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "simhash-kept")
     single, repeated = found.where("rows = 1").select("doc_id"), found.where("rows > 1").select("doc_id")
     # The ids kept grow with the documents: they are never sent to all tasks, at any size. Repeated ids are

@@ -270,3 +270,55 @@ def test_sequences_follow_the_training_order(spark):
             spark.conf.set(name, value)
     pieces.sort(key=lambda r: (r["sequence_id"], r["offset"]))
     assert [r["doc_id"] for r in pieces if r["start"] == 0] == want
+
+
+# --- near copies -------------------------------------------------------------------------------
+
+
+def simple_shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def simple_kept(texts):
+    sets = {i: simple_shingles(t) for i, t in texts.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = simple_roots(alike)
+    return {i for i in texts if roots.get(i, i) == i}, alike
+
+
+def test_one_of_all_near_copies_stays(spark):
+    """Against brute-force Jaccard: edits on either side of the limit, a large group, shared passages."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    common, texts = words(60), []
+    for base in [words(n) for n in (7, 20, 60, 150, 400)] + [words(150 - 60) + common for _ in range(10)]:
+        for edits in (0, 1, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = "edit"
+            texts.append(" ".join(copy))
+    crowd = words(200)
+    for k in range(60):
+        copy = list(crowd)
+        for at in rng.integers(0, 200, 3):
+            copy[at] = f"other{k}"
+        texts.append(" ".join(copy))
+    texts += ["one two", "One  two", "one three", texts[0].upper()]
+    texts = dict(enumerate(texts))
+    want, alike = simple_kept(texts)
+    prints = {i: simhash.fingerprint(t) & (2**64 - 1) for i, t in texts.items()}
+    far = [(a, b) for a, b in alike if (prints[a] ^ prints[b]).bit_count() > 3]
+    assert len(far) > 100 and 10 < len(want) < len(texts) - 60
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {r["doc_id"] for r in stage(spark, docs, SF).collect()} == want
+
+
+def test_near_copies_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"].split()}
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = {r["doc_id"] for r in stage(spark, docs.where(F.col("doc_id").isin(list(texts))), SF).collect()}
+    assert kept == simple_kept(texts)[0]
