@@ -34,6 +34,8 @@ OUTSIDE_WORDS = frozenset(
     "nav navigation navbar menu sidebar footer header masthead cookie cookies consent notice banner ad ads advert "
     "adverts advertisement sponsor sponsored promo comment comments disqus share sharing social related breadcrumb "
     "breadcrumbs newsletter subscribe signup login search popup modal widget toolbar pagination".split())
+#: What may stand beside one of these words in a name: "left-sidebar" is one, "has-sidebar" or "nav-open" is not.
+PLAIN_WORDS = frozenset("site main top bottom left right primary secondary global box bar block list links buttons".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -44,8 +46,9 @@ RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 
 
 class Token(NamedTuple):
-    """A tag (``name`` set) or a text node, with its path of block elements, whether a label or a sign
-    of something else stands above it, and the block it belongs to."""
+    """A tag (``name`` set) or a text node, with its path of block elements, whether an element that is no
+    article or a label stands above it, the block it belongs to, and whether a class, id or role of
+    something else stands above it."""
 
     name: str
     text: str
@@ -54,6 +57,7 @@ class Token(NamedTuple):
     outside: bool
     labelled: bool
     block: int
+    named: bool
 
 
 Weights = dict[str, tuple[int, int]]
@@ -65,19 +69,42 @@ def _signs(attrs: str) -> list[str]:
     return sorted({w.lower() for m in ATTR.finditer(attrs) for w in NAME_PART.findall(m[1] or m[2] or m[3] or "")})
 
 
+def _outside_name(attrs: str) -> bool:
+    """Whether one whole class, id or role consists of a word of what is not the article and plain ones."""
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(NAME_PART.findall(name))
+            if not OUTSIDE_WORDS.isdisjoint(parts) and parts <= OUTSIDE_WORDS | PLAIN_WORDS:
+                return True
+    return False
+
+
 def tokens(html: str) -> list[Token]:
+    """Tags and text nodes of a page, see ``_tokens``. A name is no sign of something else on an element
+    that holds the page's <main>, or an <article> if none stands elsewhere."""
+    out, mains, articles, free = _tokens(html, frozenset())
+    holders = mains if free or not articles else mains | articles
+    return _tokens(html, frozenset(holders))[0] if holders else out
+
+
+def _tokens(html: str, plain: frozenset[int]) -> tuple[list[Token], set[int], set[int], bool]:
     """Tags and text nodes in page order. Comments, declarations and the insides of scripts, styles
     and the like are left out; an end tag without a start tag is ignored; an element that is never
-    closed ends with the element around it."""
+    closed ends with the element around it. The names of the elements that start at ``plain`` are passed
+    over. With them come the starts of the elements named as something else that hold a <main> or an
+    <article>, and whether any of these stands elsewhere."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, outside, labelled
+    stack: list[tuple[str, str, bool, bool, bool, int]] = []  # tag, path, outside, labelled, named, last start that is named
     block, at, end = 0, 0, len(html)
+    mains: set[int] = set()
+    articles: set[int] = set()
+    free, top = False, ("", False, False, False, -1)
 
     def text(raw: str) -> None:
         n = len(raw.split())
         if raw:
-            path, outside, labelled = stack[-1][1:] if stack else ("", False, False)
-            out.append(Token("", raw, n, path, outside, labelled, block))
+            path, outside, labelled, named, _ = stack[-1][1:] if stack else top
+            out.append(Token("", raw, n, path, outside, labelled, block, named))
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -85,7 +112,7 @@ def tokens(html: str) -> list[Token]:
             text(html[at:])
             break
         text(html[at:m.start()])
-        at = m.end()
+        begin, at = m.span()
         if m["cdata"]:
             text(m["cdata"])
         if not m["name"]:
@@ -93,12 +120,12 @@ def tokens(html: str) -> list[Token]:
         name, attrs = m["name"].lower(), m["attrs"] or ""
         if name not in INLINE:
             block += 1
-        path, outside, labelled = stack[-1][1:] if stack else ("", False, False)
+        path, outside, labelled, named, start = stack[-1][1:] if stack else top
         if m["end"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None and not (name in INLINE and any(s[0] not in INLINE for s in stack[depth + 1:])):
                 del stack[depth:]
-            out.append(Token(name, "", 0, path, outside, labelled, block))
+            out.append(Token(name, "", 0, path, outside, labelled, block, named))
             continue
         if name in RAW:
             closing = RAW_END[name].search(html, at)
@@ -110,21 +137,29 @@ def tokens(html: str) -> list[Token]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
             if depth is not None and stack[depth][0] == name:
                 del stack[depth:]
-                path, outside, labelled = stack[-1][1:] if stack else ("", False, False)
-        out.append(Token(name, "", 0, path, outside, labelled, block))
+                path, outside, labelled, named, start = stack[-1][1:] if stack else top
+        out.append(Token(name, "", 0, path, outside, labelled, block, named))
         if name in VOID or attrs.rstrip().endswith("/") and name not in ("p", "div"):
             continue
         signs = _signs(attrs)
-        inner, mark = path, outside or name in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(signs)
+        inner, mark = path, outside or name in OUTSIDE
         if name == "header" and not labelled:
             mark = True
         if name in LABELS and not outside:
+            if named and not labelled:
+                (mains if name == "main" else articles).update(s[5] for s in stack if s[5] >= 0)
+            else:
+                free = True
+        if name in LABELS and not outside and not named:
             inner, labelled = "", True
         elif name not in INLINE and name not in ("html", "body"):
             inner = f"{path}>{name}" + "".join(f".{s}" for s in signs)
             inner = inner if len(inner) <= 200 else inner[-200:]
-        stack.append((name, inner, mark, labelled))
-    return out
+        own = signs and begin not in plain and name not in LABELS and name not in ("html", "body")
+        if own and not (name == "header" and labelled) and _outside_name(attrs):
+            named, start = True, begin
+        stack.append((name, inner, mark, labelled, named, start))
+    return out, mains, articles, free
 
 
 def page_counts(html: str) -> tuple[Counter, Counter]:
@@ -133,7 +168,7 @@ def page_counts(html: str) -> tuple[Counter, Counter]:
     found = tokens(html)
     if any(t.labelled and t.words for t in found):
         for t in found:
-            where = inside if t.labelled and not t.outside else beyond
+            where = inside if t.labelled and not t.outside and not t.named else beyond
             if t.name and t.name not in LABELS:
                 where[f"<{t.name}"] += 1
             elif t.words:
@@ -185,7 +220,7 @@ def score(token: Token, weights: Weights) -> float:
     if not token.words:
         return 0.0
     odds = _odds(weights, token.path)
-    good = not token.outside if odds is None or token.outside else odds > 0
+    good = not token.outside and (not token.named if odds is None else odds > 0)
     return float(token.words if good else -token.words)
 
 

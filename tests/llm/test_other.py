@@ -80,6 +80,20 @@ def test_a_page_of_another_layout():
         "An item of the text itself\nAnother item of the text")
 
 
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar search-enabled"><nav>Home and away</nav><article>%s</article></body>',
+    '<body id="nav"><div class="no-sidebar nav-open"><main class="page sidebar">%s</main></div></body>',
+    '<body><div class="widget"><article class="post category-social comments-open">%s</article></div></body>',
+    '<body><div class="search"><div id="banner"><main>%s</main></div></div><div class="left-sidebar">On the left side</div></body>',
+    '<body><div class="layout nav-open">%s</div><div class="cookie-notice">Ok</div></body>',
+    '<body><article>%s</article><section class="comments"><article class="comment">Me first, and at length</article></section></body>',
+])
+def test_names_that_only_hold_such_a_word(page):
+    text = '<header class="entry-header"><h1>The title</h1></header><p>Several words of the text itself.</p>'
+    text = text if "<article" in page or "<main" in page else "<h1>The title</h1><p>Several words of the text itself.</p>"
+    assert extraction.main_text(page % text, {}) == "The title\nSeveral words of the text itself."
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>only words here", "x"), (3, "u", "no tags at all", "x"),
             (4, "u", "<article><p>a</p></article>" * 3, "x"), (4, "u", "<article><p>a</p></article>" * 3, "x"),
