@@ -212,7 +212,10 @@ def _odds(weights: Weights, feature: str) -> float | None:
 def score(token: Token, weights: Weights) -> float:
     """A word counts 1 where its path was mostly met inside articles and -1 where outside; a tag never
     counts more than ``-CHEAP``, and less the more it is met outside. What was never met counts as its
-    names say."""
+    names say. Text and tags of something else inside an article cost the least: they are left out
+    afterwards, and must not end the run."""
+    if token.labelled and (token.outside or token.named):
+        return -CHEAP
     if token.name:
         odds = 0.0 if token.name in LABELS else _odds(weights, f"<{token.name}")
         odds = -0.3 if odds is None else odds

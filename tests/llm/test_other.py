@@ -94,6 +94,14 @@ def test_names_that_only_hold_such_a_word(page):
     assert extraction.main_text(page % text, {}) == "The title\nSeveral words of the text itself."
 
 
+@pytest.mark.parametrize("inner", ['<div class="ad">%s</div>', "<aside>%s</aside>", '<p>Seven.</p><div class="share"><p>%s</p></div>'])
+def test_a_long_advert_inside_the_article(inner):
+    advert = inner % ("buy this now " * 40)
+    page = f"<body><article><p>A short lead.</p>{advert}<p>Body of some words.</p>{advert}<p>The end of it at last.</p></article></body>"
+    lines = extraction.main_text(page, {}).split("\n")
+    assert [x for x in lines if x != "Seven."] == ["A short lead.", "Body of some words.", "The end of it at last."]
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>only words here", "x"), (3, "u", "no tags at all", "x"),
             (4, "u", "<article><p>a</p></article>" * 3, "x"), (4, "u", "<article><p>a</p></article>" * 3, "x"),
