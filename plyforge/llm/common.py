@@ -54,3 +54,17 @@ def fresh(df: DataFrame, name: str) -> str:
         number += 1
         out = f"{name}_{number}"
     return out
+
+
+#: CTE ``crc`` with the 256 table entries of CRC-32, made bit by bit, for `crc32_sql`.
+CRC_SQL = """crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS entries
+  FROM range(256) r(n))"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, unsigned, for a query that has ``crc`` in its FROM."""
+    numbers = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+    step = "xor(a >> 8, entries[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda a, b: {step}), 4294967295::BIGINT)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, simhash, sketches, substring_dedup, suffix_dedup
+from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, sharding, simhash, sketches, substring_dedup, suffix_dedup
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that are left of every document without what earlier ones hold."""
     left = suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard_sizes(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_sharding"] = sharding.SHARD_SQL
