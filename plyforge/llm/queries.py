@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm import embedding_dedup, extraction, langid, mixing, packing, secret_scan, sharding, simhash, sketches, substring_dedup, suffix_dedup
+from plyforge.llm import (
+    conversation_repair, embedding_dedup, extraction, langid, mixing, packing, resampling, secret_scan, sharding, simhash, sketches,
+    substring_dedup, suffix_dedup,
+)
 from plyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +97,22 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_sharding"] = sharding.SHARD_SQL
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document drawn towards the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_importance_resampling"] = resampling.RESAMPLE_SQL
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(turns), turns)
+
+
+ORACLES["op13_conversation_repair"] = conversation_repair.REPAIR_SQL
