@@ -9,7 +9,6 @@ from plyforge.llm.common import CRC_SQL, crc32_sql, written
 
 SHARDS = 8
 PART = 33  # the low bits of a row's number count within its range partition
-PARTS_PER_SHUFFLE = 4  # range partitions for each shuffle partition of the session
 
 
 def text_bytes(text: Column) -> Column:
@@ -17,15 +16,19 @@ def text_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def in_order(rows: DataFrame, *order: str) -> DataFrame:
-    """The rows in the order of some columns, NULL first, in range partitions of about equal length, written
-    once (the ranges are drawn from a sample and must not be drawn twice). ``_at`` rises in that order: the
-    number of the partition above bit 33, the place within it below. Rows that agree in all these columns are
-    told apart by where they were read, so that any number of them is many partitions."""
-    parts = PARTS_PER_SHUFFLE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows in the order of some columns, NULL first, in range partitions of about equal length. Rows that
+    agree in all these columns are told apart by where they were read, so that any number of them is many
+    partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = rows.withColumn("_read", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = told.repartitionByRange(parts, *order, "_read").sortWithinPartitions(*order, "_read")
-    return written(dealt.drop("_read").withColumn("_at", F.monotonically_increasing_id()), "shard-order")
+    return told.repartitionByRange(parts, *order, "_read").sortWithinPartitions(*order, "_read").drop("_read")
+
+
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows of `dealt`, written once (the ranges are drawn from a sample and must not be drawn twice).
+    ``_at`` rises in their order: the number of the partition above bit 33, the place within it below."""
+    return written(dealt(rows, *order).withColumn("_at", F.monotonically_increasing_id()), "shard-order")
 
 
 def _part(at: str = "_at") -> Column:
@@ -120,7 +123,7 @@ def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def _measured(docs: DataFrame) -> list[Column]:
-    return [text_bytes(docs["text"]).alias("size"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("group")]
+    return [text_bytes(docs["text"]).alias("size"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))).alias("group")]
 
 
 def shard_sizes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
