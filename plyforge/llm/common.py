@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge.session import remove_stored
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -39,7 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the loss of executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `written` that nothing will read any more."""
+    for df in tables:
+        remove_stored(df.sparkSession, df.written_to)
 
 
 def word_count(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plyforge.llm import anchors, embedding_dedup, extraction, simhash
+from plyforge.llm import anchors, embedding_dedup, extraction, near_copies, simhash
 from plyforge.llm.common import written
 from plyforge.llm.components import components
 from plyforge.llm.queries import QUERIES
@@ -246,9 +246,7 @@ def test_stages_of_the_table(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {r["doc_id"] for r in held["language_id"].collect()}
     assert kept == {i for i, t in texts.items() if any(c.isalpha() for c in t)}
-    prints = {i: simhash.fingerprint(texts[i]) & (2**64 - 1) for i in kept}
-    roots = simple_roots([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
-    assert {r["doc_id"] for r in held["simhash_near_dedup"].collect()} == {i for i in kept if roots.get(i, i) == i}
+    assert {r["doc_id"] for r in held["simhash_near_dedup"].collect()} == simple_kept({i: texts[i] for i in kept})[0]
     clean = held["secret_scans"].collect()
     assert len(clean) == held["simhash_near_dedup"].count()
     assert not any(re.search(r"[0-9a-f]{24}|AKIA[A-Z0-9]{16}", r["text"]) for r in clean)
@@ -338,6 +336,39 @@ def test_one_of_all_near_copies_stays(spark):
     assert {r["doc_id"] for r in stage(spark, docs, SF).collect()} == want
 
 
+def test_pairs_grow_with_the_texts(spark):
+    """Texts that share their opening and nothing else are compared with few others, however many they are."""
+    rng = np.random.default_rng(3)
+    opening = sentence("open", 40)
+    compared = {}
+    for n in (500, 1000, 2000):
+        texts = [(i, opening + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 110))) for i in range(n)]
+        rows = near_copies._texts(spark.createDataFrame(texts, "id long, text string"), "text")
+        segments = near_copies.segment_plan(n)
+        prints = near_copies.fingerprints(rows, segments)
+        size = len(segments[0])
+        met = near_copies._met(near_copies._keyed(prints, size, True), near_copies._keyed(prints, size, False))
+        compared[n] = met.count(), near_copies._near(met, prints).count()
+    # Of n (n - 1) / 2 pairs fewer meet than there are texts, and hardly any text is moved.
+    assert all(met < n and near < n / 10 for n, (met, near) in compared.items())
+
+
+def test_near_pairs_meet_as_planned(spark):
+    """How many of the pairs at 0.8 or more meet in a segment, of texts edited to just above the limit."""
+    rng = np.random.default_rng(8)
+    sets, pairs = [], []
+    for k in range(300):
+        base = rng.integers(0, 2**63, 270, dtype=np.uint64)
+        other = base.copy()
+        other[:30] = rng.integers(0, 2**63, 30, dtype=np.uint64)  # Jaccard 240 / 300
+        sets += [base, other]
+        pairs.append((2 * k, 2 * k + 1))
+    bits = [near_copies.votes(s) for s in sets]
+    for texts in (600, 10**6):
+        met = sum(any((bits[a][s] != bits[b][s]).sum() <= 1 for s in near_copies.segment_plan(texts)) for a, b in pairs)
+        assert met >= 0.99 * len(pairs)
+
+
 def test_near_copies_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"].split()}
