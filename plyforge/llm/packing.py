@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,17 +32,26 @@ PIECE = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 
 #: How byte-level tokenizers write the bytes that stand for no printable character.
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
-_PROBES = ("a bc, def!  ghi 12 don't", "x\ny Straße, über... (z)", "thing of things and nothing's thing")
+#: How a tokenizer file must treat text for chunks between blanks to be independent: white space becomes blanks, no
+#: match of the splitting pattern holds any, and a run of letters is split from what follows it.
+_INDEPENDENT = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+_LAST_LETTER = "\u0530"  # letters below it are letters in every version of Unicode in use
 
 
 class Encoder:
     """A tokenizer file with a memory for the ids of chunks between blanks.
 
-    A tokenizer that lower-cases, drops white space and never joins what stands on either side of it gives
-    a text the ids of its chunks in a row. If it never joins a letter and the marks after it either, a
-    chunk is looked up without its last marks. Probes tell whether a file is of this kind; with another,
-    and where a text holds one of the special strings, texts are encoded whole. New chunks of lower-case
-    Latin letters are nothing to normalise or split, and go straight to the merges.
+    Where a file normalises and splits texts in the way of ``_INDEPENDENT``, a text has the ids of its chunks in
+    a row, and a chunk those of its letters and of the marks after them, if its last letter stays one when it is
+    lower-cased (a capital dotted I leaves a combining dot, which goes with the marks). With any other file, and
+    where a text holds one of the special strings in whatever case, texts are encoded whole. New chunks of
+    lower-case Latin letters are nothing to normalise or split, and go straight to the merges.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,28 +60,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in special.values()]
+        self.special = [t.content.lower() for t in special.values()]
         self.split_id, self.split = next(iter((n, t.content) for n, t in special.items()), (None, None))
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.lean = None
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        if parts["model"]["type"] == "BPE":
+        raw = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in parts["added_tokens"])
+        self.chunked = self.split is not None and raw and all(parts[k] == v for k, v in _INDEPENDENT.items())
+        if self.chunked and parts["model"]["type"] == "BPE":
             lean = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "added_tokens": [],
                                                   "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-            words = [w.lower() for p in _PROBES for w in re.findall(r"[^\W\d_]+", p)]
-            if [self._plain(lean, self._signs(w)) for w in words] == [self._plain(self.tokenizer, w) for w in words]:
-                stop = self._plain(lean, "!")
-                if len(stop) == 1:
-                    model = lean.model
-                    if hasattr(model, "_resize_cache"):
-                        model._resize_cache(0)  # what is remembered is remembered here
-                        lean.model = model
-                    self.lean, self.stop = lean, stop[0]
-        whole = [self._plain(self.tokenizer, p) for p in _PROBES]
-        self.chunked = self.split is not None and whole == [
-            np.frombuffer(b"".join(self._pieces(c) for c in self._chunks(p)), "<u4").tolist() for p in _PROBES]
+            stop = self._plain(lean, "!")
+            if len(stop) == 1:
+                model = lean.model
+                if hasattr(model, "_resize_cache"):
+                    model._resize_cache(0)  # what is remembered is remembered here
+                    lean.model = model
+                self.lean, self.stop = lean, stop[0]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, number in vocabulary.items():
@@ -91,19 +96,18 @@ class Encoder:
         return chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SIGNS)
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        # Lower-casing the ASCII letters first changes no id, and fewer chunks differ.
-        return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ")
-
-    def _pieces(self, chunk: str) -> bytes:
-        core = self._core(chunk)
-        return b"".join(self._ids(c).tobytes() for c in ((core, chunk[len(core):]) if core else (chunk,)))
+    def _lowered(text: str) -> str:
+        """Lower-casing the ASCII letters first changes no id, and fewer chunks differ."""
+        return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
     @staticmethod
     def _core(chunk: str) -> str:
-        """A chunk without its last marks, if it has any and a letter stands before them."""
+        """A chunk without its last marks, if it has any and a letter that stays one stands before them."""
         core = chunk.rstrip(MARKS)
-        return core if core and len(core) < len(chunk) and core[-1].isalpha() else ""
+        if not core or len(core) == len(chunk) or core[-1] >= _LAST_LETTER:
+            return ""
+        last = core[-1].lower()
+        return core if len(last) == 1 and last.isalpha() else ""
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -154,9 +158,10 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text, its end mark included."""
         text = text or ""
-        if not self.chunked or any(s in text for s in self.special):
+        low = self._lowered(text)
+        if not self.chunked or any(s in low for s in self.special):
             return self._ids(text).tobytes() + self.end_mark
-        chunks = self._chunks(text)
+        chunks = low.replace("\n", " ").split(" ")
         missing = set(chunks).difference(self.young)
         if missing:
             self._find(missing)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import random
 import zlib
 from collections import Counter
 
@@ -364,6 +365,30 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [1], text
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_of_random_texts_are_the_tokenizers(seed):
+    """Combining marks, letters that grow when lower-cased, special strings in any case, all kinds of white space."""
+    rng = random.Random(seed)
+    enc = packing.encoder(None)
+    spaces = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    letters = list("abcXYZıİIiſKÅµßẞſǅΣςσÀàА́Ўйжあ漢ﷺאب१٣½²Ⅷªº")
+    marks = list(".,!?;:|$%*#&'\"-_()[]<>/@~^`+=") + ["\u0301", "\u0307", "\u0308", "\u0327", "\u200d", "\ufe0f", "😀", "…", "·"]
+    words = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext", "BELGESİ,", "YÖNETMELİĞİ.", "İ.", "don't", "WE'LL", "i\u0307.", "1a2."]
+    kinds = [spaces, letters, letters, marks, marks, words, ["."], [" "], [" "], list(map(chr, range(0x80, 0x600, 3)))]
+    for _ in range(2500):
+        text = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 24)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [1], ascii(text)
+
+
+def test_other_tokenizers_encode_texts_whole():
+    import public_tokenizers
+
+    enc = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not enc.chunked
+    for text in ("A bc, def!  ghi", "x\n\ny İ."):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_cuts_are_the_best():
     """Against all ways to cut a short run."""
     rng = np.random.default_rng(5)
