@@ -344,3 +344,47 @@ def archive_tasks(spark, sf_dir):
     ids = F.split("task_id", "_")
     wanted = rows.where(F.col("task").isin("identify_outcome", "identify_special_move", "identify_quality"))
     return wanted.select(F.get(ids, F.lit(0)).cast("long").alias("game_id"), F.get(ids, F.lit(1)).cast("long").alias("ply"), "task", "output")
+
+
+@query("""
+SELECT event_id, user_id, event_type, NULL AS bad FROM events
+UNION ALL SELECT NULL, NULL, NULL, '{"event_id": ' || event_id || ', "user_id": oops}' FROM events WHERE event_id % 500 = 7
+""")
+def divided_arrays(spark, sf_dir):
+    """Events written as JSON arrays, one of them on a single line, with elements that cannot be read, and
+    read back by ranges of their files."""
+    path, schema = scratch_path(spark, "arrays"), "event_id BIGINT, user_id BIGINT, event_type STRING"
+    ev = table(spark, sf_dir, "events")
+    part = F.col("event_id") % 4
+    good = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    broken = F.format_string('{"event_id": %d, "user_id": oops}', "event_id")
+    texts = F.when(F.col("event_id") % 500 == 7, F.array(good, broken)).otherwise(F.array(good))
+    rows = ev.select(part.alias("part"), F.lit(1).alias("place"), F.explode(texts).alias("value"))
+    ends = spark.range(4).select(F.col("id").alias("part"), F.explode(F.array(F.lit(0), F.lit(2))).alias("place"))
+    frame = ends.select("part", "place", F.when(F.col("place") == 0, "[").otherwise("null]").alias("value"))
+    comma = F.when(F.col("place") == 1, F.concat("value", F.lit(","))).otherwise(F.col("value"))
+    lines = rows.unionByName(frame).repartition("part").sortWithinPartitions("part", "place").select("part", comma.alias("value"))
+    for end, kept in (("\n", "part > 0"), (" ", "part = 0")):
+        lines.where(kept).write.mode("append").partitionBy("part").option("lineSep", end).text(path)
+    back = tables.read_json_auto(spark, f"{path}/*", schema, bad="keep")
+    bad = F.col(tables.CORRUPT)
+    return back.where("event_id IS NOT NULL OR _corrupt_record IS NOT NULL").select(
+        *[F.when(bad.isNull(), F.col(c)).alias(c) for c in ("event_id", "user_id", "event_type")], bad.alias("bad"))
+
+
+@query("""
+SELECT conv_id, turn, role, 'a note ' || turn || ' [Event "quoted"] end' AS comment FROM conversations
+""")
+def archives_of_mixed_lines(spark, sf_dir):
+    """Games with either line end in one file, whose comments hold what looks like the start of a game."""
+    path = scratch_path(spark, "mixed")
+    note = F.concat(F.lit("{a note "), F.col("turn").cast("string"), F.lit('\n\n[Event "quoted"]\n\nend}'))
+    text = F.concat(F.lit('[Event "E"]\n[Site "'), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit('"]\n[White "'),
+                    "role", F.lit('"]\n\n1. e4 '), note, F.lit(" 1-0\n"))
+    ended = F.when(F.col("conv_id") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    table(spark, sf_dir, "conversations").select(ended.alias("value")).write.text(path)
+    games = A.read_games(spark, path)
+    site = F.split(F.regexp_extract("header_text", r'\[Site "([^"]*)"', 1), r"\.")
+    return games.select(
+        site[0].cast("long").alias("conv_id"), site[1].cast("long").alias("turn"), F.regexp_extract("header_text", r'\[White "([^"]*)"', 1).alias("role"),
+        F.regexp_replace(F.regexp_extract("movetext", r"(?s)\{(.*)\}", 1), r"\s+", " ").alias("comment"))

@@ -144,3 +144,26 @@ def event_instructions(spark, sf_dir):
         "event_id", event_instruction(event, san).alias("instruction"),
         event_instruction(F.col("event_type"), san).alias("other"), side_to_move(fen).alias("side"),
     )
+
+
+@query("""
+SELECT l_orderkey, CAST(row_number() OVER (ORDER BY l_orderkey) - 1 AS BIGINT) AS place FROM lineitem
+""")
+def repeated_key_places(spark, sf_dir):
+    """Places of line items by the order they belong to, a key that repeats; rows of one order are alike here."""
+    rows = O.global_index(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "place")
+    return rows.select("l_orderkey", "place")
+
+
+@query("""
+WITH k AS (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS u FROM events),
+r AS (SELECT u, row_number() OVER (ORDER BY md5('42' || coalesce('|' || u, '')) || coalesce('|' || u, '')) - 1 AS i, count(*) OVER () AS n FROM k)
+SELECT u, CASE WHEN i < CAST(floor(0.8 * n) AS BIGINT) THEN 'train'
+  WHEN i < CAST(floor(0.8 * n) AS BIGINT) + CAST(floor(0.1 * n) AS BIGINT) THEN 'val' ELSE 'test' END AS split, count(*) AS n
+FROM r GROUP BY ALL
+""")
+def split_of_copies(spark, sf_dir):
+    """An exact split of rows that share their key, or have none: each row comes out once."""
+    user = F.when(F.col("event_type") != "error", F.col("user_id"))
+    rows = O.split_exact(table(spark, sf_dir, "events").select(user.alias("u"), "event_id"), "u", seed=42)
+    return rows.groupBy("u", "split").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import notation as N
 from plyforge.functions.core import strip
+from plyforge.sources import ranges
 from plyforge.sources.tables import file_path
 
 
@@ -17,38 +18,21 @@ def split_games(df: DataFrame, text: str = "value") -> DataFrame:
     return df.withColumn(text, F.explode(games)).where(F.startswith(strip(F.col(text)), F.lit("[Event")))
 
 
-def line_ends(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """DataFrame[file, crlf]: whether a file's lines end in a carriage return and a line feed."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.groupBy(file_path().alias("file")).agg(F.bool_or(F.endswith("value", F.lit("\r"))).alias("crlf"))
-
-
-def _pieces(spark: SparkSession, path: str | list[str], newline: str | None) -> DataFrame:
-    """DataFrame[file, value]: files cut at a blank line before ``[Event ``, whichever line end each has,
-    so that one large file is read by many tasks."""
-    if newline is None:
-        found = line_ends(spark, path).collect()  # the driver lists these files anyhow
-        by_end = {end: sorted(r["file"] for r in found if r["crlf"] == (end == "\r\n")) for end in ("\n", "\r\n")}
-        parts = [_pieces(spark, files, end) for end, files in by_end.items() if files] or [_pieces(spark, path, "\n")]
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    raw = spark.read.option("lineSep", f"{newline}{newline}[Event ").text(path)
-    return raw.select(file_path().alias("file"), F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("value"))
+def _pieces(spark: SparkSession, path: str | list[str], newline: str | None = None) -> DataFrame:
+    """DataFrame[file, value]: one row per game, one large file read by many tasks (see `ranges`). Line ends may
+    differ within a file; ``newline`` is not needed any more."""
+    return ranges.archive_texts(spark, path, file_path())
 
 
 def read_games(spark: SparkSession, path: str | list[str], newline: str | None = None) -> DataFrame:
     """DataFrame[file, game_id, header_text, movetext] with one row per game.
 
-    Files are cut at a blank line before ``[Event``, so one large file is read by many tasks; blank
-    lines that hold spaces are caught by a second split inside each piece. The line end is told for each
-    file unless ``newline`` names one for all. ``game_id`` is unique within one read.
+    A game starts where ``[Event`` follows a blank line outside comments; text before a file's first one is
+    dropped. ``game_id`` is unique within one read. ``newline`` is not needed any more.
     """
-    raw = _pieces(spark, path, newline)
-    value = F.col("value")
-    # The separator swallows the opening of every piece but a file's first.
-    piece = F.when(value.rlike(r'^[^\S\n]*"'), F.concat(F.lit("[Event "), value)).otherwise(value)
-    pieces = raw.select("file", piece.alias("value"))
     halves = F.split(strip(F.col("value")), "\n\n", 2)
-    return split_games(pieces).select(
+    games = _pieces(spark, path).where(F.startswith(strip(F.col("value")), F.lit("[Event")))
+    return games.select(
         "file",
         F.monotonically_increasing_id().alias("game_id"),
         F.get(halves, F.lit(0)).alias("header_text"),
@@ -70,4 +54,4 @@ def extract_comments(df: DataFrame, text: str = "value") -> DataFrame:
 
 def read_comments(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Comments of archive files, read game by game so that a large file is shared by many tasks."""
-    return extract_comments(_pieces(spark, path, None).select("value"), "value")
+    return extract_comments(_pieces(spark, path).select("value"), "value")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plyforge.sources import ranges
+
 MOVE = "STRUCT<san STRING, uci STRING, outcome STRING, special_move STRING, quality STRING, eval_cp DOUBLE, clock STRING, comment STRING>"
 GAME_SCHEMA = (
     "game_metadata STRUCT<fen STRING, result STRING, white_elo INT, black_elo INT, eco STRING, variant STRING, "
@@ -27,50 +31,36 @@ def _with_corrupt(schema: str | T.StructType) -> T.StructType:
     return T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
-    """JSON lines from one path, many paths or a glob. ``bad='keep'`` leaves malformed lines in
-    ``_corrupt_record``; ``bad='drop'`` skips them."""
-    full = _with_corrupt(schema)
-    # from_json over text keeps the corrupt column usable on its own, unlike the JSON source.
-    lines = spark.read.text(path).where(F.trim("value") != "")
+def _parsed(lines: DataFrame, schema: str | T.StructType, bad: str) -> DataFrame:
+    """Rows of JSON texts (value), one each. Malformed ones stay in ``_corrupt_record`` or are dropped."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    rows = lines.select(F.from_json("value", full, options).alias("r")).select("r.*")
+    # from_json over text keeps the corrupt column usable on its own, unlike the JSON source.
+    rows = lines.select(F.from_json("value", _with_corrupt(schema), options).alias("r")).select("r.*")
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if bad == "drop" else rows
 
 
-def json_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """DataFrame[file, is_array]: whether the first character of a file that is not blank opens an array.
-    Files without one are left out."""
-    lines = spark.read.text(path).withColumn("first", F.substring(F.ltrim(F.regexp_replace("value", "^\ufeff", "")), 1, 1))
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    told = lines.where("first != ''").select(file_path().alias("file"), at.alias("at"), "first")
-    return told.groupBy("file").agg((F.min_by("first", "at") == "[").alias("is_array"))
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
+    """JSON lines from one path, many paths or a glob. ``bad='keep'`` leaves malformed lines in
+    ``_corrupt_record``; ``bad='drop'`` skips them."""
+    return _parsed(spark.read.text(path).where(F.trim("value") != ""), schema, bad)
 
 
 def read_json_auto(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
-    """JSON arrays and JSON lines, told apart for each file by its first character that is not blank.
+    """JSON arrays and JSON lines, told apart for each file by its first character that is not blank, for
+    which only the file's first bytes are read.
 
-    Lines of one large file are read by many tasks; an array, in whatever layout, is read by one, as its
-    elements can only be told apart from its beginning. ``bad`` is as in `read_jsonl`; a file that is no
-    JSON array after all is one malformed record.
+    One large file is read by many tasks in either layout (`ranges.array_elements`). ``bad`` is as in
+    `read_jsonl`, for lines and for the elements of arrays: a malformed one costs no other.
     """
-    found = json_layouts(spark, path).collect()  # the driver lists these files anyhow
-    arrays = sorted(r["file"] for r in found if r["is_array"])
-    lines = sorted(r["file"] for r in found if not r["is_array"])
-    elements = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    parts = []
+    signs = ranges.first_signs(spark, spark.read.text(path).inputFiles())
+    arrays = sorted(unquote(file) for file, sign in signs.items() if sign == "[")
+    lines = sorted(unquote(file) for file, sign in signs.items() if sign not in ("", "["))
+    texts = []
     if lines or not arrays:
-        parts.append(read_jsonl(spark, lines or path, schema, "keep"))
+        texts.append(spark.read.text(lines or path).where(F.trim("value") != "").select("value"))
     if arrays:
-        whole = spark.read.text(arrays, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
-        parsed = whole.select("value", F.from_json("value", T.ArrayType(elements)).alias("r"))
-        none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in elements.fields])
-        entries = F.transform("r", lambda e: F.struct(e.alias("e"), F.lit(None).cast("string").alias(CORRUPT)))
-        broken = F.array(F.struct(none.alias("e"), F.col("value").alias(CORRUPT)))
-        found = parsed.select(F.inline(F.coalesce(entries, broken)))
-        parts.append(found.select("e.*", CORRUPT))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if bad == "drop" else rows
+        texts.append(ranges.array_elements(spark, arrays))
+    return _parsed(texts[0] if len(texts) == 1 else texts[0].unionByName(texts[1]), schema, bad)
 
 
 def read_puzzles(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -114,3 +114,36 @@ def test_shuffle_is_a_permutation(spark):
     df = spark.range(50)
     a, b = ([r[0] for r in O.shuffle(x, "id", 3).collect()] for x in (df, df.repartition(4)))
     assert a == b and sorted(a) == list(range(50)) and a != list(range(50))
+
+
+KEYED = [(1, "a"), (1, "a"), (1, "b"), (None, "x"), (None, "y"), (None, "x"), (2, "c"), (3, None), (2, "c"), (1, "a")]
+
+
+def test_repeated_and_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame(KEYED, "k int, v string").repartition(3)
+    rows = O.global_index(df, "k", total="n").collect()
+    assert sorted(r["idx"] for r in rows) == list(range(10)) and {r["n"] for r in rows} == {10}
+    assert sorted((str(r["k"]), str(r["v"])) for r in rows) == sorted((str(k), str(v)) for k, v in KEYED)
+    keys = [r["k"] for r in sorted(rows, key=lambda r: r["idx"])]
+    assert keys == [None] * 3 + [1] * 4 + [2] * 2 + [3]
+    # The order does not depend on how the rows are dealt.
+    again = {(r["idx"], r["k"], r["v"]) for r in O.global_index(df.repartition(7), "k", ranges=5).collect()}
+    assert again == {(r["idx"], r["k"], r["v"]) for r in rows}
+    assert [r["k"] for r in O.slice_rows(df, "k", 0, 3).collect()] == [None] * 3
+    assert [r["k"] for r in O.slice_rows(df, "k", 2, 4).collect()] == [None, 1, 1, 1]
+    assert O.sample_n(df, "k", 4, 7).count() == 4 and O.sample_n(df, "k", 40, 7).count() == 10
+
+
+def test_split_writes_each_row_once(spark):
+    df = spark.createDataFrame(KEYED, "k int, v string").withColumn("m", F.create_map(F.lit("a"), "v")).repartition(3)
+    rows = O.split_exact(df, "k").collect()
+    assert collections.Counter(r["split"] for r in rows) == {"train": 8, "val": 1, "test": 1}
+    assert sorted((str(r["k"]), str(r["v"])) for r in rows) == sorted((str(k), str(v)) for k, v in KEYED)
+    one_key = O.split_exact(spark.range(50).select(F.lit(7).alias("k"), "id"), "k").collect()
+    assert sorted(r["id"] for r in one_key) == list(range(50)) and sum(r["split"] == "train" for r in one_key) == 40
+
+
+def test_game_number_of_a_null_key(spark):
+    df = spark.createDataFrame(KEYED, "k int, v string")
+    got = sorted((r["game_no"], r["k"]) for r in O.game_number(df, "k").collect())
+    assert got == [(1, None)] * 3 + [(2, 1)] * 4 + [(3, 2)] * 2 + [(4, 3)]
