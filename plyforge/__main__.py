@@ -97,11 +97,12 @@ def encode(spark, a) -> None:
     def compute() -> DataFrame:
         text = F.concat_ws(" ", "input", "output")
         store = f"{a.output}/vocab_{a.vocab_size}"
-        vocab = sinks.materialize(spark, lambda: S.build_vocab(rows, alnum_tokens(text), a.vocab_size), store, a.overwrite)
+        vocab = sinks.materialize(spark, lambda: S.build_vocab(rows, alnum_tokens(text), a.vocab_size), store, a.overwrite, [rows], size=a.vocab_size)
         prompt, answer = alnum_tokens(F.col("input")), alnum_tokens(F.coalesce("output", F.lit("")))
         return S.encode(keyed, "id", prompt, answer, vocab, a.max_len)
 
-    sinks.materialize(spark, compute, sinks.dataset_path(a.output, a.model, a.max_len, a.split), a.overwrite)
+    path = sinks.dataset_path(a.output, a.model, a.max_len, a.split)
+    sinks.materialize(spark, compute, path, a.overwrite, [rows], max_len=a.max_len, vocab_size=a.vocab_size)
 
 
 def score(spark, a) -> None:

@@ -72,5 +72,22 @@ def materialized_counts(spark, sf_dir):
     def compute():
         return documents(spark, sf_dir).select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
 
-    sinks.materialize(spark, compute, path)
-    return sinks.materialize(spark, compute, path)
+    sinks.materialize(spark, compute, path, inputs=[table(spark, sf_dir, "documents")])
+    return sinks.materialize(spark, compute, path, inputs=[table(spark, sf_dir, "documents")])
+
+
+@query("""SELECT user_id, count(*) AS n, sum(value) AS total FROM events WHERE event_type <> 'error' GROUP BY user_id""")
+def rematerialized_totals(spark, sf_dir):
+    """Totals that are saved, then computed again as a file has come to their input, and read once more."""
+    base = scratch_path(spark, "inputs")
+    events = table(spark, sf_dir, "events").where("event_type <> 'error'").select("user_id", "value")
+
+    def totals():
+        rows = spark.read.parquet(f"{base}/in")
+        made = lambda: rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        return sinks.materialize(spark, made, f"{base}/out", inputs=[rows])
+
+    for kept in ("user_id % 2 = 0", "user_id % 2 = 1"):
+        events.where(kept).write.mode("append").parquet(f"{base}/in")
+        totals()
+    return totals()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plyforge.functions.core import round_mean
 from plyforge.queries.registry import query, table
 from plyforge.session import scratch_path
-from plyforge.sources import sinks, tables
+from plyforge.sources import parts, sinks, tables
 from plyforge.streaming.merge import read_answer_stream, stream_counts
 
 TURNS = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
@@ -108,3 +108,32 @@ def running_counts(spark, sf_dir):
     stream = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state")
     stream.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out-{last['batch']}")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def resumed_ranges(spark, sf_dir):
+    """Turns appended by ranges of their order: one range breaks off after its files are written and is started
+    again, and all are started a second time."""
+    conv, path = table(spark, sf_dir, "conversations"), scratch_path(spark, "ranges")
+    keyed = conv.withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
+    half = conv.count() // 2
+    parts.stage(keyed.where("turn = 0").drop("at"), path, 100)  # what a write leaves that is never committed
+    for _ in range(2):
+        for start, n in ((0, half), (half, None)):
+            parts.append_range(keyed, "at", path, start, n, 100)
+    return parts.read_batches(spark, path, TURNS).drop("_batch")
+
+
+@query("""
+WITH u AS (SELECT sha256(text) AS prompt_hash, min(CASE WHEN conv_id % 3 = 0 THEN 'first ' END || role) AS a,
+                  min('later ' || role) AS b FROM conversations GROUP BY 1)
+SELECT prompt_hash, coalesce(a, b) AS response FROM u
+""")
+def extended_cache(spark, sf_dir):
+    """A cache of answers extended twice, the second time with answers to all prompts; earlier ones stay."""
+    conv, path = table(spark, sf_dir, "conversations"), scratch_path(spark, "cache")
+    answers = lambda rows, word: rows.select(F.col("text").alias("input"), F.concat(F.lit(word), "role").alias("response"))
+    parts.extend_cache(answers(conv.where("conv_id % 3 = 0"), "first "), path, "one")
+    for _ in range(2):
+        parts.extend_cache(answers(conv, "later "), path, "two")
+    return parts.read_cache(spark, path)

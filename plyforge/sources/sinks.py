@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge.session import remove_stored
+
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines, one part file per partition."""
@@ -44,10 +48,36 @@ def dataset_path(base: str, model: str, max_len: int, split: str, top_n: int | N
     return f"{base}/{name}_seq{max_len}_{split}" + (f"_top{top_n}" if top_n is not None else "")
 
 
-def materialize(spark: SparkSession, compute: Callable[[], DataFrame], path: str, overwrite: bool = False) -> DataFrame:
-    """Read the dataset at ``path`` if a finished write is there, else compute, save and read it."""
-    if overwrite or not _exists(spark, f"{path}/_SUCCESS"):
+def content_key(*inputs: DataFrame, **params: object) -> str:
+    """What a computed dataset depends on: its parameters, and for each input the logical plan and the path,
+    length and time of every file that it reads."""
+    told: list = [{k: str(v) for k, v in sorted(params.items())}]
+    for df in inputs:
+        spark, files = df.sparkSession, []
+        for uri in sorted(df.inputFiles()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            files.append([uri, status.getLen(), status.getModificationTime()])
+        # Numbers given to columns differ between two runs of the same code.
+        plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
+        told.append([plan, files])
+    return hashlib.sha256(json.dumps(told).encode()).hexdigest()
+
+
+def materialize(spark: SparkSession, compute: Callable[[], DataFrame], path: str, overwrite: bool = False,
+                inputs: Sequence[DataFrame] = (), **params: object) -> DataFrame:
+    """Read the dataset at ``path`` if a finished write is there that was made from the same ``inputs`` and
+    parameters, else compute, save and read it.
+
+    What it was made from is kept beside it as a key, removed before a write and written after it, so that a
+    write that ends half way is made again. Without inputs and parameters only the path tells what it is.
+    """
+    key, beside = content_key(*inputs, **params), f"{path.rstrip('/')}.key"
+    there = _exists(spark, f"{path}/_SUCCESS") and _exists(spark, f"{beside}/_SUCCESS")
+    if overwrite or not there or spark.read.text(beside).first()[0] != key:
+        remove_stored(spark, beside)
         compute().write.mode("overwrite").parquet(path)
+        spark.range(1).select(F.lit(key).alias("value")).write.text(beside)
     return spark.read.parquet(path)
 
 

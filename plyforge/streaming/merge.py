@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from plyforge.functions.prompts import task_subtype
 from plyforge.functions.responses import clean_explanation
 from plyforge.operators.matching import drop_failed
 from plyforge.sources.sinks import _exists
 
-BUCKETS = 64  # parts of the sink
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MERGED_SCHEMA = "task_id STRING, input STRING, teacher_raw_output STRING, output STRING"
 ANSWER_SCHEMA = "task_id STRING, input STRING, teacher_raw_output STRING, teacher_task_instruction STRING"
 
 
@@ -41,38 +46,59 @@ def read_answer_stream(spark: SparkSession, in_dir: str, files_per_batch: int |
     return reader.json(in_dir)
 
 
-def _bucket(task_id: str = "task_id") -> Column:
-    """Part of the sink that an id belongs to."""
-    return F.pmod(F.xxhash64(task_id), F.lit(BUCKETS)).cast("int")
+class FirstAnswer(StatefulProcessor):
+    """Hands on the first answer of a task id and remembers that it is there."""
+
+    def init(self, handle) -> None:
+        self.there = handle.getValueState("there", "yes BOOLEAN")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.there.exists():
+            return
+        first = min(rows, key=lambda r: (r["file"], r["teacher_raw_output"], r["input"] is not None, r["input"] or "", r["output"]))
+        self.there.update((True,))
+        yield Row(task_id=key[0], input=first["input"], teacher_raw_output=first["teacher_raw_output"], output=first["output"])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.there.update((True,))
+
+    def close(self) -> None:
+        pass
 
 
 def merge_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int | None = None
 ) -> StreamingQuery:
-    """Merge all files that are there now and stop. Each task id is written once, over all runs.
+    """Merge all files that are there now and stop. Each task id is written once, over all runs: which ids are
+    done is state, kept by key in the checkpoint, and the sink is not read. Only where the checkpoint is new and
+    the sink is not, its ids are read once to begin with.
 
-    The sink itself tells which ids are done, so a batch that is repeated after a failure adds
-    nothing twice. It is partitioned by a hash of the id, and a batch reads only the ids in the parts that
-    its own answers fall into.
+    Every batch writes a folder of its own, named after the query's id (a new checkpoint has a new one) and the
+    batch, and writes it anew if it is run again, so that a batch that failed half way leaves nothing twice.
     """
-
-    def append(batch: DataFrame, _: int) -> None:
-        once = first_answers(clean_answers(batch, "file")).withColumn("bucket", _bucket())
-        if _exists(spark, out_dir):
-            # The schema is given, as a first write that failed leaves a folder without files.
-            done = spark.read.schema("task_id STRING, bucket INT").parquet(out_dir)
-            hit = [r[0] for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
-            done = done.where(F.col("bucket").isin(hit))
-            once = once.join(done, ["bucket", "task_id"], "left_anti")
-        once.write.mode("append").partitionBy("bucket").parquet(out_dir)
-
-    stream = read_answer_stream(spark, in_dir, files_per_batch).withColumn("file", F.col("_metadata.file_path"))
-    return (
-        stream.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    answers = read_answer_stream(spark, in_dir, files_per_batch).withColumn("file", F.col("_metadata.file_path"))
+    known = None
+    if not _exists(spark, f"{checkpoint}/metadata") and _exists(spark, out_dir):
+        # The schema is given, as a first write that failed leaves a folder without files.
+        known = spark.read.schema("task_id STRING").parquet(out_dir).select("task_id").groupBy("task_id")
+    once = clean_answers(answers, "file").groupBy("task_id").transformWithState(
+        FirstAnswer(), MERGED_SCHEMA, "Append", "None", initialState=known)
+
+    def write(batch: DataFrame, number: int) -> None:
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        batch.write.mode("overwrite").parquet(f"{out_dir}/run={run}/batch={number}")
+
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # the store that keeps state by key; read when the query starts
+    try:
+        return (
+            once.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def merge_stream_bounded(

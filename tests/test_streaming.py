@@ -90,3 +90,58 @@ def test_the_first_repeat_survives(spark, tmp_path):
     write(src / "a.json", [row(1, "second"), row(1, "first")])
     L.merge_stream(spark, str(src), out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).first()["output"] == "first."
+
+
+def test_a_new_checkpoint_in_an_old_place_loses_nothing(spark, tmp_path):
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    src.mkdir()
+    write(src / "a.json", [row(1), row(2)])
+    L.merge_stream(spark, str(src), out, str(state)).awaitTermination()
+    state.rename(tmp_path / "lost")
+    write(src / "b.json", [row(2, "late"), row(3)])
+    L.merge_stream(spark, str(src), out, str(state)).awaitTermination()
+    got = {r["task_id"]: r["output"] for r in spark.read.parquet(out).collect()}
+    assert got == {row(1)["task_id"]: "fine.", row(2)["task_id"]: "fine.", row(3)["task_id"]: "fine."}
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_a_batch_that_failed_is_written_once(spark, tmp_path, monkeypatch):
+    """The write of the second batch breaks off after its files are there."""
+    from pyspark.errors import StreamingQueryException
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    for n in range(3):
+        write(src / f"{n}.json", [row(10 * n + i) for i in range(4)] + [row(0, "again")])
+    real, calls = DataFrameWriter.parquet, []
+
+    def broken(self, path, *a, **k):
+        real(self, path, *a, **k)
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    query = L.merge_stream(spark, str(src), out, state, files_per_batch=1)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        pass
+    assert len(calls) == 2
+    L.merge_stream(spark, str(src), out, state, files_per_batch=1).awaitTermination()
+    got = sorted(r["task_id"] for r in spark.read.parquet(out).collect())
+    assert got == sorted(row(10 * n + i)["task_id"] for n in range(3) for i in range(4))
+
+
+def test_files_read_do_not_grow_with_the_sink(spark, tmp_path, monkeypatch):
+    """Once the checkpoint is there, no run lists or reads the sink."""
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    write(src / "a.json", [row(1)])
+    L.merge_stream(spark, str(src), out, state).awaitTermination()
+    looked = []
+    monkeypatch.setattr(L, "_exists", lambda s, path: looked.append(path) or path.startswith(state))
+    write(src / "b.json", [row(1), row(2)])
+    L.merge_stream(spark, str(src), out, state).awaitTermination()
+    assert all(path.startswith(state) for path in looked) and spark.read.parquet(out).count() == 2
