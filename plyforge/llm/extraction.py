@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -23,16 +24,20 @@ CHEAP, DEAR = 0.01, 3.0  # least and most that a tag costs
 #: Fixed lists of HTML: elements that hold no text, whose text is no text, that stand in a line of
 #: text, that another of their kind ends, and names and classes of what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video head title".split())
+RAW = frozenset("script style noscript template iframe svg object canvas audio video head title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split())
+    "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot munder "
+    "mover semantics".split())
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
 LABELS = frozenset(("article", "main"))
 OUTSIDE = frozenset("nav footer aside form button select textarea menu dialog fieldset".split())
+#: Of these the ones that may be wrapped around the page's article, and around most of a page's words.
+WRAPPERS = frozenset("aside form dialog fieldset".split())
+WIDE_WRAPPERS = frozenset("form fieldset".split())
 OUTSIDE_WORDS = frozenset(
     "nav navigation navbar menu sidebar footer header masthead cookie cookies consent notice banner ad ads advert "
-    "adverts advertisement sponsor sponsored promo comment comments disqus share sharing social related breadcrumb "
+    "adverts advertisement sponsor sponsored promo comment comments discussion reply replies responses disqus share sharing social related breadcrumb "
     "breadcrumbs newsletter subscribe signup login search popup modal widget toolbar pagination".split())
 #: What may stand beside one of these words in a name: "left-sidebar" is one, "has-sidebar" or "nav-open" is not.
 PLAIN_WORDS = frozenset("site main top bottom left right primary secondary global box bar block list links buttons".split())
@@ -42,7 +47,10 @@ TOKEN = re.compile(
     r"|<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"'>]*(?:>|\Z)))*)(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_PART = re.compile(r"[A-Za-z]+")
-RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW | {"math"}}
+MATH_NOTE = re.compile(r"<(annotation(?:-xml)?)\b.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
+MARKUP = re.compile(r"<[^>]*(?:>|\Z)")
+LONG_PATH = 200  # letters above which a path stands as a hash
 
 
 class Token(NamedTuple):
@@ -80,31 +88,58 @@ def _outside_name(attrs: str) -> bool:
 
 
 def tokens(html: str) -> list[Token]:
-    """Tags and text nodes of a page, see ``_tokens``. A name is no sign of something else on an element
-    that holds the page's <main>, or an <article> if none stands elsewhere."""
-    out, mains, articles, free = _tokens(html, frozenset())
-    holders = mains if free or not articles else mains | articles
+    """Tags and text nodes of a page, see ``_tokens``. An element that holds the page's <main>, or an <article>
+    if none stands elsewhere, is no sign of something else, whatever its name, nor if it is a form, a dialog or
+    the like; nor is a form around most of the words of a page that marks no article elsewhere."""
+    out, found = _tokens(html, frozenset())
+    holders = found.mains if found.free or not found.articles else found.mains | found.articles
+    if not found.free:
+        holders |= {start for start, n in found.wide.items() if 2 * n > found.words}
     return _tokens(html, frozenset(holders))[0] if holders else out
 
 
-def _tokens(html: str, plain: frozenset[int]) -> tuple[list[Token], set[int], set[int], bool]:
+class Found:
+    """Starts of elements that would be something else but hold a <main> or an <article>, whether any of these
+    stands elsewhere, the words under each form, and all words."""
+
+    def __init__(self) -> None:
+        self.mains: set[int] = set()
+        self.articles: set[int] = set()
+        self.free, self.words = False, 0
+        self.wide: Counter[int] = Counter()
+
+
+class Place(NamedTuple):
+    """An open element: its tag, the path, whether something else stands above (1: only what may be wrapped
+    around an article, 2: other elements), a label, a name of something else, and the starts of the elements
+    and names among these."""
+
+    tag: str = ""
+    path: str = ""
+    outside: int = 0
+    labelled: bool = False
+    named: bool = False
+    starts: tuple[int, ...] = ()
+    wide: tuple[int, ...] = ()
+
+
+def _tokens(html: str, plain: frozenset[int]) -> tuple[list[Token], Found]:
     """Tags and text nodes in page order. Comments, declarations and the insides of scripts, styles
     and the like are left out; an end tag without a start tag is ignored; an element that is never
-    closed ends with the element around it. The names of the elements that start at ``plain`` are passed
-    over. With them come the starts of the elements named as something else that hold a <main> or an
-    <article>, and whether any of these stands elsewhere."""
+    closed ends with the element around it; formulas are text of the line they stand in. The elements that start
+    at ``plain`` are passed over as signs of something else."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool, bool, int]] = []  # tag, path, outside, labelled, named, last start that is named
-    block, at, end = 0, 0, len(html)
-    mains: set[int] = set()
-    articles: set[int] = set()
-    free, top = False, ("", False, False, False, -1)
+    stack: list[Place] = []
+    block, at, end, top, found = 0, 0, len(html), Place(), Found()
 
     def text(raw: str) -> None:
         n = len(raw.split())
         if raw:
-            path, outside, labelled, named, _ = stack[-1][1:] if stack else top
-            out.append(Token("", raw, n, path, outside, labelled, block, named))
+            here = stack[-1] if stack else top
+            out.append(Token("", raw, n, here.path, bool(here.outside), here.labelled, block, here.named))
+            found.words += n
+            for start in here.wide:
+                found.wide[start] += n
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -118,48 +153,62 @@ def _tokens(html: str, plain: frozenset[int]) -> tuple[list[Token], set[int], se
         if not m["name"]:
             continue
         name, attrs = m["name"].lower(), m["attrs"] or ""
-        if name not in INLINE:
+        if name == "math":
+            closing = None if m["end"] else RAW_END[name].search(html, at)
+            if closing is not None:
+                text(MARKUP.sub("", MATH_NOTE.sub("", html[at:closing.start()])))
+                at = closing.end()
+            continue
+        if name in RAW and name not in ("head", "title"):
+            pass  # stands in the line around it
+        elif name not in INLINE:
             block += 1
-        path, outside, labelled, named, start = stack[-1][1:] if stack else top
+        here = stack[-1] if stack else top
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and not (name in INLINE and any(s[0] not in INLINE for s in stack[depth + 1:])):
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name), None)
+            if depth is not None and not (name in INLINE and any(s.tag not in INLINE for s in stack[depth + 1:])):
                 del stack[depth:]
-            out.append(Token(name, "", 0, path, outside, labelled, block, named))
+            out.append(Token(name, "", 0, here.path, bool(here.outside), here.labelled, block, here.named))
             continue
         if name in RAW:
             closing = RAW_END[name].search(html, at)
-            if name in ("head", "title", "svg", "math", "object") and closing is None:
+            if name in ("head", "title", "svg", "object") and closing is None:
                 continue  # its end tag may be left out: what follows is page text
             at = closing.end() if closing else end
             continue
         if name in SELF_ENDING:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-            if depth is not None and stack[depth][0] == name:
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag not in INLINE), None)
+            if depth is not None and stack[depth].tag == name:
                 del stack[depth:]
-                path, outside, labelled, named, start = stack[-1][1:] if stack else top
-        out.append(Token(name, "", 0, path, outside, labelled, block, named))
+                here = stack[-1] if stack else top
+        out.append(Token(name, "", 0, here.path, bool(here.outside), here.labelled, block, here.named))
         if name in VOID or attrs.rstrip().endswith("/") and name not in ("p", "div"):
             continue
+        _, path, outside, labelled, named, starts, wide = here
         signs = _signs(attrs)
-        inner, mark = path, outside or name in OUTSIDE
+        inner = path
+        if name in OUTSIDE and begin not in plain:
+            outside = max(outside, 1 if name in WRAPPERS and not labelled else 2)
+            if name in WRAPPERS:
+                starts += (begin,)
+                wide += (begin,) if name in WIDE_WRAPPERS else ()
         if name == "header" and not labelled:
-            mark = True
-        if name in LABELS and not outside:
-            if named and not labelled:
-                (mains if name == "main" else articles).update(s[5] for s in stack if s[5] >= 0)
-            else:
-                free = True
+            outside = 2
+        if name in LABELS and outside < 2:
+            if (named or outside) and not labelled:
+                (found.mains if name == "main" else found.articles).update(starts)
+            elif not outside:
+                found.free = True
         if name in LABELS and not outside and not named:
             inner, labelled = "", True
         elif name not in INLINE and name not in ("html", "body"):
             inner = f"{path}>{name}" + "".join(f".{s}" for s in signs)
-            inner = inner if len(inner) <= 200 else inner[-200:]
+            inner = inner if len(inner) <= LONG_PATH else hashlib.md5(inner.encode("utf-8", "replace")).hexdigest()
         own = signs and begin not in plain and name not in LABELS and name not in ("html", "body")
         if own and not (name == "header" and labelled) and _outside_name(attrs):
-            named, start = True, begin
-        stack.append((name, inner, mark, labelled, named, start))
-    return out, mains, articles, free
+            named, starts = True, starts + (begin,)
+        stack.append(Place(name, inner, outside, labelled, named, starts, wide))
+    return out, found
 
 
 def page_counts(html: str) -> tuple[Counter, Counter]:

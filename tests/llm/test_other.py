@@ -94,6 +94,36 @@ def test_names_that_only_hold_such_a_word(page):
     assert extraction.main_text(page % text, {}) == "The title\nSeveral words of the text itself."
 
 
+BODY = "<h1>The title</h1><p>Several words of the text itself, and a few more of them.</p>"
+TEXT = "The title\nSeveral words of the text itself, and a few more of them."
+
+
+@pytest.mark.parametrize("page", [
+    '<body><form id="aspnet"><nav>Home and away</nav><article>%s</article><footer>Imprint</footer></form></body>',
+    '<body><form method="post"><nav>Home</nav><div id="content">%s</div><button>Send</button></form></body>',
+    '<body><aside><article>%s</article></aside><nav>Home</nav></body>',
+    '<body><dialog open><fieldset><main>%s</main></fieldset></dialog></body>',
+    '<body><form><div class="search"><main>%s<form><label>Your name and mail</label></form></main></div></form></body>',
+    '<body><article>%s</article><section id="discussion"><article>Me first, and at length</article><article>No, me</article></section></body>',
+    '<body><main>%s</main><aside><article>Read this as well, it is another long text of ours</article></aside></body>',
+    '<body><article>%s</article><form><label>Write what you think of it here and send it to us all</label></form></body>',
+])
+def test_elements_wrapped_around_the_article(page):
+    assert extraction.main_text(page % BODY, {}) == TEXT
+
+
+def test_formulas_stand_in_their_line():
+    math_text = '<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="tex">x=2</annotation></semantics></math>'
+    page = f"<article><p>Let {math_text} hold <svg><title>icon</title></svg>here<script>var a;</script>, too.</p><p>And <math><mi>y</mi></p></article>"
+    assert extraction.main_text(page, {}) == "Let x=2 hold here, too.\nAnd y"
+
+
+def test_deep_paths_differ():
+    deep = lambda name: "<div class='abcdefgh'>" * 40 + f"<div class='{name}'>" + "<div>" * 60 + "words" + "</div>" * 101
+    paths = {t.path for name in ("one", "two") for t in extraction.tokens(deep(name)) if t.words}
+    assert len(paths) == 2 and all(len(p) <= extraction.LONG_PATH for p in paths)
+
+
 @pytest.mark.parametrize("inner", ['<div class="ad">%s</div>', "<aside>%s</aside>", '<p>Seven.</p><div class="share"><p>%s</p></div>'])
 def test_a_long_advert_inside_the_article(inner):
     advert = inner % ("buy this now " * 40)
