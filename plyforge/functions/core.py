@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # All characters that count as white space between words, also outside ASCII.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# The same as ranges of a character class, which is matched faster than a list of single signs.
+SPACE_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 JAVA_META = re.compile(r"([\\\[\](){}.*+?^$|])")
 
 
@@ -42,7 +44,7 @@ def none_if_empty(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space tokens, case kept; a blank text has none."""
-    return F.filter(F.split(c, f"[{SPACES}]+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"[{SPACE_RANGES}]+"), "")
 
 
 def alnum_tokens(c: Column) -> Column:

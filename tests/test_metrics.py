@@ -238,3 +238,36 @@ def test_a_vector_of_length_zero(spark):
     df = spark.createDataFrame(rows, "s int, role string, id int, v array<double>")
     got = A.greedy_match_prf(df.where("role = 'c'"), df.where("role = 'r'"), "s", "id", "v").first()
     assert (got["precision"], got["recall"], got["f1"]) == pytest.approx((0.5, 1.0, 2 / 3))
+
+
+def test_edit_distance_in_bits(spark):
+    """Against the built-in function, on texts of all lengths and alphabets."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "a", "kitten", "sitting", "日本語", "日本", "😀a", "é", "e\u0301"] + [
+        "".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for letters in ("ab", "abcdefgh ", "aé日😀") for _ in range(40)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(500)]
+    pairs += [(t, t[:len(t) // 2] + "x" + t[len(t) // 2 + 1:]) for t in texts] + [(None, "a"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(~M.edit_distance("a", "b").eqNullSafe(F.levenshtein("a", "b"))).count() == 0
+
+
+def test_edit_distance_of_long_texts():
+    import random
+    import time
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    one = " ".join(rng.choice(words) for _ in range(20_000))
+    other = " ".join(rng.choice(words) for _ in range(20_000))
+    begun = time.process_time()
+    assert 0 < M._edits(one, other) < max(len(one), len(other))
+    assert time.process_time() - begun < 60
+    assert M._edits(one, one[:50_000] + "!" + one[50_000:70_000] + one[70_001:]) == 2
+
+
+def test_edit_distances_of_the_benchmark(spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("text is not null").select("item_id", "text")
+    pairs = items.join(items.toDF("other_id", "other"), F.col("item_id") < F.col("other_id"))
+    assert pairs.where(~M.edit_distance("text", "other").eqNullSafe(F.levenshtein("text", "other"))).count() == 0
