@@ -375,7 +375,7 @@ def test_pairs_grow_with_the_texts(spark):
         texts = [(i, opening + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 110))) for i in range(n)]
         rows = near_copies._texts(spark.createDataFrame(texts, "id long, text string"), "text")
         segments = near_copies.segment_plan(n)
-        prints = near_copies.fingerprints(rows, segments)
+        prints = near_copies.fingerprints(rows, segments).withColumn("root", F.col("id"))
         size = len(segments[0])
         met = near_copies._met(near_copies._keyed(prints, size, True), near_copies._keyed(prints, size, False))
         compared[n] = met.count(), near_copies._near(met, prints).count()
@@ -383,6 +383,25 @@ def test_pairs_grow_with_the_texts(spark):
     assert all(met < n and near < n / 10 for n, (met, near) in compared.items())
 
 
+def test_a_large_group_is_not_all_pairs(spark):
+    """Each member of a group of near copies meets a few centres, not every other member."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for at in rng.integers(0, 300, 4):
+            copy[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    texts = near_copies._texts(spark.createDataFrame(rows, "id long, text string"), "text")
+    segments = near_copies.segment_plan(50_000)
+    prints = near_copies.fingerprints(texts, segments).withColumn("root", F.col("id"))
+    size = len(segments[0])
+    entries, visits = near_copies._keyed(prints, size, False), near_copies._keyed(prints, size, True)
+    assert near_copies._met(visits, entries).count() > 100_000
+    assert near_copies._met(entries, near_copies._centres(entries, 0)).count() < near_copies.CENTRES * len(segments) * 600
+
+
 def test_near_pairs_meet_as_planned(spark):
     """How many of the pairs at 0.8 or more meet in a segment, of texts edited to just above the limit."""
     rng = np.random.default_rng(8)
