@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge import constants as K
 from plyforge.functions.core import is_close, prompt_key
+from plyforge.operators.skew import spread_join
 
 
 def probe_cache(prompts: DataFrame, cache: DataFrame, prompt: str = "input") -> tuple[DataFrame, DataFrame]:
@@ -57,25 +58,29 @@ def match_criteria(
     """For each criterion the first experiment by folder name whose values match: ``close`` columns
     within a tolerance taken from the criterion, ``exact`` ones equally. No match leaves NULL.
 
-    The first close column is cut into cells and a criterion looks into each cell its tolerance
-    reaches, which makes the search an equality join. Cells are as wide as the tolerance at their place,
-    so that these are four at most whatever the value. Experiments with equal values are merged first, so
-    a value shared by very many of them is joined once.
+    Every close column is cut into cells and a criterion looks into each combination of cells that its
+    tolerances reach, which makes the search an equality join on all columns at once, so that a column which
+    hardly differs from row to row costs no pairs. Cells are twice as wide as the tolerance at their place: a
+    criterion reaches two of a column, three at times, whatever the value. Experiments with equal values are
+    merged first, so a value shared by very many of them is joined once.
     """
-    lead = close[0]
     merged = experiments.groupBy(*exact, *close).agg(F.min(folder).alias(folder))
-    reach = (F.lit(atol) + F.lit(rtol) * F.abs(F.col(lead))) * 1.01
 
     def cell(value: Column) -> Column:
-        # Its slope is one over the tolerance.
+        # Its slope is one over the width.
         if not rtol:
-            return F.floor(value / atol)
-        return F.floor(F.signum(value) * F.log1p(F.abs(value) * (rtol / max(atol, 1e-12))) / rtol)
-
-    cells = F.sequence(cell(F.col(lead) - reach), cell(F.col(lead) + reach))
-    c = criteria.withColumn("_cell", F.explode(cells)).alias("c")
-    e = merged.withColumn("_cell", cell(F.col(lead))).alias("e")
-    test = F.col("c._cell") == F.col("e._cell")
+            return F.floor(value / (2 * atol))
+        return F.floor(F.signum(value) * F.log1p(F.abs(value) * (rtol / max(atol, 1e-12))) / (2 * rtol))
+
+    c, e = criteria, merged
+    for i, k in enumerate(close):
+        reach = (F.lit(atol) + F.lit(rtol) * F.abs(F.col(k))) * 1.01
+        c = c.withColumn(f"_cell_{i}", F.explode(F.sequence(cell(F.col(k) - reach), cell(F.col(k) + reach))))
+        e = e.withColumn(f"_cell_{i}", cell(F.col(k)))
+    c, e = c.alias("c"), e.alias("e")
+    test = F.lit(True)
+    for i in range(len(close)):
+        test = test & (F.col(f"c._cell_{i}") == F.col(f"e._cell_{i}"))
     for k in exact:
         test = test & F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}"))
     for k in close:
@@ -84,9 +89,11 @@ def match_criteria(
     return criteria.join(found, id, "left")
 
 
-def attach_engine(preds: DataFrame, engine: DataFrame, ks: list[int], on: str = "pos_id") -> DataFrame:
-    """Add the engine's ordered ``top`` moves and the score at each K to predictions."""
-    return preds.join(engine_by_position(engine, ks, on), on, "left")
+def attach_engine(preds: DataFrame, engine: DataFrame, ks: list[int], on: str = "pos_id", spread: bool = False) -> DataFrame:
+    """Add the engine's ordered ``top`` moves and the score at each K to predictions. ``spread`` looks for
+    positions that very many predictions share and deals these over many tasks."""
+    facts = engine_by_position(engine, ks, on)
+    return spread_join(preds, facts, [on]) if spread else preds.join(facts, on, "left")
 
 
 def engine_by_position(engine: DataFrame, ks: list[int], on: str = "pos_id") -> DataFrame:
@@ -112,12 +119,13 @@ def baseline_at_k(engine: DataFrame, ks: list[int], on: str = "pos_id") -> DataF
     return engine_by_position(engine, ks, on).select(on, F.inline("baselines"))
 
 
-def attach_move_scores(preds: DataFrame, move_scores: DataFrame, on: str = "pos_id") -> DataFrame:
-    """Add the score after the predicted move and after the reference move."""
+def attach_move_scores(preds: DataFrame, move_scores: DataFrame, on: str = "pos_id", spread: bool = False) -> DataFrame:
+    """Add the score after the predicted move and after the reference move; ``spread`` is as in
+    `attach_engine`."""
     joined = preds
     for move, score in (("move", "pred_score"), ("reference", "ref_score")):
         facts = move_scores.select(on, F.col("move").alias(move), F.col("score").alias(score))
-        joined = joined.join(facts, [on, move], "left")
+        joined = spread_join(joined, facts, [on, move]) if spread else joined.join(facts, [on, move], "left")
     return joined
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.core import alnum_tokens, ngrams, round_mean, round_ratio, words
 from plyforge.functions.metrics import f_measure, overlap_counts
-from plyforge.operators.ordering import RANGE_ROWS, global_index
+from plyforge.operators.ordering import global_index
 from plyforge.session import stored
 
 
@@ -54,64 +54,62 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, test).drop(*[f"_j_{k}" for k in keys])
 
 
-def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Each value of each group with how often it occurs (``_c``), stored: all statistics start from it."""
-    known = df.where(F.col(value).isNotNull())
-    return stored(known.groupBy(*by, value).agg(F.count("*").alias("_c")), "values")
+#: Of a quantile sketch: a rank is off by at most the rows over this.
+ACCURACY = 10_000
+
+
+def _bounds(value: str) -> Column:
+    """Two values that the middle of a group lies between: a sketch's quantiles just below and above one half, by
+    twice what it may be off."""
+    off = 2.0 / ACCURACY
+    return F.percentile_approx(value, [max(0.0, 0.5 - off), min(1.0, 0.5 + off)], ACCURACY)
 
 
-def _median(counted: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Exact median per group of counted values.
+def _medians(df: DataFrame, bounds: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Exact median per group, where ``bounds`` has (by, _bounds, _n) of the values that are known.
 
-    The values are dealt to ranges of (group, value), as many as their number asks for, so that a group
-    of any size is many ranges and a range is never long. Sums per range tell in which one or two of them
-    a group's middle lies, and only those are put in order.
+    One pass counts the values below the bounds, and each value between them with how often it occurs; the
+    middle is found among these by running sums. Between the bounds lie about 6 / ``ACCURACY`` of a group's rows
+    and what is equal to them, which is one row a value.
     """
-    least = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(least, -(-counted.count() // RANGE_ROWS))
-    ranged = stored(counted.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id()), "ranges")
-    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_w")).withColumns({
-        "_end": F.sum("_w").over(upto), "_all": F.sum("_w").over(Window.partitionBy(*by)),
-    })
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    middle = parts.withColumns({"_start": F.col("_end") - F.col("_w"), "_low": low, "_high": high}).where(
-        ((F.col("_start") < F.col("_low")) & (F.col("_low") <= F.col("_end")))
-        | ((F.col("_start") < F.col("_high")) & (F.col("_high") <= F.col("_end")))
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    keys = [*by, "_range"]
-    placed = _join_on(ranged, middle.select(*keys, "_start", "_low", "_high"), keys).withColumn(
-        "_to", F.col("_start") + F.sum("_c").over(inside)
-    )
+    low, high = F.element_at("_bounds", 1), F.element_at("_bounds", 2)
+    known = df.where(F.col(value).isNotNull()).select(*by, value)
+    near = _join_on(known, bounds, by).where(F.col(value) <= high)
+    at = F.when(F.col(value) >= low, F.col(value))  # NULL stands for all that is below
+    counts = near.groupBy(*by, at.alias("_v")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_to", F.sum("_c").over(upto))
     first = F.col("_to") - F.col("_c")
 
-    def at(rank: str) -> Column:
-        return F.max(F.when((first < F.col(rank)) & (F.col(rank) <= F.col("_to")), F.col(value)))
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((first < rank) & (rank <= F.col("_to")), F.col("_v")))
 
-    return placed.groupBy(*by).agg(((at("_low") + at("_high")) / 2).alias(name))
+    middle = (at_rank(F.floor((F.col("_n") + 1) / 2)) + at_rank(F.floor(F.col("_n") / 2) + 1)) / 2
+    return placed.groupBy(*by).agg(middle.alias(name))
 
 
 def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group."""
-    return _median(_counted(df, by, value), by, value, name)
+    """Exact median per group. The input is read twice: once for a sketch of each group, once to count what
+    lies near its middle."""
+    known = df.where(F.col(value).isNotNull())
+    return _medians(df, known.groupBy(*by).agg(_bounds(value).alias("_bounds"), F.count("*").alias("_n")), by, value, name)
 
 
 def spread_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, median, population deviation, min and max per group, rounded half-even to 2 places
-    (``mean`` as it is, ``avg`` rounded). The input is read once, to count its values."""
-    counted = _counted(df, by, value)
-    v, c = F.col(value), F.col("_c")
-    sums = counted.groupBy(*by).agg(
-        F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"), F.min(v).alias("_least"), F.max(v).alias("_most"))
-    off = F.pow(v.cast("double") - F.col("mean"), F.lit(2.0))
-    around = _join_on(counted, sums, by).groupBy(*by).agg(
-        *[F.max(x).alias(x) for x in ("n", "mean", "_least", "_most")], F.sqrt(F.sum(off * c) / F.sum(c)).alias("_dev"))
-    stats = around.select(
-        *by, "n", "mean", round_mean(F.col("mean"), 2).alias("avg"), round_mean(F.col("_dev"), 2).alias("stddev"),
+    (``mean`` as it is, ``avg`` rounded). All but the median come from partial sums, which also make the sketch
+    that the median is narrowed down by."""
+    v = F.col(value)
+    known = df.where(v.isNotNull())
+    sums = known.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.avg(v).alias("mean"), F.min(v).alias("_least"), F.max(v).alias("_most"),
+        F.stddev_pop(v).alias("_dev"), _bounds(value).alias("_bounds"))
+    sums = stored(sums, "sums")  # one row per group, read on both ways
+    stats = sums.select(
+        *by, F.col("_n").alias("n"), "mean", round_mean(F.col("mean"), 2).alias("avg"), round_mean(F.col("_dev"), 2).alias("stddev"),
         round_mean(F.col("_least"), 2).alias("min"), round_mean(F.col("_most"), 2).alias("max"),
     )
-    median = _median(counted, by, value, "median")
+    median = _medians(df, sums.select(*by, "_bounds", "_n"), by, value, "median")
     rounded = median.withColumn("median", round_mean(F.col("median"), 2))
     # One row per group on either side, put together without a join.
     both = stats.unionByName(rounded, allowMissingColumns=True)

@@ -280,3 +280,32 @@ def hashed_keys(spark, sf_dir):
 
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", move_key(F.col("text"), F.col("turn"), F.col("role")).alias("move_key"), prompt_key(F.col("text")).alias("prompt_key"))
+
+
+@query("""
+WITH p AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS pos_id FROM events),
+m AS (SELECT user_id AS pos_id, max(value) AS score FROM events GROUP BY user_id)
+SELECT event_id, p.pos_id, score FROM p LEFT JOIN m ON p.pos_id = m.pos_id
+""")
+def hot_position_scores(spark, sf_dir):
+    """Scores of positions, one of which half of all rows stand for, by a join that deals this one over many tasks."""
+    from plyforge.operators.skew import spread_join
+
+    ev = table(spark, sf_dir, "events")
+    preds = ev.select("event_id", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")).cast("long").alias("pos_id"))
+    scores = ev.groupBy(F.col("user_id").alias("pos_id")).agg(F.max("value").alias("score"))
+    return spread_join(preds, scores, ["pos_id"]).select("event_id", "pos_id", "score")
+
+
+@query("""
+WITH c AS (SELECT p_partkey, 1.0::DOUBLE AS a, p_retailprice AS b FROM part),
+e AS (SELECT printf('exp%08d', s_suppkey) AS folder, 1.0::DOUBLE AS a, s_acctbal AS b FROM supplier)
+SELECT p_partkey, min(folder) AS folder FROM c LEFT JOIN e
+  ON abs(e.a - c.a) <= 0.5 + 0.01 * abs(c.a) AND abs(e.b - c.b) <= 0.5 + 0.01 * abs(c.b) GROUP BY p_partkey
+""")
+def criteria_of_two_columns(spark, sf_dir):
+    """Criteria with two near-equal columns, of which the first is the same for all."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lit(1.0).alias("alpha"), F.col("p_retailprice").alias("beta"))
+    exps = table(spark, sf_dir, "supplier").select(
+        F.format_string("exp%08d", "s_suppkey").alias("folder"), F.lit(1.0).alias("alpha"), F.col("s_acctbal").alias("beta"))
+    return J.match_criteria(part, exps, "p_partkey", ["alpha", "beta"], [], rtol=0.01, atol=0.5).select("p_partkey", "folder")
