@@ -11,10 +11,11 @@ from plyforge.functions.core import alnum_tokens, move_key
 from plyforge.operators import games as G
 from plyforge.operators import ordering as O
 from plyforge.operators import shaping as S
-from plyforge.plans import archive, evaluate, tasks
+from plyforge.operators.matching import pending, probe_cache
+from plyforge.plans import answers, archive, evaluate, tasks
 from plyforge.session import build_session
 from plyforge.sources import archive as sources
-from plyforge.sources import sinks, tables
+from plyforge.sources import parts, sinks, tables
 from plyforge.streaming.merge import merge_stream
 
 POSITIONS = (
@@ -105,6 +106,50 @@ def encode(spark, a) -> None:
     sinks.materialize(spark, compute, path, a.overwrite, [rows], max_len=a.max_len, vocab_size=a.vocab_size)
 
 
+def prompt_range(spark, a) -> None:
+    """Rows ``start`` to ``start + num`` of the prompts that have no answer yet, as one committed batch of part
+    files. Started again, a range that was committed is left alone."""
+    schema = "task_id STRING, student_prompt_input STRING, teacher_prompt_full STRING, teacher_task_instruction STRING"
+    rows = tables.read_jsonl(spark, a.inputs, schema)
+    if a.done:
+        rows = pending(rows, spark.read.schema("task_id STRING").parquet(a.done))
+    parts.append_range(rows, "task_id", a.output, a.start, a.num, a.part_rows)
+
+
+def samples(spark, a) -> None:
+    """Samples to evaluate and, with a cache, those that are answered (``hits``) and the prompts to ask (``misses``)."""
+    rows = answers.evaluation_samples(spark, SAMPLES, a.inputs, a.p2, a.max_p1, a.max_p2, a.seed)
+    sinks.write_json(rows, f"{a.output}/samples")
+    if a.cache:
+        hits, misses = probe_cache(tables.read_jsonl(spark, f"{a.output}/samples", SAMPLES), parts.read_cache(spark, a.cache))
+        sinks.write_json(hits, f"{a.output}/hits")
+        sinks.write_json(misses, f"{a.output}/misses")
+
+
+def extend_cache(spark, a) -> None:
+    """Add the answers (input, response) of a run to a cache."""
+    parts.extend_cache(tables.read_jsonl(spark, a.inputs, "input STRING, response STRING"), a.output, a.batch)
+
+
+def verdicts(spark, a) -> None:
+    sinks.write_json(answers.verdict_report(tables.read_jsonl(spark, a.inputs, answers.VERDICT_ROWS)), a.output)
+
+
+def generation_stats(spark, a) -> None:
+    """Answers with what was read from them (``<output>-moves``) and their statistics."""
+    read = lambda path, schema: tables.read_jsonl(spark, path, schema)
+    moves = answers.generated_moves(read(a.inputs, answers.MOVE_ROWS), read(a.legal, answers.LEGAL_ROWS), read(a.scores, answers.SCORED_ROWS), a.k)
+    sinks.write_json(moves, f"{a.output}-moves")
+    sinks.write_json(answers.generation_report(moves), a.output)
+
+
+def puzzles(spark, a) -> None:
+    supplied = lambda path, schema: tables.read_jsonl(spark, path, schema) if path else None
+    positions = supplied(a.positions, "FEN STRING, Moves STRING, fen_before STRING")
+    best = supplied(a.best, "fen STRING, move STRING")
+    sinks.write_csv(answers.puzzle_samples(tables.read_puzzles(spark, a.inputs), a.num, a.seed, positions, best), a.output)
+
+
 def score(spark, a) -> None:
     samples = tables.read_jsonl(spark, a.inputs, SAMPLES)
     engine = spark.read.schema("pos_id STRING, rank INT, move STRING, score BIGINT").json(a.engine) if a.engine else None
@@ -180,6 +225,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--max-len", type=int, default=1024)
     p.add_argument("--vocab-size", type=int, default=32_000)
     p.add_argument("--overwrite", action="store_true")
+    p = job(prompt_range)
+    p.add_argument("--done")
+    p.add_argument("--start", type=int, default=0)
+    p.add_argument("--num", type=int)
+    p.add_argument("--part-rows", type=int, default=1000)
+    p = job(samples)
+    for name in ("--p2", "--cache"):
+        p.add_argument(name)
+    for name in ("--max-p1", "--max-p2"):
+        p.add_argument(name, type=int)
+    p.add_argument("--seed", type=int, default=42)
+    job(extend_cache).add_argument("--batch", required=True)
+    job(verdicts)
+    p = job(generation_stats)
+    p.add_argument("--legal", required=True)
+    p.add_argument("--scores", required=True)
+    p.add_argument("--k", type=int, default=5)
+    p = job(puzzles)
+    for name in ("--positions", "--best"):
+        p.add_argument(name)
+    p.add_argument("--num", type=int, default=1000)
+    p.add_argument("--seed", type=int, default=42)
     p = job(score)
     for name in ("--engine", "--move-scores", "--aliases"):
         p.add_argument(name)

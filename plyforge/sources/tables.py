@@ -45,6 +45,15 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     return _parsed(spark.read.text(path).where(F.trim("value") != ""), schema, bad)
 
 
+def read_jsonl_in_order(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
+    """JSON lines that can be read, with ``_at``, which rises from file to file by name and from line to line."""
+    at = F.struct(file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("_at")).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = lines.select("_at", F.from_json("value", _with_corrupt(schema), options).alias("r")).select("_at", "r.*")
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
 def read_json_auto(spark: SparkSession, path: str | list[str], schema: str | T.StructType, bad: str = "drop") -> DataFrame:
     """JSON arrays and JSON lines, told apart for each file by its first character that is not blank, for
     which only the file's first bytes are read.

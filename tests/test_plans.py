@@ -202,3 +202,56 @@ def test_report_by_criteria(spark, tmp_path):
     rows = {r["model"]: r["ROUGE-L"] for r in spark.read.option("header", True).csv(str(tmp_path / "table")).collect()}
     assert rows == {"Base": "0.500", "Half": "0.700*", "None": "N/A"}
     assert spark.read.json(str(tmp_path / "table-headers")).where("name = 'Beta'").count() == 3
+
+
+def test_jobs_of_answers(spark, tmp_path):
+    """Samples with limits and a cache, a range that is started twice, verdicts, moves and puzzles."""
+    import json
+
+    def lines(name, rows):
+        (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
+        return str(tmp_path / name)
+
+    def run(*args):
+        main(list(map(str, args)), spark)
+
+    def back(path):
+        return spark.read.json(f"{tmp_path}/{path}").collect()
+
+    p1 = lines("p1.jsonl", [{"task": "t", "input": f"a{i}"} for i in range(9)] + [{"task": "no input"}])
+    (tmp_path / "p2").mkdir()
+    for k in "ba":
+        lines(f"p2/{k}.jsonl", [{"task_id": f"{k}{i}", "input": f"{k}{i}"} for i in range(4)])
+    run("extend-cache", "-i", lines("answers.jsonl", [{"input": "a1", "response": "r1"}, {"input": "x"}]), "-o", tmp_path / "cache", "--batch", "1")
+    run("samples", "-i", p1, "--p2", tmp_path / "p2", "--max-p1", 3, "--max-p2", 5, "--cache", tmp_path / "cache", "-o", tmp_path / "s")
+    assert sorted((r["data_source"], r["input"]) for r in back("s/samples")) == [("P1", f"a{i}") for i in range(3)] + [("P2", x) for x in ("a0", "a1", "a2", "a3", "b0")]
+    assert sorted((r["data_source"], r["response"]) for r in back("s/hits")) == [("P1", "r1"), ("P2", "r1")]
+    assert sorted(r["input"] for r in back("s/misses")) == ["a0", "a2", "a3", "b0"]
+
+    prompts = lines("prompts.jsonl", [{"task_id": f"t{i}", "teacher_prompt_full": "p"} for i in range(8)])
+    spark.createDataFrame([("t1",), ("t2",)], "task_id string").write.parquet(f"{tmp_path}/done")
+    for start, num in ((0, 4), (0, 4), (4, 9)):
+        run("prompt-range", "-i", prompts, "-o", tmp_path / "parts", "--done", tmp_path / "done", "--start", start, "--num", num)
+    from plyforge.sources import parts
+    assert sorted(r["task_id"] for r in parts.read_batches(spark, f"{tmp_path}/parts", "task_id STRING").collect()) == ["t0", "t3", "t4", "t5", "t6", "t7"]
+
+    told = [("random", '{"verdict": "Good"}', 5, None), ("random", "", None, "illegal"), ("topk", "an excellent move", 7, None), ("topk", "?", 1, None)]
+    run("verdicts", "-i", lines("v.jsonl", [{"kind": k, "llm_output": o, "stockfish_score": s, "score_status": x} for k, o, s, x in told]), "-o", tmp_path / "v")
+    assert sorted((r["kind"], r["verdict"], r["n"], r["total"], r["illegal"], r["empty"], r["score_sum"]) for r in back("v")) == [
+        ("random", "good", 1, 2, 1, 1, 5), ("random", "parse_error", 1, 2, 1, 1, 5), ("topk", "excellent", 1, 2, 0, 0, 8), ("topk", "parse_error", 1, 2, 0, 0, 8)]
+
+    asked = [("move_only", "f1", '{"move": "e2e4"}'), ("move_only", "f1", "I play a2a3 here"), ("move_only", "f2", "nothing"), ("plus", "f1", "d2d4\nExplanation: centre")]
+    run("generation-stats", "-i", lines("m.jsonl", [{"kind": k, "fen": f, "response": r} for k, f, r in asked]),
+        "--legal", lines("l.jsonl", [{"fen": "f1", "moves": ["e2e4", "d2d4", "a2a3"]}, {"fen": "f2", "moves": ["e7e5"]}]),
+        "--scores", lines("sc.jsonl", [{"fen": "f1", "move": m, "score": s} for m, s in (("e2e4", 30), ("d2d4", 20), ("a2a3", -5))]), "--k", 2, "-o", tmp_path / "g")
+    stats = {r["kind"]: r for r in back("g")}
+    one = stats["move_only"]
+    assert (one["total_examples"], one["parsed_moves"], one["valid_moves"], one["in_top_k"], one["score_min"], one["score_max"]) == (3, 2, 2, 1, -5, 30)
+    assert (stats["plus"]["in_top_k_rate"], stats["plus"]["average_score"]) == (1.0, 20.0)
+    assert {r["explanation_parsed"] for r in back("g-moves") if r["kind"] == "plus"} == {"centre"}
+
+    (tmp_path / "p.csv").write_text("FEN,Moves,Themes,Rating\nf1,e2e4 e7e5,x,1\nf2,a2a3,y,2\nf3,b2b3,z,3\n")
+    run("puzzles", "-i", tmp_path / "p.csv", "--positions", lines("pos.jsonl", [{"FEN": "f1", "Moves": "e2e4 e7e5", "fen_before": "g1"}]),
+        "--best", lines("best.jsonl", [{"fen": "g1", "move": "e7e5"}, {"fen": "f2", "move": "h2h3"}, {"fen": "f3", "move": "b2b3"}]), "-o", tmp_path / "pz")
+    got = spark.read.option("header", True).csv(f"{tmp_path}/pz").collect()
+    assert sorted((r["prompt"].split(": ")[1], r["completion"].strip()) for r in got) == [("f3", "b2b3"), ("g1", "e7e5")]
