@@ -310,3 +310,60 @@ def merged_answer_stream(spark, sf_dir):
     rows.write.mode("append").json(f"{base}/in")
     merge_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("task_id", "input", "output")
+
+
+@query("""
+(SELECT 'P1' AS data_source, text AS input FROM conversations WHERE role = 'user' AND text IS NOT NULL ORDER BY conv_id, turn LIMIT 120)
+UNION ALL
+(SELECT 'P2', text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL ORDER BY conv_id, turn LIMIT 90)
+""")
+def evaluation_inputs(spark, sf_dir):
+    """The first samples of two files of turns, in the order of the files, tagged and put together."""
+    from plyforge.plans.answers import evaluation_samples
+    from plyforge.session import scratch_path
+
+    base = scratch_path(spark, "samples")
+    conv = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    for role in ("user", "assistant"):
+        rows = conv.where(F.col("role") == role).repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+        rows.select(F.col("text").alias("input")).write.json(f"{base}/{role}")
+    found = evaluation_samples(spark, "input STRING", f"{base}/user", f"{base}/assistant", 120, 90)
+    return found.select("data_source", "input")
+
+
+@query("""
+WITH a AS (SELECT role AS kind, CASE turn % 4 WHEN 0 THEN '{"verdict": "Good"}' WHEN 1 THEN '' WHEN 2 THEN text || ' Dubious' ELSE text END AS o,
+    CASE WHEN conv_id % 5 <> 0 THEN turn * 10 END AS s, conv_id % 5 = 0 AS illegal, turn FROM conversations),
+v AS (SELECT *, CASE WHEN turn % 4 = 0 THEN 'good' WHEN contains(lower(o), 'excellent') THEN 'excellent' WHEN contains(lower(o), 'good') THEN 'good'
+    WHEN contains(lower(o), 'dubious') THEN 'dubious' WHEN contains(lower(o), 'blunder') THEN 'blunder' ELSE 'parse_error' END AS verdict FROM a),
+t AS (SELECT kind, count(*) AS total, count(*) FILTER (illegal) AS illegal, count(*) FILTER (o = '') AS empty, coalesce(sum(s), 0) AS score_sum FROM v GROUP BY kind)
+SELECT v.kind, verdict, count(*) AS n, any_value(t.total) AS total, CAST(any_value(t.illegal) AS BIGINT) AS illegal,
+       CAST(any_value(t.empty) AS BIGINT) AS empty, CAST(any_value(t.score_sum) AS BIGINT) AS score_sum
+FROM v JOIN t ON v.kind = t.kind GROUP BY v.kind, verdict
+""")
+def verdicts_of_turns(spark, sf_dir):
+    """Verdicts read from turns as answers, JSON, empty or in words, counted per role."""
+    from plyforge.plans.answers import verdict_report
+
+    kind = F.col("turn") % 4
+    told = F.when(kind == 0, '{"verdict": "Good"}').when(kind == 1, "").when(kind == 2, F.concat("text", F.lit(" Dubious"))).otherwise(F.col("text"))
+    illegal = F.col("conv_id") % 5 == 0
+    return verdict_report(table(spark, sf_dir, "conversations").select(
+        F.col("role").alias("kind"), told.alias("llm_output"), F.when(~illegal, F.col("turn") * 10).alias("stockfish_score"),
+        F.when(illegal, "illegal").alias("score_status")))
+
+
+@query("""
+SELECT count(*) AS n, CAST(count(*) FILTER (p_size % 2 = 0) AS BIGINT) AS even, sum(p_size) AS rating FROM part WHERE p_size % 3 <> 0
+""")
+def puzzles_that_agree(spark, sf_dir):
+    """Parts as puzzles, all of them drawn, kept where the supplied best move is their last one."""
+    from plyforge.plans.answers import puzzle_samples
+
+    part = table(spark, sf_dir, "part")
+    puzzles = part.select(F.concat(F.lit("f"), "p_partkey").alias("FEN"), F.concat(F.lit("m1 m"), F.col("p_size").cast("string")).alias("Moves"),
+                          F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("Themes"), F.col("p_size").alias("Rating"))
+    positions = puzzles.select("FEN", "Moves", F.concat(F.lit("g"), "FEN").alias("fen_before"))
+    best = part.select(F.concat(F.lit("gf"), "p_partkey").alias("fen"), F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("m"), F.col("p_size").cast("string"))).alias("move"))
+    rows = puzzle_samples(puzzles, 10**9, 42, positions, best)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("theme") == "even").alias("even"), F.sum("rating").alias("rating"))
