@@ -457,6 +457,37 @@ def test_network_tells_keys_from_numbers():
     assert len(secret_scan.windows("x" + "a1" * 200, 1, 401)) > 10
 
 
+def test_network_learns_from_all_findings(spark, monkeypatch):
+    """Every finding that is not held back is learned from, in parts; the threshold keeps 98 % of all that are held
+    back, counted as often as they occur."""
+    rng = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [f"a token={draw('abcdefghijklmnopqrstuvwxyz0123456789', 30)}7 b" for _ in range(700)] + [f"n {draw('0123456789', 18)} m" for _ in range(700)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, *rows[:40] * 5])], "doc_id long, text string")
+    seen, learned = [], secret_scan._learned
+    monkeypatch.setattr(secret_scan, "PART", 400)
+    monkeypatch.setattr(secret_scan, "EPOCHS", 6)
+    monkeypatch.setattr(secret_scan, "_learned", lambda rows: seen.extend(rows.collect()) or learned(rows))
+    net = secret_scan.train(docs)
+    found = secret_scan.labelled_findings(docs).groupBy("label", "codes").agg(F.count("*").alias("n")).withColumn(
+        "back", F.pmod(F.xxhash64("codes", F.lit(secret_scan.SEED)), F.lit(4)) == 0).collect()
+    assert sorted((r["label"], r["codes"]) for r in seen) == sorted((r["label"], r["codes"]) for r in found if not r["back"])
+    assert len({r["part"] for r in seen}) == 4 and sum(r["n"] for r in found) == 1600
+    hits = [(secret_scan.scores(net, np.frombuffer(r["codes"], np.uint8)[None])[0], r["n"]) for r in found if r["back"] and r["label"]]
+    kept, every = sum(n for p, n in hits if p >= net.threshold - 1e-9), sum(n for _, n in hits)
+    assert kept >= secret_scan.LEAST_RECALL * every or net.threshold == secret_scan.LEAST_SCORE
+    again = secret_scan.train(docs)
+    assert again.threshold == net.threshold and (again.kernel == net.kernel).all()
+
+
+def test_rank_of_outputs(spark):
+    rng = np.random.default_rng(1)
+    values = [(float(v), int(n)) for v, n in zip(np.round(rng.normal(0, 3, 500), 1) * 10.0 ** rng.integers(-9, 3, 500), rng.integers(1, 5, 500))]
+    rows, plain = spark.createDataFrame(values, "raw double, n long"), sorted(v for v, n in values for _ in range(n))
+    for rank in (0, 1, 17, len(plain) // 2, len(plain) - 1):
+        assert secret_scan._value_at(rows, rank) == plain[rank]
+
+
 # --- Sketches ----------------------------------------------------------------------------------
 
 
