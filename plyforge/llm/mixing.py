@@ -99,8 +99,10 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position) for every row of ``docs`` (doc_id, text,
-    source): the words the mix takes of it, repeats counted, and when it is first met in training.
+    """(doc_id, size, source_size, target, taken, position, second_position) for every row of ``docs`` (doc_id,
+    text, source): the words the mix takes of it, repeats counted, and when it is met in training the first and
+    the second time (NULL where it is not). Rows are range-sorted into training order, by the first time and
+    doc_id; those that are never met come last.
 
     A NULL text has size 0 and nothing of it is taken; NULL is a source of its own; a NULL doc_id
     comes as the empty text would; rows that share a doc_id stand side by side in their source's
@@ -108,8 +110,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     sizes = written(with_sizes(docs), "mix-sizes")
     out = plan(sizes, source_targets(sizes), sizes)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"),
-                      F.col("at_first").alias("position"))
+    out = out.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"),
+                     F.col("at_first").alias("position"), F.col("at_second").alias("second_position"))
+    order = F.col("position").asc_nulls_last(), F.col("doc_id").asc()
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def stream_plan(sizes: DataFrame) -> DataFrame:

@@ -45,8 +45,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document that the mix of sources takes."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Words of every document that the mix of sources takes, in training order."""
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 ORACLES["op5_source_mix"] = mixing.MIX_SQL

@@ -315,6 +315,25 @@ def test_mix_follows_its_schedules(spark):
     assert 0 <= min(r["position"] for r in got) and max(r["position"] for r in got) <= 1
 
 
+def test_mix_is_sorted_by_its_positions(spark):
+    """Rows come in training order, and each second visit has its own place: behind the first, and where the source's
+    schedule gets to its words once more."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 3}", 20) for i in range(900)], "doc_id long, text string, source string, n_chars long")
+    got = mixing.mix(docs).collect()
+    order = [(r["position"] is None, r["position"] or 0.0, r["doc_id"]) for r in got]
+    assert len(got) == 900 and order == sorted(order)
+    again = [r for r in got if r["second_position"] is not None]
+    assert again and all(r["position"] < r["second_position"] <= 1 for r in again)
+    tilt = {i: mixing.TILTS[i % 3] for i in range(3)}
+    for i in range(3):
+        mine = [r for r in got if r["doc_id"] % 3 == i and r["position"] is not None]
+        words = lambda t: ((1 - tilt[i]) * t + tilt[i] * t * t) * mine[0]["target"]
+        assert all(r["second_position"] is not None for r in mine if r["taken"] > r["size"])
+        for r in mine:
+            if r["second_position"] is not None:
+                assert math.isclose(words(r["second_position"]) - words(r["position"]), r["source_size"], rel_tol=1e-6)
+
+
 # --- Packing -----------------------------------------------------------------------------------
 
 
