@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.session import remove_stored
+from plyforge.session import remove_stored, small_batches  # noqa: F401
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,16 +26,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> None:
-    """Let the session hand at most ``rows`` rows at a time to Python. Texts may be long: the default of
-    10,000 takes hundreds of megabytes off the heap and again in each Python worker. Results do not depend
-    on it."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(name))
-    if now <= 0 or now > rows:
-        conf.set(name, str(rows))
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back: a cut of the lineage that survives
     the loss of executors."""

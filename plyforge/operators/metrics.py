@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.core import alnum_tokens, ngrams, round_mean, round_ratio, words
 from plyforge.functions.metrics import f_measure, overlap_counts
 from plyforge.operators.ordering import global_index
-from plyforge.session import stored
+from plyforge.session import small_batches, stored
 
 
 def task_counts(df: DataFrame, by: str = "task") -> DataFrame:
@@ -340,23 +340,25 @@ def greedy_match_prf(
 
     def best(batches):
         for batch in batches:
-            for name, c, r in zip(batch[sample], batch["c"], batch["r"]):
-                a = np.asarray([e["v"] for e in c], dtype=np.float64)
-                b = np.asarray([e["v"] for e in r], dtype=np.float64)
+            for i in range(batch.num_rows):
+                # Numbers stay in arrays: as Python objects a batch would take many times its size.
+                c, r = (batch.column(k)[i].values for k in (1, 2))
+                a, b = (np.stack(side.field("v").to_numpy(zero_copy_only=False)).astype(np.float64) for side in (c, r))
                 # A vector of length 0 has cosine 0 with all others.
                 a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
                 b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
                 cosine = a @ b.T
-                yield pd.DataFrame({
-                    sample: name,
-                    "role": ["c"] * len(c) + ["r"] * len(r),
-                    "id": [e["id"] for e in c] + [e["id"] for e in r],
-                    "best": np.concatenate([cosine.max(axis=1), cosine.max(axis=0)]),
-                })
-
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array([i] * (len(c) + len(r)))),
+                    pa.array(["c"] * len(c) + ["r"] * len(r)),
+                    pa.concat_arrays([c.field("id"), r.field("id")]),
+                    pa.array(np.concatenate([cosine.max(axis=1), cosine.max(axis=0)]), from_pandas=True),
+                ], names=[sample, "role", "id", "best"])
+
+    small_batches(cand)
     kind = cand.schema[sample].dataType.simpleString()
     key = cand.schema[id].dataType.simpleString()
-    part = pairs.select(sample, "c", "r").mapInPandas(best, f"{sample} {kind}, role string, id {key}, best double")
+    part = pairs.select(sample, "c", "r").mapInArrow(best, f"{sample} {kind}, role string, id {key}, best double")
     top = part.groupBy(sample, "role", "id").agg(F.max("best").alias("best"))
     p = F.avg(F.when(F.col("role") == "c", F.col("best")))
     r = F.avg(F.when(F.col("role") == "r", F.col("best")))

@@ -138,6 +138,16 @@ def test_greedy_match(spark, block):
         assert (got[s]["precision"], got[s]["recall"], got[s]["f1"]) == pytest.approx((p, r, 2 * p * r / (p + r)))
 
 
+def test_greedy_match_hands_few_blocks_at_a_time(spark):
+    """A batch of block pairs holds hundreds of vectors in every row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    df = spark.createDataFrame([(0, i, [float(i), 1.0]) for i in range(1200)], "s int, id int, v array<double>")
+    pairs = A.greedy_match_prf(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "s", "id", "v", 1)
+    assert int(spark.conf.get(name)) <= 256
+    assert pairs.first()["precision"] > 0.9
+
+
 def test_tokens_until_stop(spark):
     df = spark.createDataFrame([([9, 9, 1, 2, 0, 3], 2), ([9, 1], 2), ([9, 1, 1], 1), ([0, 0, 5], 2)], "ids array<int>, n int")
     assert [r[0] for r in df.select(M.tokens_until_stop(F.col("ids"), F.col("n"), [0])).collect()] == [2, 0, 2, 1]
