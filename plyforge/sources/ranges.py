@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge.session import small_batches
+
 HEAD_BYTES = 4096
 THREADS = 16  # files whose beginnings the driver looks at together
 BLANKS = b" \t\r\n\x0b\x0c"
@@ -228,6 +230,7 @@ def array_elements(spark: SparkSession, files: list[str]) -> DataFrame:
     raw = spark.read.option("lineSep", "}").text(files).select(
         F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("block"), meta["file_size"].alias("size"),
         F.col("value").cast("binary").alias("value"))
+    small_batches(raw)
     starts, open_ended = array_starts(tuple(r) for r in raw.mapInArrow(_array_effects, EFFECTS).collect())
     known, unclosed = spark.sparkContext.broadcast(starts), spark.sparkContext.broadcast(open_ended)
     pieces = raw.select("file", "block", "value").mapInArrow(lambda batches: _array_pieces(batches, known.value), CUTS)
@@ -339,6 +342,7 @@ def archive_texts(spark: SparkSession, path: str | list[str], file: Column) -> D
     blank line outside comments, whatever the line ends. What stands before the first is a row of its own."""
     raw = spark.read.option("lineSep", EVENT).text(path).select(
         file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+    small_batches(raw)
     starts = archive_starts(tuple(r) for r in _archive_summary(raw).collect())
     known = spark.sparkContext.broadcast(starts)
     binary = raw.select("file", "block", F.col("value").cast("binary").alias("value"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plyforge.sources import archive as A
 from plyforge.sources import ranges, tables
@@ -161,3 +162,13 @@ def test_one_game_over_many_ranges(spark, tmp_path, small_ranges):
     small_ranges(40)
     rows = {r["header_text"]: r["movetext"] for r in A.read_games(spark, str(tmp_path / "a.pgn")).collect()}
     assert set(rows) == {'[Event "A"]', '[Event "B"]'} and rows['[Event "A"]'].count("quoted") == 50
+
+
+def test_ranges_are_handed_over_in_small_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    (tmp_path / "a.pgn").write_text("\n\n".join(f'[Event "E{i}"]\n\n1. e4 {{x}} e5 1-0' for i in range(1500)))
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"a": {i}}}' for i in range(1500)) + "]")
+    for read in (lambda: ranges.archive_texts(spark, str(tmp_path / "a.pgn"), F.lit("f")), lambda: ranges.array_elements(spark, [str(tmp_path / "a.json")])):
+        spark.conf.set(name, "10000")
+        rows = read()
+        assert int(spark.conf.get(name)) <= 256 and rows.count() == 1500
