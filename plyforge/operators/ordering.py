@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,33 @@ def global_index(df: DataFrame, order: str, name: str = "idx", ranges: int | Non
     return both.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name), *more)
 
 
+def running_count(df: DataFrame, order: list[str], flag: str, name: str = "n") -> DataFrame:
+    """Add the number of rows with ``flag`` up to each row, itself included, in the order of ``order``, which
+    should tell all rows apart, so that rows of one value are many ranges too.
+
+    Rows go through one range exchange and are counted within their range as they pass, with nothing kept but the
+    count; the table that tells the flags of the ranges before has one row per range.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for batch in batches:
+            batch[name] = batch[flag].astype("int64").cumsum() + n
+            n = int(batch[name].iloc[-1]) if len(batch) else n
+            yield batch
+
+    ranked = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    told = ", ".join(f"`{c}` {kind}" for c, kind in ranked.dtypes)
+    # A range's bounds are drawn from a sample and must not be drawn twice.
+    placed = stored(ranked.mapInPandas(counted, f"{told}, `{name}` long"), "counts")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.max(name).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    both = placed.join(F.broadcast(starts), "_range")  # one row per range
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col(name)).alias(name))
+
+
 def slice_rows(df: DataFrame, order: str, start: int = 0, n: int | None = None) -> DataFrame:
     """Rows ``start`` to ``start + n`` in the order of a key, in this order; a NULL key comes first, and
     repeated keys count as often as they occur."""

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +182,42 @@ def test_unions_and_models(spark):
     many = J.cross_inputs(a, spark.range(1001).select(F.col("id").cast("string").alias("name")))
     assert many.count() == 1001 == many.select("model").distinct().count()
     assert S.difference(a.union(a), b, "id").collect()[0][0] == 1
+
+
+def test_criteria_as_by_plain_comparison(spark):
+    """Random values close together, in one column and in two, with copies, NULLs and numbers that are none."""
+    rng, odd = random.Random(5), [None, float("nan"), float("inf"), -float("inf"), -0.0]
+    value = lambda i: odd[i] if i < len(odd) else round(rng.gauss(0, 4), 1)
+    exps = spark.createDataFrame([(f"f{rng.randrange(10**6):06}" if i else None, rng.choice([None, 1, 2]), value(i), value(i // 2 + 3)) for i in range(150)],
+                                 "folder string, v int, x double, y double")
+    crit = spark.createDataFrame([(i // 2 if i > 7 else None, rng.choice([None, 1, 2]), value(i), value(i // 2 + 3)) for i in range(120)], "id int, v int, x double, y double")
+    for close, exact, rtol, atol in ((["x"], ["v"], 0.01, 0.5), (["x", "y"], [], 0.3, 0.0), (["x", "y"], ["v"], 0.0, 0.25)):
+        test = F.expr("c.v <=> e.v") if exact else F.lit(True)
+        for k in close:
+            test = test & is_close(F.col(f"e.{k}"), F.col(f"c.{k}"), rtol, atol)
+        want = crit.alias("c").join(exps.alias("e"), test).groupBy("c.id").agg(F.min("folder").alias("folder"))
+        want = crit.join(want, "id", "left").collect()
+        got = J.match_criteria(crit, exps, "id", close, exact, rtol=rtol, atol=atol).collect()
+        assert Counter(map(str, got)) == Counter(map(str, want))
+
+
+def test_criteria_meet_few_rows(spark, tmp_path):
+    """All experiments are near all criteria; no step makes rows for the pairs."""
+    n = 4000
+    exps = spark.range(n).select(F.format_string("e%04d", F.lit(n) - F.col("id")).alias("folder"), (1 + F.col("id") / 1e9).alias("x"))
+    crit = spark.range(n).select("id", (1 + F.col("id") / 1e9).alias("x"))
+    found = J.match_criteria(crit, exps, "id", ["x"], [], rtol=0.01, atol=0.5)
+    assert found.groupBy("folder").count().collect() == [("e0001", n)]
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    stack, most = [plan], 0
+    while stack:
+        p = stack.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            p = p.plan()
+        if p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        stack += [p.children().apply(i) for i in range(p.children().length())]
+    assert n <= most <= 30 * n
