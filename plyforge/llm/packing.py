@@ -116,7 +116,7 @@ class Encoder:
         """Remember the ids of chunks: they are encoded together, with a mark between them."""
         if len(self.young) + len(chunks) > WORDS_KEPT:
             self.old, self.young = self.young, {"": b""}
-        plain = [c for c in chunks if c.isalpha() and c.islower() and max(c) < "\u0100"] if self.lean else []
+        plain = [c for c in chunks if c.isalpha() and c.islower() and (c.isascii() or max(c) < "\u0100")] if self.lean else []
         if plain:
             text = " ! ".join(map(self._signs, plain))
             ids = self.lean.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -162,13 +162,15 @@ class Encoder:
         if not self.chunked or any(s in low for s in self.special):
             return self._ids(text).tobytes() + self.end_mark
         chunks = low.replace("\n", " ").split(" ")
-        missing = set(chunks).difference(self.young)
-        if missing:
-            self._find(missing)
+        found = list(map(self.young.get, chunks))
         try:
-            ids = b"".join(map(self.young.__getitem__, chunks))
-        except KeyError:  # some went to the old generation meanwhile
-            ids = b"".join(map(self._of, chunks))
+            ids = b"".join(found)
+        except TypeError:  # some are not known
+            gaps = [i for i, known in enumerate(found) if known is None]
+            self._find({chunks[i] for i in gaps})
+            for i in gaps:
+                found[i] = self._of(chunks[i])
+            ids = b"".join(found)
         return ids + self.end_mark
 
 
@@ -219,13 +221,15 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, length: int, last: bool) ->
             begins.setdefault(j, []).append(int(k[j]))
     least, back = [0.0] * len(at), [0] * len(at)
     total = at[:]  # of each place, least + place
-    queue, head = [0], 0
+    # Of the queue, the part from head to end is in use: it never holds more places than were seen.
+    queue, head, end = [0] * len(at), 0, 0
     for j in range(1, len(at)):
         here = at[j]
         first = here - length
-        while at[queue[head]] < first:
-            head += 1
         i = queue[head]
+        while at[i] < first:
+            head += 1
+            i = queue[head]
         best = total[i] - first
         if j in begins:
             for k in begins[j]:
@@ -234,9 +238,10 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, length: int, last: bool) ->
         best += cost[j]
         least[j], back[j] = best, i
         total[j] = value = best + here
-        while len(queue) > head and total[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
+        while end >= head and total[queue[end]] >= value:
+            end -= 1
+        end += 1
+        queue[end] = j
     j = len(at) - 1
     if not last:
         j = min(range(int(np.searchsorted(places, at[-1] - length)), len(at)), key=total.__getitem__)
