@@ -418,6 +418,54 @@ def test_near_pairs_meet_as_planned(spark):
         assert met >= 0.99 * len(pairs)
 
 
+def test_texts_below_the_limit_are_not_all_pairs(spark, monkeypatch):
+    """A large group of texts that mostly differ by more than near copies may: hardly any of the pairs that no centre
+    joins meet or have their texts compared, and none that belongs together is left out."""
+    rng = np.random.default_rng(14)
+    base, texts = [f"w{x}" for x in rng.integers(0, 10**6, 150)], {}
+    for i in range(400):
+        copy = list(base)
+        for at in rng.choice(150, 1 + i % 6, replace=False):
+            copy[at] = f"edit{i}x{at}"
+        texts[i] = " ".join(copy)
+    met, moved, verified, near = [], [], near_copies.verified, near_copies._near
+
+    def spied(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    def seen(*rest):
+        rows = near(*rest)
+        moved.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_copies, "verified", spied)
+    monkeypatch.setattr(near_copies, "_near", seen)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == simple_kept(texts)[0] and 100 < len(kept) < 350
+    assert met[-1] < 10 * len(texts) and sum(moved) < 10 * len(texts)
+
+
+def test_rarest_shingles_and_parities_of_near_copies():
+    """Sets at 0.8 or more share one of their first fifths in any order, and differ in no more parities than shingles."""
+    rng = np.random.default_rng(15)
+    base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    common = np.sort(rng.permutation(base)[:300])
+    place, alike = rng.permutation(len(common)), 0
+    for size, gone in [(n, g) for n in (1, 4, 5, 9, 10, 50, 200, 390) for g in range(0, 1 + n // 4)]:
+        a = np.sort(rng.permutation(base)[:size])
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, gone, dtype=np.uint64)]))
+        odd = sum((int(x) ^ int(y)).bit_count() for x, y in zip(near_copies.parities(a).view(np.uint64), near_copies.parities(b).view(np.uint64)))
+        assert odd <= len(np.setxor1d(a, b))
+        if near_copies.alike(a, b):
+            alike += 1
+            assert 9 * len(np.setxor1d(a, b)) <= len(a) + len(b)
+            assert np.intersect1d(near_copies.rarest(a, common, place), near_copies.rarest(b, common, place)).size
+    assert alike > 40
+    assert near_copies.rarest(base, common[:0], place[:0]).tolist() == base[:81].tolist()
+
+
 def test_near_copies_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"].split()}
